@@ -11,13 +11,17 @@ contract grows with instalments + payments. Both sides are first summed per cont
 so a contract has at most one row per calendar day and side, however many raw rows it has.
 
 Contracts with a negative day total (reversals) have no monotone axis; they alone take the
-pairwise overlap test, so the result is the same for every input.
+pairwise overlap test inside their group (two rows per calendar day at most), so the result is
+the same for every input.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import (
     CAPITAL_CODES,
@@ -99,8 +103,12 @@ def paid_side(payments: DataFrame) -> DataFrame:
     return cumulate(payments, "event_date", "paid")
 
 
-def _pairs(due: DataFrame, paid: DataFrame) -> DataFrame:
-    """All (instalment, payment) pairs of a contract whose cumulative intervals overlap."""
+def _pairs(due: DataFrame, paid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All (instalment, payment) pairs of a contract whose cumulative intervals overlap.
+
+    Two frames: contracts without and with reversals. They are kept apart so that the first
+    keeps its partitioning by contract for the steps that follow.
+    """
     dues = [c for c in due.columns if c != "contract_id"]
     pays = [c for c in paid.columns if c != "contract_id"]
     d_type, p_type = due.select(F.struct(*dues).alias("s")), paid.select(F.struct(*pays).alias("s"))
@@ -158,16 +166,36 @@ def _pairs(due: DataFrame, paid: DataFrame) -> DataFrame:
         .select(*columns)
     )
 
-    odd = axis.where(F.col("signed"))
-    left = odd.where(F.col("due").isNotNull()).select("contract_id", "due")
-    right = odd.where(F.col("paid").isNotNull()).select(F.col("contract_id").alias("cid"), "paid")
-    compared = left.join(
-        right,
-        (F.col("contract_id") == F.col("cid"))
-        & (F.col("paid.total_paid_cum") > F.col("due.prev_total_due_cum"))
-        & (F.col("paid.prev_total_paid_cum") < F.col("due.total_due_cum")),
-    ).select(*columns)
-    return swept.unionByName(compared)
+    fields = [*due.select(*dues).schema.fields, *paid.select(*pays).schema.fields]
+    numeric = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
+    flat = [F.col(f"due.{c}").alias(c) for c in dues] + [F.col(f"paid.{c}").alias(c) for c in pays]
+    flat = [F.coalesce(e, F.lit(0)).alias(f.name) if f.name in numeric else e for e, f in zip(flat, fields)]
+    compared = (
+        axis.where(F.col("signed") & F.col("point").isNotNull())
+        .select("contract_id", F.col("due").isNotNull().alias("is_due"), *flat)
+        .groupBy("contract_id")
+        .applyInPandas(
+            _overlapping(dues, pays), T.StructType([due.schema["contract_id"], *fields])
+        )
+    )
+    return swept, compared
+
+
+def _overlapping(dues: list[str], pays: list[str]):
+    """Pairwise overlap test for one contract with reversals (at most one row per day and side)."""
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        d = rows.loc[rows["is_due"], ["contract_id", *dues]].reset_index(drop=True)
+        p = rows.loc[~rows["is_due"], pays].reset_index(drop=True)
+        after, before = p["total_paid_cum"].to_numpy(), p["prev_total_paid_cum"].to_numpy()
+        hits = [
+            np.flatnonzero((after > lo) & (before < hi)) for lo, hi in zip(d["prev_total_due_cum"], d["total_due_cum"])
+        ]
+        left = d.loc[np.repeat(np.arange(len(d)), [len(h) for h in hits])].reset_index(drop=True)
+        right = p.loc[np.concatenate(hits) if hits else []].reset_index(drop=True)
+        return pd.concat([left, right], axis=1)
+
+    return pairs
 
 
 def _settled(c: str):
@@ -190,8 +218,13 @@ def allocate(due: DataFrame, paid: DataFrame, residue: float = 0.00001, componen
     their own running totals, so single components may be negative or exceed the instalment.
     Pairs settling no more than ``residue`` in total are dropped.
     """
+    swept, compared = _pairs(due, paid)
+    return _settle(swept, residue, components).unionByName(_settle(compared, residue, components))
+
+
+def _settle(pairs: DataFrame, residue: float, components) -> DataFrame:
     w = Window.partitionBy("contract_id", "due_date").orderBy("event_date")
-    left = _pairs(due, paid).withColumns(
+    left = pairs.withColumns(
         {f"{c}_left": F.greatest(F.col(f"{c}_due_cum") - F.col(f"{c}_paid_cum"), F.lit(0)) for c in components}
     )
     left = left.withColumns({f"prev_{c}_left": F.coalesce(F.lag(f"{c}_left").over(w), F.lit(0)) for c in components})
