@@ -55,7 +55,7 @@ def to_three(
         out = df.join(by_day, F.col(date).cast("date") == F.col("__day"), "left").drop("__day")
 
     def rate(code):
-        return F.col("__rates").getItem(code)
+        return F.col("__rates")[code]
 
     own = rate(F.col(currency))
     for a in amounts:

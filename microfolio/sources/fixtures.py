@@ -76,6 +76,11 @@ VIEWS = {
                {_EXT} * {_TAX} AS interest_outstanding, {_TAX} * 100 AS interest_overdue,
                CAST(l_quantity AS BIGINT) AS penalty_overdue
         FROM {{lineitem}}""",
+    "year_snapshot": f"""
+        SELECT l_orderkey AS loan_id, CAST(date_trunc('year', l_shipdate) AS DATE) AS balance_date,
+               max(CASE WHEN l_linestatus = 'O' THEN 'ACTIVE' ELSE 'CLOSED' END) AS status,
+               CAST(sum({_EXT}) AS BIGINT) AS principal_outstanding
+        FROM {{lineitem}} GROUP BY 1, 2""",
     "customer_history": """
         SELECT o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS update_date, o_orderkey AS record_id,
                CAST(o_custkey % 5 AS STRING) AS area_code, CAST(o_orderkey % 25 AS STRING) AS department_id,
@@ -219,8 +224,8 @@ VIEWS = {
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "s_loan": f"""
         SELECT l_orderkey AS loan_id, CAST(l_suppkey AS STRING) AS portfolio_manager_id,
-               CAST(l_shipdate AS DATE) AS update_date, CAST(l_shipdate AS DATE) AS disbursement_date,
-               CAST(l_shipdate AS DATE) + CAST(l_partkey % 400 AS INT) AS maturity_date,
+               CAST(l_shipdate AS DATE) + 8200 AS update_date, CAST(l_shipdate AS DATE) + 8200 AS disbursement_date,
+               CAST(l_shipdate AS DATE) + CAST(8200 + l_partkey % 400 AS INT) AS maturity_date,
                {_EXT} AS disbursement_amount, 1 + l_linenumber % 3 AS cycle, l_partkey % 1500 AS customer_id,
                l_linenumber AS version, {_CURRENCY_OF_KEY.format(k='l_orderkey')} AS currency,
                l_partkey AS line_part
@@ -244,7 +249,7 @@ VIEWS = {
         SELECT event_id AS current_loan_id, CAST(ts AS DATE) AS scoring_date, CAST(round(value * 150) AS BIGINT) AS new_loan_amount
         FROM {events} WHERE event_type IN ('view', 'purchase')""",
     "s_objective": f"""
-        SELECT CAST(l_suppkey AS STRING) AS portfolio_manager_id, DATE '2000-04-30' AS month_last_date,
+        SELECT CAST(l_suppkey AS STRING) AS portfolio_manager_id, DATE '2023-01-31' AS month_last_date,
                CAST(count(*) AS BIGINT) AS new_disbursements, CAST(sum({_EXT}) AS BIGINT) AS total_disbursement,
                CAST(sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS BIGINT) AS new_borrowers
         FROM {{lineitem}} GROUP BY l_suppkey""",
