@@ -214,6 +214,49 @@ VIEWS = {
                CAST(sum(CASE WHEN l_linenumber = 2 AND l_orderkey % 4 = 0 THEN {_EXT} ELSE 0 END) AS BIGINT) AS principal_overdue,
                CAST(sum(CASE WHEN l_linenumber = 2 AND l_orderkey % 4 = 0 THEN {_TAX} ELSE 0 END) AS BIGINT) AS interest_overdue
         FROM {{lineitem}} WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey""",
+    "typed_event": f"""
+        SELECT l_orderkey AS contract_id, l_linenumber AS instalment, CAST(l_shipdate AS DATE) AS due_date,
+               CAST(l_shipdate AS DATE) + CAST(l_suppkey % 9 - 4 AS INT) AS event_date,
+               CASE WHEN l_returnflag = 'N' AND l_linenumber = 7 THEN 'Penalty'
+                    WHEN l_returnflag = 'A' THEN 'Interest' ELSE 'Principal' END AS payment_type,
+               {_EXT} - CASE WHEN l_suppkey % 10 = 0 THEN 500 WHEN l_suppkey % 10 = 1 THEN -700 ELSE 0 END AS amount,
+               CASE WHEN l_suppkey % 50 = 0 AND l_linestatus = 'O' THEN 'Y' ELSE 'N' END AS early_termination,
+               CASE WHEN l_suppkey % 9 = 0 THEN 'LP' ELSE 'OK' END AS event,
+               {_CURRENCY_OF_KEY.format(k='l_orderkey')} AS currency
+        FROM {{lineitem}}""",
+    "due_instalment": f"""
+        SELECT l_orderkey AS contract_id, l_linenumber AS instalment, min(CAST(l_shipdate AS DATE)) AS due_date,
+               CAST(sum({_EXT}) AS BIGINT) AS amount_due, CAST(sum({_EXT} * (100 - {_TAX})) AS BIGINT) AS capital_due,
+               CAST(sum({_EXT} * {_TAX}) AS BIGINT) AS interest_due
+        FROM {{lineitem}} WHERE l_orderkey % 17 <> 0 AND l_quantity > 2 GROUP BY l_orderkey, l_linenumber""",
+    "past_due": """
+        SELECT o_orderkey AS loan_id, CAST(o_orderdate AS DATE) AS balance_date,
+               CASE WHEN o_orderkey % 3 = 0 THEN CAST(500 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS principal_overdue,
+               CASE WHEN o_orderkey % 6 = 0 THEN CAST(200 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS interest_overdue,
+               CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'ACTIVE' END AS status
+        FROM {orders}""",
+    "month_start_balance": f"""
+        SELECT l_orderkey AS loan_id, CAST(sum(CASE WHEN l_shipdate >= DATE '1998-03-01' THEN {_EXT} ELSE 0 END) AS BIGINT) AS principal_outstanding,
+               CAST(max({_TAX}) AS BIGINT) AS interest_outstanding
+        FROM {{lineitem}} GROUP BY l_orderkey""",
+    "month_end_balance": f"""
+        SELECT l_orderkey AS loan_id, CAST(sum(CASE WHEN l_shipdate >= DATE '1998-04-01' THEN {_EXT} ELSE 0 END) AS BIGINT) AS principal_outstanding,
+               CAST(max({_TAX}) AS BIGINT) AS interest_outstanding
+        FROM {{lineitem}} WHERE l_orderkey % 19 <> 0 GROUP BY l_orderkey""",
+    "opening_account": """
+        SELECT c_custkey AS account_id, CAST(round(c_acctbal * 100) AS BIGINT) AS capital_balance FROM {customer} WHERE c_custkey % 6 <> 1""",
+    "closing_account": """
+        SELECT c_custkey AS account_id, CAST(round(c_acctbal * 100) AS BIGINT) + coalesce(m, 0)
+               + CASE WHEN c_custkey % 8 = 0 THEN 55 ELSE 0 END AS capital_balance
+        FROM {customer} LEFT JOIN
+             (SELECT user_id, CAST(sum(CASE WHEN (event_type = 'error' AND event_id % 3 = 0) OR event_type IN ('view', 'click', 'signup')
+                              THEN CAST(round(value * 100) AS BIGINT) ELSE -CAST(round(value * 100) AS BIGINT) END) AS BIGINT) AS m
+              FROM {events} GROUP BY user_id) ON c_custkey = user_id WHERE c_custkey % 5 <> 2""",
+    "activity_summary": """
+        SELECT user_id AS account_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '213' ELSE CAST(event_id % 5 AS STRING) END AS code,
+               CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'Cr' ELSE 'Db' END AS dbcr,
+               CAST(count(*) AS BIGINT) AS tt_number, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tt_volume
+        FROM {events} WHERE event_id % 11 <> 0 AND (user_id % 4 > 0 OR event_id % 7 > 0) AND user_id % 9 <> 4 GROUP BY 1, 2, 3""",
     # ---- service generation -----------------------------------------------------------
     "hierarchy": """
         SELECT CAST(s_suppkey AS STRING) AS portfolio_manager_id, s_name AS portfolio_manager_name,
