@@ -131,7 +131,7 @@ VIEWS = {
                CAST(event_id % 5 AS STRING) AS stage_code, CAST(user_id % 25 AS STRING) AS department_id,
                CAST(event_id % 7 AS STRING) AS purpose_code, CAST(event_id % 7 AS STRING) AS product_code,
                CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
-               CASE WHEN event_type = 'purchase' THEN event_id % 20000 END AS loan_id,
+               CASE WHEN event_type = 'purchase' THEN event_id * 2 END AS loan_id,
                CAST(round(value * 100) AS BIGINT) AS requested_amount,
                CAST(round(value * 90) AS BIGINT) AS reviewed_amount, CAST(round(value * 80) AS BIGINT) AS approved_amount
         FROM {events}""",
@@ -257,6 +257,32 @@ VIEWS = {
                CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'Cr' ELSE 'Db' END AS dbcr,
                CAST(count(*) AS BIGINT) AS tt_number, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tt_volume
         FROM {events} WHERE event_id % 11 <> 0 AND (user_id % 4 > 0 OR event_id % 7 > 0) AND user_id % 9 <> 4 GROUP BY 1, 2, 3""",
+    "advance_instalment": """
+        SELECT event_id AS contract_id, CAST(user_id AS BIGINT) AS customer_id,
+               CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
+               CAST(ts AS DATE) + CAST(event_id % 8 AS INT) AS due_date, 1 AS instalment_number,
+               (1 + event_id % 4) * 20000 AS amount_due,
+               CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 37 END AS DOUBLE) AS delay
+        FROM {events}""",
+    "month_rate": """
+        SELECT currency, CAST(date_trunc('month', d) AS DATE) AS rate_date, CAST(1 + sum(event_id) % 5 AS BIGINT) AS rate FROM
+          (SELECT CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency, event_id,
+                  CAST(ts AS DATE) - 31 AS d FROM {events}
+           UNION ALL SELECT CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END, event_id, CAST(ts AS DATE) FROM {events}
+           UNION ALL SELECT CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END, event_id, CAST(ts AS DATE) + 31 FROM {events})
+        GROUP BY 1, 2""",
+    "core_text": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS d,
+          CASE l_suppkey % 5
+            WHEN 0 THEN CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate) AS STRING)
+            WHEN 1 THEN lpad(CAST(((year(l_shipdate) % 100) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) * CAST(10000 AS BIGINT)
+                             + (l_suppkey % 24) * 100 + l_partkey % 60 AS STRING), 10, '0')
+            WHEN 2 THEN CAST(year(l_shipdate) * 1000 + dayofyear(l_shipdate) AS STRING)
+            WHEN 3 THEN 'no date'
+            ELSE '99999999' END AS date_text,
+          CASE l_partkey % 4 WHEN 0 THEN '[NULL]' WHEN 1 THEN '' WHEN 2 THEN '12x' ELSE CAST(l_suppkey AS STRING) END AS number_text
+        FROM {lineitem}""",
+    "written_off": "SELECT l_orderkey AS loan_id FROM {lineitem} WHERE l_quantity = 50",
     # ---- service generation -----------------------------------------------------------
     "hierarchy": """
         SELECT CAST(s_suppkey AS STRING) AS portfolio_manager_id, s_name AS portfolio_manager_name,
