@@ -254,6 +254,19 @@ def e14(src):
     return out.select("account_id", "balance_date", "row_no")
 
 
+@query(
+    "e19_priority",
+    """SELECT contract_id, customer_id, due_date, count(v) OVER (PARTITION BY customer_id, due_date ORDER BY amount_due DESC, contract_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS priority
+       FROM (SELECT *, CASE WHEN delay < 30 THEN amount_due END AS v FROM advance_instalment)""",
+    "advance_instalment",
+)
+def e19(src):
+    df = src["advance_instalment"].withColumn("v", F.when(F.col("delay") < 30, F.col("amount_due")))
+    out = W.priority_number(df, ["customer_id", "due_date"], [F.desc("amount_due"), "contract_id"], "v")
+    return out.select("contract_id", "customer_id", "due_date", "priority")
+
+
 _FILL = """WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'view' THEN event_id END AS seen FROM events),
  g AS (SELECT user_id, day, max(seen) AS seen FROM e GROUP BY 1, 2),
  f AS (SELECT user_id, day, last_value(seen IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day {d} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_filled FROM g)
@@ -351,6 +364,18 @@ def h13(src):
     return src["loan"].select("loan_id", F.explode(spine).alias("month"))
 
 
+@query(
+    "h19_round_half_even",
+    "SELECT l_orderkey, l_partkey, CAST(round_even(CAST(l_suppkey AS DOUBLE) / 2, 0) AS BIGINT) AS even, "
+    "CAST(round(CAST(l_suppkey AS DOUBLE) / 2) AS BIGINT) AS away FROM lineitem",
+)
+def h19(src):
+    half = F.col("l_suppkey").cast("double") / 2
+    return src.table("lineitem").select(
+        "l_orderkey", "l_partkey", S.round_half_even(half).cast("long").alias("even"), S.to_long(half).alias("away")
+    )
+
+
 @query(
     "h22_clamp",
     "SELECT event_id, least(greatest(CAST(round(value * 100) AS BIGINT), 1000), 5000) AS limited FROM events",

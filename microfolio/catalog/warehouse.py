@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import decode as D
 from ..operators import fx as X
 from ..operators import versioning as V
-from ..operators.joins import null_safe_join
+from ..operators.windows import group_max
 from ..plans import warehouse as W
 from .base import query
 
@@ -354,5 +354,4 @@ def j15(src):
 )
 def e15(src):
     ev = src.table("events").select("event_id", "user_id", "ts")
-    last = ev.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
-    return null_safe_join(ev.drop("ts"), last, ["user_id"])
+    return group_max(ev, ["user_id"], "ts", "last_ts").drop("ts")

@@ -36,6 +36,11 @@ def to_long(c) -> Column:
     return F.round(col(c)).cast("long")
 
 
+def round_half_even(c, digits: int = 0) -> Column:
+    """Round with ties going to the even neighbour."""
+    return F.bround(col(c), digits)
+
+
 def ratio(num, den) -> Column:
     """Quotient; NULL where the divisor is 0."""
     return F.try_divide(col(num), col(den))

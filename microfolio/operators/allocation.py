@@ -251,11 +251,12 @@ def event_calculated(
     return out.select(*cols)
 
 
-def shift_capital_decrease(events: DataFrame, keep_zero: bool = False) -> DataFrame:
+def shift_capital_decrease(events: DataFrame, keep_zero: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Move the capital part of capital decreases to the due date; interest keeps its event date.
 
     Both parts of a row are emitted from one scan and summed again per (contract, instalment,
     due date, event date). Groups with no capital and no interest go unless ``keep_zero``.
+    ``keep`` names further columns that depend on the contract only.
     """
     zero = F.lit(0)
     parts = F.array(
@@ -271,8 +272,8 @@ def shift_capital_decrease(events: DataFrame, keep_zero: bool = False) -> DataFr
         ),
     )
     out = (
-        events.select("contract_id", "instalment", "due_date", F.explode(parts).alias("p"))
-        .groupBy("contract_id", "instalment", "due_date", F.col("p.d").alias("event_date"))
+        events.select("contract_id", "instalment", "due_date", *keep, F.explode(parts).alias("p"))
+        .groupBy("contract_id", "instalment", "due_date", F.col("p.d").alias("event_date"), *keep)
         .agg(
             F.sum(F.col("p.c") + F.col("p.i")).alias("total_paid"),
             F.sum("p.c").alias("capital_paid"),
@@ -334,14 +335,12 @@ def delay_histogram(instalments: DataFrame) -> DataFrame:
 
 
 def instalment_numbers(instalments: DataFrame) -> DataFrame:
-    """Running instalment number per contract by due date, on every row."""
+    """Running instalment number per contract by due date, on every row; equal due dates share it.
+
+    For frames bounded by the calendar per contract (allocated payments, accepted instalments).
+    """
     w = Window.partitionBy("contract_id").orderBy("due_date")
-    numbers = (
-        instalments.select("contract_id", "due_date")
-        .distinct()
-        .select("contract_id", "due_date", F.row_number().over(w).alias("instalment_number"))
-    )
-    return instalments.join(numbers, ["contract_id", "due_date"], "left")
+    return instalments.withColumn("instalment_number", F.dense_rank().over(w))
 
 
 def advance_classes(instalments: DataFrame) -> DataFrame:

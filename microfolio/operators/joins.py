@@ -1,6 +1,6 @@
 """Join helpers.
 
-No broadcast hints: Spark broadcasts a side by itself when its measured or estimated size
+No broadcast hints here: Spark broadcasts a side by itself when its measured or estimated size
 is under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise joins by shuffle, where
 adaptive execution splits skewed partitions.
 """

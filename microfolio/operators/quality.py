@@ -149,24 +149,24 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
 def _quantiles(hist: DataFrame, probs: list[float]) -> DataFrame:
     cuts = [i / BLOCKS for i in range(1, BLOCKS)]
     splits = hist.groupBy("column").agg(
-        F.array_distinct(F.percentile_approx("value", cuts, F.lit(4 * BLOCKS))).alias("splits")
-    )
-    cut = hist.join(splits, "column").select(
-        "column", "value", "n", F.size(F.filter("splits", lambda s: s < F.col("value"))).alias("block")
-    )
-    blocks = cut.groupBy("column", "block").agg(F.sum("n").alias("total"))
-    by_column = Window.partitionBy("column")
-    before = by_column.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "column",
-        "block",
-        F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"),
-        F.sum("total").over(by_column).alias("rows"),
+        F.array_distinct(F.percentile_approx("value", cuts, F.lit(4 * BLOCKS))).alias("splits"),
+        F.sum("n").alias("rows"),
     )
+    # Broadcast: one row of at most BLOCKS numbers per requested column.
+    # The block is the number of splits below the value, found by binary search.
+    cut = hist.join(F.broadcast(splits), "column").withColumn("block", F.lit(0))
+    step = BLOCKS // 2
+    while step:
+        passed = F.coalesce(F.get("splits", F.col("block") + (step - 1)) < F.col("value"), F.lit(False))
+        cut = cut.withColumn("block", F.col("block") + F.when(passed, step).otherwise(0))
+        step //= 2
     inside = Window.partitionBy("column", "block").orderBy("value")
+    cut = cut.select("column", "rows", "value", "n", "block").withColumn("upto", F.sum("n").over(inside))
+    blocks = cut.groupBy("column", "block").agg(F.max("upto").alias("total"))
+    before = Window.partitionBy("column").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("column", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
     ranked = (
-        cut.withColumn("upto", F.sum("n").over(inside))
-        .join(starts, ["column", "block"])
+        cut.join(F.broadcast(starts), ["column", "block"])  # at most BLOCKS rows per requested column
         .withColumn("hi", F.col("start") + F.col("upto"))
         .withColumn("lo", F.col("hi") - F.col("n"))
     )

@@ -33,13 +33,16 @@ def with_history(
     """Add version number and validity end (the update date of the following row) in one pass.
 
     Among tied rows only the last one by ``tiebreak`` ends at the next date; the others end
-    where they start. ``tiebreak`` must be unique within (keys, order).
+    where they start. ``tiebreak`` must be unique within (keys, order); ``order`` is a date, so
+    a key has at most one grain row per calendar day.
     """
-    tie = F.struct(*tiebreak)
+    tie = F.col(tiebreak[0]) if len(tiebreak) == 1 else F.struct(*tiebreak)
     grain = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("__n"), F.max(tie).alias("__last"))
-    run = running_over_grain(grain, keys, order, {"__n": version}, desc=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).asc())
-    run = run.withColumn("__next", F.lead(order).over(w)).drop("__n")
+    every = Window.partitionBy(*keys)
+    w = every.orderBy(F.col(order).asc())
+    # counting from the newest = all rows - rows up to here + rows here; one sort serves both columns
+    newer = F.sum("__n").over(every) - F.sum("__n").over(w) + F.col("__n")
+    run = grain.select(*keys, order, "__last", newer.alias(version), F.lead(order).over(w).alias("__next"))
     out = null_safe_join(df, run, [*keys, order])
     ends = F.when(tie.eqNullSafe(F.col("__last")), F.col("__next")).otherwise(F.col(order))
     return out.withColumn(end, ends).drop("__next", "__last")

@@ -95,6 +95,12 @@ def row_number(df: DataFrame, keys: list[str], order: list, out: str = "row_no")
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def priority_number(df: DataFrame, keys: list[str], order: list, value: str, out: str = "priority") -> DataFrame:
+    """Running count of non-NULL values in a given order, for groups bounded by the calendar or a prior aggregation."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.count(value).over(w))
+
+
 def group_max(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     """Maximum of the group on every row: partial maxima first, then a join back."""
     return null_safe_join(df, df.groupBy(*keys).agg(F.max(col).alias(out)), keys)

@@ -6,7 +6,7 @@ are named ``<amount>_khr``, ``<amount>_usd`` and ``<amount>_thb``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STAFF_PRODUCTS, STAFF_PRODUCTS_FIRST, to_long, zero_if_null
@@ -123,12 +123,15 @@ def event_scoring(
     the flag ignores the due date and rows without any amount stay. ``published_names`` adds two
     amounts under the misleading names they were once published with.
     """
-    paid = shift_capital_decrease(calculated, keep_zero=not final)
+    # the last payment is taken along from the allocation, which is then computed only once
+    latest = F.max("event_date").over(Window.partitionBy("contract_id"))
+    paid = shift_capital_decrease(
+        calculated.withColumn("last_payment_date", latest), not final, ("last_payment_date",)
+    )
     closing = balances.select(F.col("loan_id").alias("__b"), F.col("status").alias("__status"))
     loan = loans.select(F.col("loan_id").alias("__l"), "maturity_date", "currency", "customer_id")
     out = (
-        paid.join(_last_payment(calculated, "event_date"), F.col("contract_id") == F.col("__p"), "left")
-        .join(closing, F.col("contract_id") == F.col("__b"), "left")
+        paid.join(closing, F.col("contract_id") == F.col("__b"), "left")
         .join(loan, F.col("contract_id") == F.col("__l"), "left")
     )
     early = (F.col("__status").isNull() | (F.col("__status") == "CLOSED")) & (
@@ -137,7 +140,7 @@ def event_scoring(
     if final:
         early = early & (F.col("due_date") > F.col("last_payment_date"))
     out = out.withColumn("early_termination_flag", F.coalesce(early, F.lit(False))).drop(
-        "__p", "__b", "__l", "__status", "last_payment_date", "maturity_date"
+        "__b", "__l", "__status", "last_payment_date", "maturity_date"
     )
     out = _with_department(out, loans, departments, "capital_disbursed_amount")
     out = to_three(out, rates, ["total_paid", "capital_paid"], fixed_date=rate_date)

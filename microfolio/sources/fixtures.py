@@ -18,9 +18,9 @@ _CCY = (
     "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'USD' "
     "WHEN o_orderpriority = '3-MEDIUM' THEN 'THB' ELSE 'KHR' END"
 )
-_EXT = "CAST(round(l_extendedprice * 100) AS BIGINT)"
-_DISC = "CAST(round(l_discount * 100) AS BIGINT)"
-_TAX = "CAST(round(l_tax * 100) AS BIGINT)"
+_EXT = "CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)"
+_DISC = "CAST(floor(l_discount * 100 + 0.5) AS BIGINT)"
+_TAX = "CAST(floor(l_tax * 100 + 0.5) AS BIGINT)"
 _PRODUCT = "CASE {k} % 6 WHEN 0 THEN '21056' WHEN 1 THEN '3900' WHEN 2 THEN '21050' ELSE '21000' END"
 _CURRENCY_OF_KEY = "CASE {k} % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END"
 
@@ -39,8 +39,8 @@ VIEWS = {
         FROM {{lineitem}}""",
     "opening_arrears": """
         SELECT o_orderkey AS contract_id, DATE '1994-12-31' AS balance_date,
-               CASE WHEN o_orderstatus = 'P' THEN CAST(round(o_totalprice) AS BIGINT) * 100 ELSE 0 END AS principal_overdue,
-               CASE WHEN o_custkey % 4 = 0 THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END AS interest_overdue
+               CASE WHEN o_orderstatus = 'P' THEN CAST(floor(o_totalprice + 0.5) AS BIGINT) * 100 ELSE 0 END AS principal_overdue,
+               CASE WHEN o_custkey % 4 = 0 THEN CAST(floor(o_totalprice + 0.5) AS BIGINT) ELSE 0 END AS interest_overdue
         FROM {orders}""",
     # ---- loans, customers, accounts ---------------------------------------------------
     "loan": f"""
@@ -57,7 +57,7 @@ VIEWS = {
                CAST(o_custkey % 100 AS STRING) AS portfolio_manager_id,
                1 + o_orderkey % 4 AS cycle,
                CAST(o_custkey % 90 AS BIGINT) AS repayment_account_id,
-               CAST(round(o_totalprice * 100) AS BIGINT) AS capital_disbursed_amount
+               CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS capital_disbursed_amount
         FROM {{orders}}""",
     "loan_history": f"""
         SELECT l_orderkey AS loan_id, CAST(l_shipdate AS DATE) AS update_date,
@@ -99,24 +99,24 @@ VIEWS = {
                CASE c_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
                CASE WHEN c_custkey % 10 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS status,
                CASE WHEN c_custkey % 20 = 0 THEN DATE '2020-01-31' END AS end_date,
-               CAST(round(c_acctbal * 100) AS BIGINT) AS capital_balance
+               CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS capital_balance
         FROM {customer}""",
     "account_history": """
         SELECT user_id AS account_id, CAST(ts AS DATE) AS update_date, event_id AS record_id,
                CAST(user_id % 25 AS STRING) AS department_id, CAST(event_id % 25 AS STRING) AS account_code,
                CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
-               CAST(round(value * 100) AS BIGINT) AS overdraft_amount
+               CAST(floor(value * 100 + 0.5) AS BIGINT) AS overdraft_amount
         FROM {events}""",
     "account_balance": """
         SELECT user_id AS account_id, user_id AS customer_id, CAST(ts AS DATE) AS balance_date,
                CAST(user_id % 25 AS STRING) AS account_code,
                CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
-               CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS capital_balance,
-               CAST(max(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS available_balance
+               CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS capital_balance,
+               CAST(max(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS available_balance
         FROM {events} GROUP BY user_id, CAST(ts AS DATE)""",
     "account_movement": """
         SELECT event_id AS transaction_id, user_id AS account_id, user_id AS customer_id, ts AS transaction_time,
-               CAST(ts AS DATE) AS event_date, CAST(round(value * 100) AS BIGINT) AS amount,
+               CAST(ts AS DATE) AS event_date, CAST(floor(value * 100 + 0.5) AS BIGINT) AS amount,
                CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'Cr' ELSE 'Db' END AS dbcr,
                CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '213' ELSE CAST(event_id % 5 AS STRING) END AS code,
                CAST(user_id % 25 AS STRING) AS department_id,
@@ -132,8 +132,8 @@ VIEWS = {
                CAST(event_id % 7 AS STRING) AS purpose_code, CAST(event_id % 7 AS STRING) AS product_code,
                CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
                CASE WHEN event_type = 'purchase' THEN event_id * 2 END AS loan_id,
-               CAST(round(value * 100) AS BIGINT) AS requested_amount,
-               CAST(round(value * 90) AS BIGINT) AS reviewed_amount, CAST(round(value * 80) AS BIGINT) AS approved_amount
+               CAST(floor(value * 100 + 0.5) AS BIGINT) AS requested_amount,
+               CAST(floor(value * 90 + 0.5) AS BIGINT) AS reviewed_amount, CAST(floor(value * 80 + 0.5) AS BIGINT) AS approved_amount
         FROM {events}""",
     "payment_event": f"""
         SELECT l_orderkey AS contract_id, l_linenumber AS instalment, l_suppkey % 4 AS transaction_id,
@@ -244,18 +244,18 @@ VIEWS = {
                CAST(max({_TAX}) AS BIGINT) AS interest_outstanding
         FROM {{lineitem}} WHERE l_orderkey % 19 <> 0 GROUP BY l_orderkey""",
     "opening_account": """
-        SELECT c_custkey AS account_id, CAST(round(c_acctbal * 100) AS BIGINT) AS capital_balance FROM {customer} WHERE c_custkey % 6 <> 1""",
+        SELECT c_custkey AS account_id, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS capital_balance FROM {customer} WHERE c_custkey % 6 <> 1""",
     "closing_account": """
-        SELECT c_custkey AS account_id, CAST(round(c_acctbal * 100) AS BIGINT) + coalesce(m, 0)
+        SELECT c_custkey AS account_id, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) + coalesce(m, 0)
                + CASE WHEN c_custkey % 8 = 0 THEN 55 ELSE 0 END AS capital_balance
         FROM {customer} LEFT JOIN
              (SELECT user_id, CAST(sum(CASE WHEN (event_type = 'error' AND event_id % 3 = 0) OR event_type IN ('view', 'click', 'signup')
-                              THEN CAST(round(value * 100) AS BIGINT) ELSE -CAST(round(value * 100) AS BIGINT) END) AS BIGINT) AS m
+                              THEN CAST(floor(value * 100 + 0.5) AS BIGINT) ELSE -CAST(floor(value * 100 + 0.5) AS BIGINT) END) AS BIGINT) AS m
               FROM {events} GROUP BY user_id) ON c_custkey = user_id WHERE c_custkey % 5 <> 2""",
     "activity_summary": """
         SELECT user_id AS account_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '213' ELSE CAST(event_id % 5 AS STRING) END AS code,
                CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'Cr' ELSE 'Db' END AS dbcr,
-               CAST(count(*) AS BIGINT) AS tt_number, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tt_volume
+               CAST(count(*) AS BIGINT) AS tt_number, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS tt_volume
         FROM {events} WHERE event_id % 11 <> 0 AND (user_id % 4 > 0 OR event_id % 7 > 0) AND user_id % 9 <> 4 GROUP BY 1, 2, 3""",
     "advance_instalment": """
         SELECT event_id AS contract_id, CAST(user_id AS BIGINT) AS customer_id,
@@ -301,7 +301,7 @@ VIEWS = {
         FROM {{lineitem}}""",
     "s_balance": """
         SELECT event_id AS loan_id, CAST(user_id AS BIGINT) AS customer_id, CAST(user_id % 100 AS STRING) AS portfolio_manager_id,
-               ts AS r_time, CAST(ts AS DATE) AS balance_date, CAST(round(value * 100) AS BIGINT) AS principal_outstanding,
+               ts AS r_time, CAST(ts AS DATE) AS balance_date, CAST(floor(value * 100 + 0.5) AS BIGINT) AS principal_outstanding,
                CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS days_overdue,
                CASE WHEN event_type <> 'error' THEN 'Active' ELSE 'Closed' END AS status,
                CASE WHEN event_type IN ('view', 'click') THEN 'Micro' ELSE 'Small' END AS loan_name,
@@ -315,7 +315,7 @@ VIEWS = {
                     WHEN event_type = 'purchase' THEN 'D' ELSE 'Z' END AS class
         FROM {events} WHERE user_id % 5 <> 0""",
     "s_eligible": """
-        SELECT event_id AS current_loan_id, CAST(ts AS DATE) AS scoring_date, CAST(round(value * 150) AS BIGINT) AS new_loan_amount
+        SELECT event_id AS current_loan_id, CAST(ts AS DATE) AS scoring_date, CAST(floor(value * 150 + 0.5) AS BIGINT) AS new_loan_amount
         FROM {events} WHERE event_type IN ('view', 'purchase')""",
     "s_objective": f"""
         SELECT CAST(l_suppkey AS STRING) AS portfolio_manager_id, DATE '2023-01-31' AS month_last_date,

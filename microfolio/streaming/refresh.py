@@ -19,13 +19,14 @@ def refresh_on_load(
     checkpoint: str,
     build: Callable[[DataFrame], DataFrame],
     sink: Callable[[DataFrame], None],
+    glob: str = "*.parquet",
 ):
     """Run ``sink(build(new rows))`` for everything that has landed since the last run, then stop.
 
     ``sink`` must be repeatable (snapshot or truncating writes), because a batch that failed half-way
-    is run again. Returns the finished query.
+    is run again. ``glob`` picks the files of one table. Returns the finished query.
     """
-    stream = spark.readStream.schema(schema).parquet(landing)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(landing)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         sink(build(batch))
