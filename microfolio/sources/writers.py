@@ -12,27 +12,26 @@ def range_bucket(df: DataFrame, column: str, low: int = 0, high: int = 200, out:
     return df.withColumn(out, F.when((x >= low) & (x < high), F.floor(x).cast("int")))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None, spread: int = 1):
-    """Parquet directory. With partition columns, rows are shuffled by them first.
+def by_partition(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Bring rows of a partition value together in tasks of about equal size.
 
-    That bounds the number of files per partition value. ``spread`` lets each value be written by
-    that many tasks, for values that hold a large part of the rows.
+    The rebalance hint lets adaptive execution split values that hold many rows and merge small ones,
+    so one value may hold any part of the table.
     """
-    writer_df = df
-    if partition_by:
-        keys = [F.col(c) for c in partition_by]
-        if spread > 1:
-            keys.append(F.floor(F.rand(7) * spread))
-        writer_df = df.repartition(*keys)
-    writer = writer_df.write.mode(mode)
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None):
+    """Parquet directory, optionally partitioned by columns."""
+    writer = (by_partition(df, partition_by) if partition_by else df).write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
-def write_range_bucketed(df: DataFrame, path: str, column: str, low: int = 0, high: int = 200, spread: int = 8):
+def write_range_bucketed(df: DataFrame, path: str, column: str, low: int = 0, high: int = 200):
     """Table partitioned by unit buckets of a column."""
-    write_table(range_bucket(df, column, low, high), path, "overwrite", ["bucket"], spread)
+    write_table(range_bucket(df, column, low, high), path, "overwrite", ["bucket"])
 
 
 def append_snapshot(df: DataFrame, path: str, date_col: str = "update_date"):
@@ -42,7 +41,7 @@ def append_snapshot(df: DataFrame, path: str, date_col: str = "update_date"):
     double its rows.
     """
     (
-        df.repartition(F.col(date_col))
+        by_partition(df, [date_col])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_col)
