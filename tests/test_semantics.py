@@ -388,3 +388,18 @@ def test_reads_with_permission_and_defaults(spark):
     assert rows(serving.customers(people, "a_"), "customer_id") == [("A_1",)]
     feed = spark.createDataFrame([("1", i) for i in range(5)], "portfolio_manager_id string, date_time int")
     assert [r["date_time"] for r in serving.events_feed(feed, "1", limit=2).collect()] == [3, 2]
+
+
+def test_allocation_with_one_contract_holding_a_third_of_the_rows(spark):
+    rnd = random.Random(8)
+    sched = [(0 if i % 3 == 0 else i, i, day(rnd.randrange(300)), rnd.randrange(1, 90), rnd.randrange(9)) for i in range(3000)]
+    pay = [(0 if i % 3 == 0 else i, day(rnd.randrange(300)), rnd.randrange(1, 80), "420") for i in range(3000)]
+    s = spark.createDataFrame(sched, "contract_id int, instalment int, due_date date, capital_due long, interest_due long")
+    p = spark.createDataFrame(pay, "contract_id int, event_date date, amount long, code string")
+    got = {r["contract_id"]: r["x"] for r in allocation.event_calculated(s, p).groupBy("contract_id").agg(F.sum("total_paid").alias("x")).collect()}
+    due, paid = {}, {}
+    for c, _, _, a, b in sched:
+        due[c] = due.get(c, 0) + a + b
+    for c, _, a, _ in pay:
+        paid[c] = paid.get(c, 0) + a
+    assert got == {c: min(due[c], paid[c]) for c in due if c in paid}
