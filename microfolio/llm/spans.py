@@ -70,10 +70,10 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 def find(data: np.ndarray, starts: np.ndarray, width: int, seed: int):
     """Spans of the texts that lie one after another in ``data``; ``starts`` has their bounds.
 
-    Returns (text number, first window's place in the text, windows, seed hash, content hash);
-    a span covers windows + width - 1 bytes.
+    Returns (text number, first window's place in the text, windows, place of the seed after the
+    first window's start, seed hash, content hash); a span covers windows + width - 1 bytes.
     """
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+    none = (np.zeros(0, np.int64),) * 6
     lengths = np.diff(starts)
     if not (lengths >= width).any():
         return none
@@ -89,4 +89,4 @@ def find(data: np.ndarray, starts: np.ndarray, width: int, seed: int):
     first = windows[edge]
     end = first + count + width - 1
     content = mixed(two.of(first, end) + (count.astype(np.uint64) << np.uint64(40))) ^ mixed(one.of(first, end))
-    return text[edge], first - starts[text[edge]], count, one.of(at[edge], at[edge] + seed).view(np.int64), content.view(np.int64)
+    return text[edge], first - starts[text[edge]], count, at[edge] - first, one.of(at[edge], at[edge] + seed).view(np.int64), content.view(np.int64)
