@@ -1,7 +1,70 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: toxic documents, exact copies, near copies and repeated passages go, the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of
+``documents``. A stage sees all rows its predecessor kept and nothing else, but for the labels the
+first one learns from. The stages hold nothing SQL could say with the same result (a trained network,
+tokenizers and sets of shingles), so there is no SQL counterpart; tests compare with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from microfolio.llm import catalog, exact_dedup, near_dedup, packing, suffix_dedup, toxicity
+from microfolio.llm.common import documents, staged
+
+NEAR_PERCENT = 80
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows whose id is in ``kept``; rows without an id stay."""
+    ids = kept.select(F.col("doc_id").alias("kept_id__")).distinct()
+    return docs.join(ids, docs.doc_id == ids.kept_id__, "left").where("doc_id is null or kept_id__ is not null").drop("kept_id__")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model rejects go; a null text has nothing to reject."""
+    columns = docs.columns
+    flagged = toxicity.score_rows(docs, catalog.toxicity_model(spark, sf_dir))
+    return flagged.where("toxic_predicted__ = 0").select(columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal normalised texts the row with the smallest id stays."""
+    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the row with the smallest id stays."""
+    return _keep(docs, near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes that also start elsewhere are cut out; ``n_chars`` follows."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return packing.pack(docs, catalog.vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for number, (name, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = staged(docs, f"pipeline-{name}")
+    return docs

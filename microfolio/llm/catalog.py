@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, suffix_dedup, token_count, token_files
-from .common import documents
+from . import byte_bpe, exact_dedup, fingerprints, language, near_dedup, packing, suffix_dedup, token_count, token_files, toxicity
+from .common import crc_of, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +73,22 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """Trained on labelled documents outside the held-out quarter."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.train(documents(spark, sf_dir), labels, crc_of("doc_id", 4) != 2)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(documents(spark, sf_dir), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(crc_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs, language.train(docs, crc_of("doc_id", 3) != 1))
+    return found.select("doc_id", F.coalesce(crc_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

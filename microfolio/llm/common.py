@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BATCH_BYTES = 4 << 20
 
@@ -52,7 +53,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(begin)
 
 
-def map_pieces(df: DataFrame, column: str, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_pieces(df: DataFrame, column: str, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """``function`` over bounded runs of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
