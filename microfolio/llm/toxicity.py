@@ -30,8 +30,9 @@ from .spans import _Roll, mixed
 WINDOW, STRIDE = 24, 12
 BUCKETS, TRIGRAMS, VECTOR, HIDDEN, ATTENTION = 1 << 15, 1 << 12, 8, 8, 8
 TOXIC, CLEAN, PER_TEXT = 600, 900, 32
-ROUNDS, BATCH, RATE = 6, 128, 0.02
+ROUNDS, BATCH, RATE = 6, 48, 0.02
 THRESHOLD = 0.3
+LEAST_DOCUMENTS = 3
 AT_ONCE = 1 << 19
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -80,7 +81,7 @@ class GatedNetwork:
         rng = np.random.default_rng(seed)
         d, h = 2 * VECTOR, HIDDEN
         self.p = {
-            "word": rng.normal(0, 0.1, (BUCKETS, VECTOR)), "char": rng.normal(0, 0.3, (TRIGRAMS + 1, VECTOR)),
+            "word": np.zeros((BUCKETS, VECTOR)), "char": rng.normal(0, 0.3, (TRIGRAMS + 1, VECTOR)),
             "x": rng.normal(0, d**-0.5, (d, 6 * h)), "xb": np.zeros(6 * h),
             "gate0": rng.normal(0, h**-0.5, (h, 2 * h)), "new0": rng.normal(0, h**-0.5, (h, h)),
             "gate1": rng.normal(0, h**-0.5, (h, 2 * h)), "new1": rng.normal(0, h**-0.5, (h, h)),
@@ -181,6 +182,7 @@ class GatedNetwork:
         owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
+        rare = self._rare(windows, owner)
         for turn in range(rounds):
             logit = self._each(windows) if turn else rng.random(len(windows))
             order = np.lexsort((-logit, owner))
@@ -192,7 +194,9 @@ class GatedNetwork:
                 step += 1
                 part = pick[i : i + BATCH]
                 f = Features([windows[k] for k in part])
-                for k, g in self._gradient(f, f.windows()[0], labels[owner[part]]).items():
+                gradient = self._gradient(f, f.windows()[0], labels[owner[part]])
+                gradient["word"][rare] = 0
+                for k, g in gradient.items():
                     m, v = state[k]
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
@@ -204,6 +208,14 @@ class GatedNetwork:
             self.document[:2] = np.maximum(self.document[:2], 0)
         return self
 
+    @staticmethod
+    def _rare(windows: list[str], owner: np.ndarray) -> np.ndarray:
+        """Word buckets of fewer than ``LEAST_DOCUMENTS`` documents: learning them is learning the documents by heart."""
+        f = Features(windows)
+        text = owner[np.repeat(np.arange(len(windows)), f.words)]
+        seen = np.unique(np.stack([f.bucket, text], axis=1), axis=0)[:, 0]
+        return np.bincount(seen, minlength=BUCKETS) < LEAST_DOCUMENTS
+
     def _each(self, windows: list[str]) -> np.ndarray:
         return np.concatenate([self.window_logits(windows[i : i + 4096])[0] for i in range(0, len(windows), 4096)])
 
