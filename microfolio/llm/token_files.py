@@ -47,23 +47,29 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+def id_type(tokenizer_path: str) -> str:
+    """The smallest unsigned type for all ids of the vocabulary."""
+    return "<u2" if len(ByteBPE.from_json(tokenizer_path).bytes_of) <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, ids as little-endian 32-bit integers, the end id 0 included)."""
+    """(doc_id, ids as little-endian integers of ``id_type``, the end id 0 included)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = ByteBPE.from_json(tokenizer_path)
-        return named(batch, ["doc_id"], ids=pa.array([bpe.encode(t) + END for t in texts(batch)], pa.binary()))
+        bpe, kind = ByteBPE.from_json(tokenizer_path), id_type(tokenizer_path)
+        ids = [np.frombuffer(bpe.encode(t) + END, "<u4").astype(kind).tobytes() for t in texts(batch)]
+        return named(batch, ["doc_id"], ids=pa.array(ids, pa.binary()))
 
     return map_pieces(docs.select("doc_id", "text"), "text", run, "doc_id long, ids binary")
 
 
-def ranked_ids(tokens: DataFrame) -> DataFrame:
+def ranked_ids(tokens: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all documents; each task sends one row per id it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
             if len(got) > len(total):
                 got, total = total, got.astype(np.int64)
             total[: len(got)] += got
@@ -73,16 +79,16 @@ def ranked_ids(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _blocks(rank_of: np.ndarray):
+def _blocks(rank_of: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, docs, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
-        names = [x.split()[0] for x in BLOCKS.split(", ")]
+        names, width = [x.split()[0] for x in BLOCKS.split(", ")], np.dtype(kind).itemsize
 
         def block() -> pa.RecordBatch:
             nonlocal start, docs, ids, size
-            joined = np.frombuffer(b"".join(ids), "<u4")
+            joined = np.frombuffer(b"".join(ids), kind)
             control, data = pack_ranks(rank_of[joined])
-            row = [shard, start, len(joined), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs]).tobytes(), np.array([len(i) // 4 for i in ids], "<i8").tobytes(), control, data]
+            row = [shard, start, len(joined), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs]).tobytes(), np.array([len(i) // width for i in ids], "<i8").tobytes(), control, data]
             start, docs, ids, size = start + len(joined), [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in row], names=names)
 
@@ -90,7 +96,7 @@ def _blocks(rank_of: np.ndarray):
             for doc, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 docs.append(doc)
                 ids.append(own)
-                size += len(own) // 4
+                size += len(own) // width
                 if size >= BLOCK_IDS:
                     yield block()
         if docs:
@@ -106,13 +112,14 @@ def write(docs: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
     in the order of their ids. Other columns are not read; an empty table gives no block.
     """
     tokens = staged(tokenised(docs, tokenizer_path), "tokens")
-    counts = ranked_ids(tokens).orderBy(F.desc("n"), "id").toPandas()  # one row per id of the vocabulary at most
+    kind = id_type(tokenizer_path)
+    counts = ranked_ids(tokens, kind).orderBy(F.desc("n"), "id").toPandas()  # one row per id of the vocabulary at most
     ids = counts["id"].to_numpy(np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     rank_of[ids] = np.arange(len(ids))
     ranks = staged(tokens.sparkSession.createDataFrame([(ids.astype("<u4").tobytes(),)], "ids binary"), "ranks")
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return staged(ordered.mapInArrow(_blocks(rank_of), BLOCKS), "blocks"), ranks
+    return staged(ordered.mapInArrow(_blocks(rank_of, kind), BLOCKS), "blocks"), ranks
 
 
 def read(blocks: DataFrame, ranks: DataFrame, digest: bool = False) -> DataFrame:
