@@ -126,7 +126,7 @@ def read(blocks: DataFrame, ranks: DataFrame, digest: bool = False) -> DataFrame
     """Per document: doc_id, start (ids of all documents before), n_tokens, and ids or their crc32."""
     before = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn(
         "before", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    )  # a row per shard
+    )  # a row per shard, of which there are as many as partitions; small enough to broadcast
     id_of = np.frombuffer(bytes(ranks.first()["ids"]), "<u4")
     kind = pa.int64() if digest else pa.binary()
 
@@ -142,4 +142,4 @@ def read(blocks: DataFrame, ranks: DataFrame, digest: bool = False) -> DataFrame
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
-    return blocks.join(before.select("shard", "before"), "shard").mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
+    return blocks.join(F.broadcast(before.select("shard", "before")), "shard").mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
