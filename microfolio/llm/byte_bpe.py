@@ -111,8 +111,8 @@ class ByteBPE:
 
     def offsets(self, text: str, ids: bytes) -> tuple[list[int], list[int]]:
         """First character and the one after the last of each token; shared characters count for both."""
-        lengths = [len(self.bytes_of[i]) for i in np.frombuffer(ids, "<u4").tolist()]
-        ends = np.cumsum(lengths, dtype=np.int64)
+        lengths = np.array([len(self.bytes_of[i]) for i in np.frombuffer(ids, "<u4").tolist()], np.int64)
+        ends = np.cumsum(lengths)
         data = np.frombuffer(text.encode(), np.uint8)
         character = np.cumsum((data & 0xC0) != 0x80) - 1
         return character[ends - lengths].tolist(), (character[ends - 1] + 1).tolist()
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         return named(
             batch,
             ["doc_id"],
-            ids=pa.array([np.frombuffer(i, "<u4") for i in ids], pa.list_(pa.int64())),
+            ids=pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], pa.list_(pa.int64())),
             starts=pa.array([p[0] for p in places], pa.list_(pa.int64())),
             ends=pa.array([p[1] for p in places], pa.list_(pa.int64())),
         )
