@@ -34,23 +34,12 @@ PERCENT = 85
 TREES, LEVELS, SMALL = 10, 6, 48
 #: Standard deviations of agreement below which a candidate goes.
 SLACK = 6.0
-REMEMBERED = 400_000
+PIECE_BYTES = 1 << 20
 SIGNED = "doc_id long, n_shingles long, set_id binary, minima array<int>"
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _MINIMA = np.random.default_rng(6).integers(1, 2**63, TREES * LEVELS, dtype=np.uint64) | np.uint64(1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = found
-        return found
-
-
-_words = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -60,7 +49,7 @@ def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes: A-Z in lower case, words between ASCII white space."""
     words = (text or "").encode().lower().split()
     n = len(words)
-    hashed = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     if n == 0:
         return hashed
     m = max(n - WORDS + 1, 1)
@@ -73,8 +62,8 @@ def shingles(text: str | None) -> np.ndarray:
 def minima(found: np.ndarray) -> np.ndarray:
     """For each function, 32 bits that name the smallest shingle."""
     out = np.full(len(_MINIMA), np.iinfo(np.uint64).max)
-    for i in range(0, len(found), 2048):
-        part = found[i : i + 2048, None] * _MINIMA[None, :]
+    for i in range(0, len(found), 512):
+        part = found[i : i + 512, None] * _MINIMA[None, :]
         part ^= part >> np.uint64(32)
         part *= np.uint64(0xD6E8FEB86659FD93)
         np.minimum(out, part.min(axis=0), out=out)
@@ -82,7 +71,7 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE_BYTES):
         sizes, ids, least = [], [], []
         for text in batch.column("text").to_pylist():
             found = shingles(text)
@@ -96,7 +85,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE_BYTES):
         found = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
