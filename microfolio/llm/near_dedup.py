@@ -126,6 +126,7 @@ def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> t
     rows, found = _tree_rows(reps), None
     for level in range(1, LEVELS + 1):
         nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n_shingles")).alias("first")).where("size > 1")
+        nodes = staged(nodes, f"nodes{level}")  # read anew, so that the join may split a large node
         held = staged(rows.join(nodes, "node"), f"level{level}")
         leaves = _pairs_of(held.where(F.col("size") <= small).select("node", "rep", "n_shingles"), percent)
         large = held.where(F.col("size") > small)
