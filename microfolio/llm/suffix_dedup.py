@@ -177,6 +177,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int =
     found = staged(texts.where(F.octet_length("text") >= width).mapInArrow(_spans(width, seed), SPAN), "spans")
     seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
     shared = seeds.where("n > 1").select("seed", (F.col("a") != F.col("b")).alias("contested"))
+    shared = staged(shared, "seeds")  # read anew, so that the join may split a hot seed
     found = staged(found.join(shared, "seed"), "shared-spans")
     kinds = staged(
         found.groupBy("seed", "content").agg(
