@@ -75,9 +75,9 @@ _COVER = f"""{_BALANCES},
      FROM dd LEFT JOIN month_rate r ON dd.currency = r.currency AND year(dd.date) = year(r.rate_date) AND month(dd.date) = month(r.rate_date)),
   pr AS (SELECT *, coalesce(sum(khr) OVER (PARTITION BY customer_id, date ORDER BY due_date, khr DESC, contract_id
      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM kd),
-  cv AS (SELECT pr.*, least(greatest(greatest(coalesce(balance_khr, 0) - taken, 0) / khr, 0), 1) AS cover
+  cv AS (SELECT pr.*, CASE WHEN khr > 0 THEN least(greatest(greatest(coalesce(balance_khr, 0) - taken, 0) / khr, 0), 1) END AS cover
      FROM pr LEFT JOIN bal ON pr.customer_id = bal.customer_id AND pr.date = bal.date),
-  adv AS (SELECT customer_id, CAST(due_date - 20 AS DATE) AS window_start, least(sum(cover), 20.0) AS advance FROM cv GROUP BY 1, 2)"""
+  adv AS (SELECT customer_id, CAST(due_date - 20 AS DATE) AS window_start, CASE WHEN count(*) = count(khr) THEN least(sum(cover), 20.0) END AS advance FROM cv GROUP BY 1, 2)"""
 _COVER_VIEWS = "account_balance month_rate advance_instalment"
 
 

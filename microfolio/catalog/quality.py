@@ -89,7 +89,7 @@ def m11(src):
 @query(
     "m12_not_in",
     """WITH sc AS (SELECT DISTINCT s.contract_id, l.customer_id AS schedule_customer_id FROM schedule s JOIN loan l ON s.contract_id = l.loan_id),
-       ls AS (SELECT loan_id AS contract_id, customer_id AS loan_customer_id FROM loan WHERE product_code <> '21000')
+       ls AS (SELECT loan_id AS contract_id, CASE WHEN product_code <> '21000' THEN customer_id ELSE -customer_id END AS loan_customer_id FROM loan)
        SELECT sc.*, ls.loan_customer_id FROM sc LEFT JOIN ls USING (contract_id)
        WHERE schedule_customer_id NOT IN (SELECT loan_customer_id FROM ls)""",
     "schedule loan",
@@ -100,9 +100,8 @@ def m12(src):
         src["schedule"].select("contract_id").distinct()
         .join(loans.select(F.col("loan_id").alias("contract_id"), F.col("customer_id").alias("schedule_customer_id")), "contract_id")
     )
-    scored = loans.where(F.col("product_code") != "21000").select(
-        F.col("loan_id").alias("contract_id"), F.col("customer_id").alias("loan_customer_id")
-    )
+    known = F.when(F.col("product_code") != "21000", F.col("customer_id")).otherwise(-F.col("customer_id"))
+    scored = loans.select(F.col("loan_id").alias("contract_id"), known.alias("loan_customer_id"))
     missing = J.not_in(sched, scored, "schedule_customer_id", "loan_customer_id")
     return missing.join(scored, "contract_id", "left")
 

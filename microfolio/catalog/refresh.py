@@ -1,36 +1,51 @@
-"""A mart refreshed from landed files."""
+"""Marts refreshed from landed files."""
 
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from ..sources.writers import append_snapshot
-from ..streaming.refresh import refresh_on_load
+from ..session import shared_folder
+from ..streaming.refresh import appended, landing_of, rebuilt, rebuilt_days, refresh_on_load, truncated
+from . import service
 from .base import query
 
 
+def _folder(src) -> str:
+    return f"{shared_folder(src.spark)}/refresh-{uuid.uuid4().hex}"
+
+
+def _on_events(src, folder, refresh):
+    landing, glob = landing_of(src.spark, f"{src.sf_dir}/events.parquet")
+    refresh_on_load(src.spark, landing, src.table("events").schema, f"{folder}/progress", refresh, glob)
+
+
+def movements(rows):
+    day = F.col("ts").cast("date").alias("update_date")
+    return rows.groupBy(day, "event_type").agg(F.count(F.lit(1)).alias("movements"), F.sum("event_id").alias("id_sum"))
+
+
 @query(
     "r1_refresh_on_load",
     """SELECT CAST(ts AS DATE) AS update_date, event_type, count(*) AS movements, CAST(sum(event_id) AS BIGINT) AS id_sum
        FROM events GROUP BY 1, 2""",
 )
 def r1(src):
-    folder = f"{checkpoint_dir(src.spark)}/refresh-{uuid.uuid4().hex}"
-
-    def build(rows):
-        day = F.col("ts").cast("date").alias("update_date")
-        return rows.groupBy(day, "event_type").agg(
-            F.count(F.lit(1)).alias("movements"), F.sum("event_id").alias("id_sum")
-        )
-
-    refresh_on_load(
-        src.spark,
-        src.sf_dir,
-        src.table("events").schema,
-        f"{folder}/progress",
-        build,
-        lambda mart: append_snapshot(mart, f"{folder}/mart"),
-        glob="events.parquet",
-    )
+    folder = _folder(src)
+    _on_events(src, folder, rebuilt_days(lambda: src.table("events"), "CAST(ts AS DATE)", movements, f"{folder}/mart"))
+    return src.spark.read.parquet(f"{folder}/mart")
+
+
+@query("r1_appended_history_box", f"WITH {service.P1} SELECT * FROM p1", service.P1_VIEWS)
+def r1_appended(src):
+    """An appending service mart, built from whole tables when events land."""
+    folder = _folder(src)
+    _on_events(src, folder, rebuilt(lambda: service.history_box(src), appended(f"{folder}/mart")))
+    return src.spark.read.parquet(f"{folder}/mart")
+
+
+@query("r1_truncated_arrears_summary", f"WITH {service.P6} SELECT * FROM p6", service.P6_VIEWS)
+def r1_truncated(src):
+    """A truncating service mart, built from whole tables when events land."""
+    folder = _folder(src)
+    _on_events(src, folder, rebuilt(lambda: service.arrears_summary(src), truncated(f"{folder}/mart")))
     return src.spark.read.parquet(f"{folder}/mart")

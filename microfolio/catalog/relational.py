@@ -413,7 +413,7 @@ def i2(src):
     )
 
 
-_CORE = """SELECT concat('LD', lpad(CAST(l_orderkey AS STRING), 10, '0')) AS loan, l_orderkey, l_linenumber, l_suppkey, date_text, CAST(l_partkey AS STRING) AS trnamt,
+_CORE = """SELECT concat('LD', lpad(CAST(l_orderkey AS STRING), 10, '0')) AS loan, l_orderkey, l_linenumber, l_suppkey, d, date_text, CAST(l_partkey AS STRING) AS trnamt,
   CAST(l_suppkey AS STRING) AS priamt, number_text AS intamt FROM core_text"""
 
 
@@ -421,8 +421,8 @@ _CORE = """SELECT concat('LD', lpad(CAST(l_orderkey AS STRING), 10, '0')) AS loa
     "l13_core_payments",
     f"""WITH c AS ({_CORE.replace('STRING', 'VARCHAR')}),
      r AS (SELECT c.*, CASE l_linenumber WHEN 1 THEN '420' WHEN 2 THEN '434' WHEN 3 THEN '752' WHEN 4 THEN '402' ELSE '430' END AS code,
-        coalesce(TRY_CAST(intamt AS DOUBLE), 0) AS i, CAST(l_suppkey AS DOUBLE) AS p FROM c WHERE l_suppkey % 5 = 0)
-     SELECT loan AS contract_id, strptime(date_text, '%Y%m%d')::DATE AS event_date, CAST(sum(CAST(trnamt AS BIGINT)) AS BIGINT) AS total_paid,
+        coalesce(TRY_CAST(intamt AS DOUBLE), 0) AS i, CAST(l_suppkey AS DOUBLE) AS p FROM c)
+     SELECT loan AS contract_id, CASE WHEN l_suppkey % 5 IN (0, 2) OR (l_suppkey % 5 = 1 AND date_text[1] <> '9') THEN d END AS event_date, CAST(sum(CAST(trnamt AS BIGINT)) AS BIGINT) AS total_paid,
        CAST(sum(p) AS BIGINT) AS capital_paid, CAST(sum(i) AS BIGINT) AS interest_paid, CAST(0 AS BIGINT) AS penalty_paid
      FROM r WHERE code IN ('420', '434', '752') AND (p > 0 OR i > 0) GROUP BY 1, 2""",
     "core_text",
@@ -430,7 +430,7 @@ _CORE = """SELECT concat('LD', lpad(CAST(l_orderkey AS STRING), 10, '0')) AS loa
 def l13_core(src):
     code = F.expr("CASE l_linenumber WHEN 1 THEN '420' WHEN 2 THEN '434' WHEN 3 THEN '752' WHEN 4 THEN '402' ELSE '430' END")
     loan = F.concat(F.lit("LD"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"))
-    raw = src["core_text"].where(F.col("l_suppkey") % 5 == 0).select(
+    raw = src["core_text"].select(
         F.lit("2").alias("trnid"),
         F.when(F.col("l_linenumber") == 2, F.concat(F.lit("PD"), loan)).otherwise(loan).alias("acc"),
         code.alias("trncode"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,11 +165,3 @@ def tolerance_of(currency, tolerances=None, scale=1) -> Column:
         hit = col(currency) == code
         out = F.when(hit, v) if out is None else out.when(hit, v)
     return out
-
-
-def any_of(conds) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
-def all_of(conds) -> Column:
-    return reduce(lambda a, b: a & b, conds)

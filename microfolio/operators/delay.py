@@ -69,6 +69,8 @@ def advance_cover(instalments: DataFrame, balances: DataFrame, rates: DataFrame,
     (earlier due date, then larger amount) over the amount, limited to [0, 1]; summed per customer
     and window start and capped at n_days. ``instalments`` are those paid without delay.
 
+    A window with a day that has no rate has no cover (NULL), so it leaves the score alone.
+
     Equal instalments of a customer are counted first: n copies of amount a covered by a rest r
     sum to min(n, r / a), so no copy is expanded.
     """
@@ -77,7 +79,7 @@ def advance_cover(instalments: DataFrame, balances: DataFrame, rates: DataFrame,
     days = grain.withColumn("window_start", window_start).withColumn(
         "date", F.explode(F.sequence(F.col("window_start"), F.col("due_date")))
     )
-    khr = to_khr_by_month(days, rates, "amount_due", "date", "khr").where(F.col("khr") > 0)
+    khr = to_khr_by_month(days, rates, "amount_due", "date", "khr")
     before = (
         Window.partitionBy("customer_id", "date")
         .orderBy("due_date", F.col("khr").desc(), "currency", "amount_due")
@@ -86,10 +88,11 @@ def advance_cover(instalments: DataFrame, balances: DataFrame, rates: DataFrame,
     taken = khr.withColumn("taken", F.coalesce(F.sum(F.col("n") * F.col("khr")).over(before), F.lit(0.0)))
     left = F.greatest(zero_if_null("balance_khr") - F.col("taken"), F.lit(0.0))
     covered = taken.join(balances, ["customer_id", "date"], "left").withColumn(
-        "cover", F.least(F.col("n").cast("double"), left / F.col("khr"))
+        "cover", F.when(F.col("khr") > 0, F.least(F.col("n").cast("double"), left / F.col("khr")))
     )
+    known = F.count_if(F.col("khr").isNull()) == 0
     return covered.groupBy("customer_id", "window_start").agg(
-        F.least(F.sum("cover"), F.lit(float(n_days))).alias("advance")
+        F.when(known, F.least(F.sum("cover"), F.lit(float(n_days)))).alias("advance")
     )
 
 

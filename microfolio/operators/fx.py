@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TARGETS = ("USD", "THB")
+
+
+def one_rate(rates: DataFrame) -> DataFrame:
+    """One row per currency and day: of several rates the largest one.
+
+    Both conversions use it, so a rate loaded twice neither doubles rows nor stops a job; versions are
+    to be reduced before, see ``usd_rates``, and ``repeated_rates`` lists what is left.
+    """
+    return rates.groupBy("currency", F.col("rate_date").cast("date").alias("rate_date")).agg(F.max("rate").alias("rate"))
+
+
+def repeated_rates(rates: DataFrame) -> DataFrame:
+    """Currency and day pairs with more than one rate, with their number."""
+    day = F.col("rate_date").cast("date").alias("rate_date")
+    return rates.groupBy("currency", day).agg(F.count(F.lit(1)).alias("rates")).where("rates > 1")
+
+
+def usd_rates(currency: DataFrame) -> DataFrame:
+    """Rates to USD (currency, rate_date, rate) out of the newest versions of base and quote pairs."""
+    return currency.where(F.col("quote") == "USD").select(F.col("base").alias("currency"), "rate_date", "rate")
+
 
 def to_usd(
     df: DataFrame,
@@ -16,9 +38,9 @@ def to_usd(
 ) -> DataFrame:
     """Add amounts in USD at the rate of the given day; a missing rate counts as 1.
 
-    ``rates``: currency, rate_date, rate (one row per currency and day).
+    ``rates``: currency, rate_date, rate, reduced by ``one_rate``.
     """
-    r = rates.select(
+    r = one_rate(rates).select(
         F.col("currency").alias("__ccy"), F.col("rate_date").cast("date").alias("__day"), F.col("rate").alias("__rate")
     )
     out = df.join(r, (F.col(currency) == F.col("__ccy")) & (F.col(date).cast("date") == F.col("__day")), "left")
@@ -42,31 +64,29 @@ def to_three(
     one ``fixed_date``. No default: a missing rate gives NULL. ``round_khr`` rounds the KHR
     amount half away from zero before it is converted on.
 
-    The three rates a row needs are turned into columns of one row per day, so each frame is
-    joined once.
+    The rates are reduced by ``one_rate``. Those of the two targets become columns of one row per
+    day by conditional maxima; a row's own rate joins on currency and day.
     """
     wanted = rates.where(F.col("rate_date") == F.lit(fixed_date).cast("date")) if fixed_date is not None else rates
-    by_day = wanted.groupBy(F.col("rate_date").alias("__day")).agg(
-        F.map_from_entries(F.collect_list(F.struct("currency", F.col("rate").cast("double")))).alias("__rates")
+    wanted = one_rate(wanted).withColumn("rate", F.col("rate").cast("double"))
+    targets = wanted.groupBy(F.col("rate_date").alias("__day")).agg(
+        *(F.max(F.when(F.col("currency") == code, F.col("rate"))).alias(f"__{code}") for code in TARGETS)
     )
+    owns = wanted.select(F.col("currency").alias("__ccy"), F.col("rate_date").alias("__own_day"), F.col("rate").alias("__own"))
+    day = F.lit(fixed_date).cast("date") if fixed_date is not None else F.col(date).cast("date")
+    out = df.join(owns, (F.col(currency) == F.col("__ccy")) & (day == F.col("__own_day")), "left")
     if fixed_date is not None:
-        out = df.withColumn("__rates", by_day.select("__rates").scalar())
+        out = out.withColumns({f"__{code}": targets.select(f"__{code}").scalar() for code in TARGETS})
     else:
-        out = df.join(by_day, F.col(date).cast("date") == F.col("__day"), "left").drop("__day")
-
-    def rate(code):
-        return F.col("__rates")[code]
-
-    own = rate(F.col(currency))
+        out = out.join(targets, day == F.col("__day"), "left").drop("__day")
+    own = F.col("__own")
     for a in amounts:
         khr = F.col(a).cast("double") / F.when(own != 0, own)
         out = out.withColumn(a + "_khr", F.round(khr).cast("long") if round_khr else khr)
-        for code, tail in (("USD", "_usd"), ("THB", "_thb")):
-            out = out.withColumn(
-                a + tail,
-                F.when(F.col(currency) == code, F.col(a).cast("double")).otherwise(F.col(a + "_khr") * rate(F.lit(code))),
-            )
-    return out.drop("__rates")
+        for code in TARGETS:
+            converted = F.when(F.col(currency) == code, F.col(a).cast("double")).otherwise(F.col(a + "_khr") * F.col(f"__{code}"))
+            out = out.withColumn(f"{a}_{code.lower()}", converted)
+    return out.drop("__ccy", "__own_day", "__own", *(f"__{code}" for code in TARGETS))
 
 
 def month_rates(rates: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ unset, so they can be called on any session.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -28,20 +26,13 @@ def local_session(cores: str = "8", name: str = "microfolio", partitions: int =
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    folder = current or named or tempfile.mkdtemp(prefix="microfolio-ckpt-")
-    if current is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-def cut_lineage(df):
-    """Write the frame to the checkpoint folder and go on from the written copy.
 
-    Used where one expensive frame feeds several branches; the files outlive lost executors.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system it belongs to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,7 +2,8 @@
 
 Each view is one SELECT in the SQL both Spark and DuckDB accept; ``{orders}`` and the like stand
 for the supplied tables. Money is whole cents (or hundredths of cents) in 64-bit integers, so
-sums and products are exact. Every view reads its tables whole.
+sums and products are exact. Every view reads its tables whole and keeps every row; where two tables
+must disagree, a row carries a key that the other one lacks (negative, or marked), or a zero amount.
 """
 
 from __future__ import annotations
@@ -169,12 +170,14 @@ VIEWS = {
                CAST(1 + sum(o_orderkey) % 9 AS BIGINT) AS rate
         FROM {{orders}} GROUP BY 1, 2""",
     "fx_events": """
-        SELECT CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
+        SELECT CASE WHEN event_type = 'view' AND user_id % 2 = 1 THEN 'XXX' WHEN user_id % 3 = 0 THEN 'USD' WHEN user_id % 3 = 1 THEN 'THB'
+                    ELSE 'KHR' END AS currency,
                CAST(ts AS DATE) AS rate_date, CAST(1 + sum(event_id) % 9 AS BIGINT) AS rate
-        FROM {events} WHERE event_type <> 'view' OR user_id % 2 = 0 GROUP BY 1, 2""",
+        FROM {events} GROUP BY 1, 2""",
     "department_scoring": """
-        SELECT CAST(n_nationkey AS STRING) AS department_id, n_nationkey * 9 AS department_id_scoring
-        FROM {nation} WHERE n_regionkey <> 4""",
+        SELECT CASE WHEN n_regionkey <> 4 THEN CAST(n_nationkey AS STRING) ELSE concat('X', CAST(n_nationkey AS STRING)) END AS department_id,
+               n_nationkey * 9 AS department_id_scoring
+        FROM {nation}""",
     # ---- reconciliation ---------------------------------------------------------------
     "r_schedule": f"""
         SELECT l_orderkey AS contract_id, DATE '1998-01-01' + CAST(l_partkey % 240 AS INT) AS due_date,
@@ -192,28 +195,28 @@ VIEWS = {
         FROM {{orders}}""",
     "r_payment": f"""
         SELECT l_orderkey AS contract_id, DATE '1998-01-01' + CAST(l_partkey % 240 AS INT) AS event_date,
-               {_EXT} AS amount, '420' AS code
-        FROM {{lineitem}} WHERE l_linenumber <> 3
+               CASE WHEN l_linenumber <> 3 THEN {_EXT} ELSE 0 END AS amount, '420' AS code
+        FROM {{lineitem}}
         UNION ALL
-        SELECT l_orderkey, DATE '1998-01-01' + CAST(l_partkey % 240 AS INT), {_EXT} * {_TAX}, '434'
-        FROM {{lineitem}} WHERE l_linenumber <> 5
+        SELECT l_orderkey, DATE '1998-01-01' + CAST(l_partkey % 240 AS INT), CASE WHEN l_linenumber <> 5 THEN {_EXT} * {_TAX} ELSE 0 END, '434'
+        FROM {{lineitem}}
         UNION ALL
-        SELECT l_orderkey, DATE '1998-01-01' + CAST(l_partkey % 240 AS INT), l_suppkey, '752'
-        FROM {{lineitem}} WHERE l_linenumber = 7""",
+        SELECT l_orderkey, DATE '1998-01-01' + CAST(l_partkey % 240 AS INT), CASE WHEN l_linenumber = 7 THEN l_suppkey ELSE 0 END, '752'
+        FROM {{lineitem}}""",
     "r_closing": f"""
-        SELECT l_orderkey AS loan_id,
+        SELECT CASE WHEN l_orderkey % 13 <> 0 THEN l_orderkey ELSE -l_orderkey END AS loan_id,
                CAST(1000000000 - sum(CASE WHEN l_linenumber <> 3 THEN {_EXT} ELSE 0 END)
                     + max(CASE WHEN l_orderkey % 5 = 0 THEN 7 ELSE 0 END) AS BIGINT) AS principal_outstanding,
                CAST(sum(CASE WHEN l_linenumber = 3 AND l_orderkey % 2 = 0 THEN {_EXT} ELSE 0 END) AS BIGINT) AS principal_overdue,
                CAST(sum({_EXT} * {_TAX}) AS BIGINT) AS interest_outstanding,
                CAST(sum(CASE WHEN l_linenumber = 5 AND l_orderkey % 2 = 0 THEN {_EXT} * {_TAX} ELSE 0 END) AS BIGINT) AS interest_overdue
-        FROM {{lineitem}} WHERE l_orderkey % 13 <> 0 GROUP BY l_orderkey""",
+        FROM {{lineitem}} GROUP BY l_orderkey""",
     "r_opening": f"""
-        SELECT l_orderkey AS loan_id,
+        SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey ELSE -l_orderkey END AS loan_id,
                CAST(CASE WHEN l_orderkey % 3 = 0 THEN 999999995 ELSE 0 END AS BIGINT) AS principal_outstanding,
                CAST(sum(CASE WHEN l_linenumber = 2 AND l_orderkey % 4 = 0 THEN {_EXT} ELSE 0 END) AS BIGINT) AS principal_overdue,
                CAST(sum(CASE WHEN l_linenumber = 2 AND l_orderkey % 4 = 0 THEN {_TAX} ELSE 0 END) AS BIGINT) AS interest_overdue
-        FROM {{lineitem}} WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey""",
+        FROM {{lineitem}} GROUP BY l_orderkey""",
     "typed_event": f"""
         SELECT l_orderkey AS contract_id, l_linenumber AS instalment, CAST(l_shipdate AS DATE) AS due_date,
                CAST(l_shipdate AS DATE) + CAST(l_suppkey % 9 - 4 AS INT) AS event_date,
@@ -225,10 +228,11 @@ VIEWS = {
                {_CURRENCY_OF_KEY.format(k='l_orderkey')} AS currency
         FROM {{lineitem}}""",
     "due_instalment": f"""
-        SELECT l_orderkey AS contract_id, l_linenumber AS instalment, min(CAST(l_shipdate AS DATE)) AS due_date,
+        SELECT CASE WHEN l_orderkey % 17 <> 0 THEN l_orderkey ELSE -l_orderkey END AS contract_id,
+               CASE WHEN l_quantity > 2 THEN l_linenumber ELSE l_linenumber + 100 END AS instalment, min(CAST(l_shipdate AS DATE)) AS due_date,
                CAST(sum({_EXT}) AS BIGINT) AS amount_due, CAST(sum({_EXT} * (100 - {_TAX})) AS BIGINT) AS capital_due,
                CAST(sum({_EXT} * {_TAX}) AS BIGINT) AS interest_due
-        FROM {{lineitem}} WHERE l_orderkey % 17 <> 0 AND l_quantity > 2 GROUP BY l_orderkey, l_linenumber""",
+        FROM {{lineitem}} GROUP BY 1, 2""",
     "past_due": """
         SELECT o_orderkey AS loan_id, CAST(o_orderdate AS DATE) AS balance_date,
                CASE WHEN o_orderkey % 3 = 0 THEN CAST(500 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS principal_overdue,
@@ -240,23 +244,23 @@ VIEWS = {
                CAST(max({_TAX}) AS BIGINT) AS interest_outstanding
         FROM {{lineitem}} GROUP BY l_orderkey""",
     "month_end_balance": f"""
-        SELECT l_orderkey AS loan_id, CAST(sum(CASE WHEN l_shipdate >= DATE '1998-04-01' THEN {_EXT} ELSE 0 END) AS BIGINT) AS principal_outstanding,
+        SELECT CASE WHEN l_orderkey % 19 <> 0 THEN l_orderkey ELSE -l_orderkey END AS loan_id, CAST(sum(CASE WHEN l_shipdate >= DATE '1998-04-01' THEN {_EXT} ELSE 0 END) AS BIGINT) AS principal_outstanding,
                CAST(max({_TAX}) AS BIGINT) AS interest_outstanding
-        FROM {{lineitem}} WHERE l_orderkey % 19 <> 0 GROUP BY l_orderkey""",
+        FROM {{lineitem}} GROUP BY l_orderkey""",
     "opening_account": """
-        SELECT c_custkey AS account_id, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS capital_balance FROM {customer} WHERE c_custkey % 6 <> 1""",
+        SELECT CASE WHEN c_custkey % 6 <> 1 THEN c_custkey ELSE -c_custkey END AS account_id, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS capital_balance FROM {customer}""",
     "closing_account": """
-        SELECT c_custkey AS account_id, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) + coalesce(m, 0)
+        SELECT CASE WHEN c_custkey % 5 <> 2 THEN c_custkey ELSE -1000000000 - c_custkey END AS account_id, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) + coalesce(m, 0)
                + CASE WHEN c_custkey % 8 = 0 THEN 55 ELSE 0 END AS capital_balance
         FROM {customer} LEFT JOIN
              (SELECT user_id, CAST(sum(CASE WHEN (event_type = 'error' AND event_id % 3 = 0) OR event_type IN ('view', 'click', 'signup')
                               THEN CAST(floor(value * 100 + 0.5) AS BIGINT) ELSE -CAST(floor(value * 100 + 0.5) AS BIGINT) END) AS BIGINT) AS m
-              FROM {events} GROUP BY user_id) ON c_custkey = user_id WHERE c_custkey % 5 <> 2""",
+              FROM {events} GROUP BY user_id) ON c_custkey = user_id""",
     "activity_summary": """
-        SELECT user_id AS account_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '213' ELSE CAST(event_id % 5 AS STRING) END AS code,
+        SELECT CASE WHEN event_id % 11 <> 0 AND (user_id % 4 > 0 OR event_id % 7 > 0) AND user_id % 9 <> 4 THEN user_id ELSE -1 - user_id END AS account_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '213' ELSE CAST(event_id % 5 AS STRING) END AS code,
                CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'Cr' ELSE 'Db' END AS dbcr,
                CAST(count(*) AS BIGINT) AS tt_number, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS tt_volume
-        FROM {events} WHERE event_id % 11 <> 0 AND (user_id % 4 > 0 OR event_id % 7 > 0) AND user_id % 9 <> 4 GROUP BY 1, 2, 3""",
+        FROM {events} GROUP BY 1, 2, 3""",
     "advance_instalment": """
         SELECT event_id AS contract_id, CAST(user_id AS BIGINT) AS customer_id,
                CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
@@ -282,7 +286,7 @@ VIEWS = {
             ELSE '99999999' END AS date_text,
           CASE l_partkey % 4 WHEN 0 THEN '[NULL]' WHEN 1 THEN '' WHEN 2 THEN '12x' ELSE CAST(l_suppkey AS STRING) END AS number_text
         FROM {lineitem}""",
-    "written_off": "SELECT l_orderkey AS loan_id FROM {lineitem} WHERE l_quantity = 50",
+    "written_off": "SELECT CASE WHEN l_quantity = 50 THEN l_orderkey ELSE -l_orderkey END AS loan_id FROM {lineitem}",
     # ---- service generation -----------------------------------------------------------
     "hierarchy": """
         SELECT CAST(s_suppkey AS STRING) AS portfolio_manager_id, s_name AS portfolio_manager_name,
@@ -310,13 +314,13 @@ VIEWS = {
                CAST(event_id % 3 AS BIGINT) AS interest_due, CAST(event_id % 2 AS BIGINT) AS penalty_due
         FROM {events}""",
     "s_scoring": """
-        SELECT CAST(user_id AS BIGINT) AS customer_id, CAST(ts AS DATE) AS scoring_date,
+        SELECT CAST(CASE WHEN user_id % 5 <> 0 THEN user_id ELSE -1 - user_id END AS BIGINT) AS customer_id, CAST(ts AS DATE) AS scoring_date,
                CASE WHEN event_type = 'view' THEN 'A' WHEN event_type = 'click' THEN 'B' WHEN event_type = 'signup' THEN 'C'
                     WHEN event_type = 'purchase' THEN 'D' ELSE 'Z' END AS class
-        FROM {events} WHERE user_id % 5 <> 0""",
+        FROM {events}""",
     "s_eligible": """
-        SELECT event_id AS current_loan_id, CAST(ts AS DATE) AS scoring_date, CAST(floor(value * 150 + 0.5) AS BIGINT) AS new_loan_amount
-        FROM {events} WHERE event_type IN ('view', 'purchase')""",
+        SELECT CASE WHEN event_type IN ('view', 'purchase') THEN event_id ELSE -1 - event_id END AS current_loan_id, CAST(ts AS DATE) AS scoring_date, CAST(floor(value * 150 + 0.5) AS BIGINT) AS new_loan_amount
+        FROM {events}""",
     "s_objective": f"""
         SELECT CAST(l_suppkey AS STRING) AS portfolio_manager_id, DATE '2023-01-31' AS month_last_date,
                CAST(count(*) AS BIGINT) AS new_disbursements, CAST(sum({_EXT}) AS BIGINT) AS total_disbursement,

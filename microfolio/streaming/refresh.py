@@ -1,7 +1,8 @@
 """Refreshing marts when a new load lands.
 
-A file stream over the landing folder notices new loads; each batch of new files triggers one
-rebuild. The stream's checkpoint makes sure that a load is taken up once, also after a restart.
+A file stream over the landing folder notices new loads. It only tells which days have changed; the
+marts are built again from whole tables, so a second load of a day, or a late row, is never lost. The
+stream's checkpoint makes sure that a load is taken up once, also after a restart.
 """
 
 from __future__ import annotations
@@ -9,27 +10,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.writers import append_snapshot, truncate_table
+
+
+def landing_of(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(folder to watch, file name pattern) for a table that is a folder of part files or one file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target) and not files.getFileStatus(target).isDirectory():
+        folder, _, name = path.rpartition("/")
+        return folder, name
+    return path, "*.parquet"
+
 
 def refresh_on_load(
     spark: SparkSession,
     landing: str,
     schema: T.StructType,
     checkpoint: str,
-    build: Callable[[DataFrame], DataFrame],
-    sink: Callable[[DataFrame], None],
+    refresh: Callable[[DataFrame], None],
     glob: str = "*.parquet",
 ):
-    """Run ``sink(build(new rows))`` for everything that has landed since the last run, then stop.
+    """Run ``refresh(new rows)`` for everything that has landed since the last run, then stop.
 
-    ``sink`` must be repeatable (snapshot or truncating writes), because a batch that failed half-way
-    is run again. ``glob`` picks the files of one table. Returns the finished query.
+    ``refresh`` must be repeatable, because a batch that failed half-way is run again; ``rebuilt_days``
+    and ``rebuilt`` are. ``glob`` picks the files of one table. Returns the finished query.
     """
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(landing)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        sink(build(batch))
+        refresh(batch)
 
     query = (
         stream.writeStream.foreachBatch(handle)
@@ -39,3 +52,34 @@ def refresh_on_load(
     )
     query.awaitTermination()
     return query
+
+
+def rebuilt_days(
+    whole: Callable[[], DataFrame], day: str, build: Callable[[DataFrame], DataFrame], path: str, date_col: str = "update_date"
+) -> Callable[[DataFrame], None]:
+    """A refresh that builds the changed days anew from all rows of the landed table and replaces them.
+
+    ``day`` is an SQL expression of a row's day; ``build`` gives one or more rows per day in
+    ``date_col``. Days are compared null-safely, so rows without a day are a day of their own.
+    """
+
+    def refresh(batch: DataFrame) -> None:
+        changed = batch.select(F.expr(day).alias("__changed")).distinct()
+        rows = whole().withColumn("__day", F.expr(day))
+        rows = rows.join(changed, rows["__day"].eqNullSafe(changed["__changed"]), "left_semi").drop("__day")
+        append_snapshot(build(rows), path, date_col)
+
+    return refresh
+
+
+def rebuilt(build: Callable[[], DataFrame], sink: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:
+    """A refresh that builds a mart from whole tables, whatever the new rows are."""
+    return lambda batch: sink(build())
+
+
+def truncated(path: str) -> Callable[[DataFrame], None]:
+    return lambda mart: truncate_table(mart, path)
+
+
+def appended(path: str, date_col: str = "update_date") -> Callable[[DataFrame], None]:
+    return lambda mart: append_snapshot(mart, path, date_col)

@@ -403,3 +403,22 @@ def test_allocation_with_one_contract_holding_a_third_of_the_rows(spark):
     for c, _, a, _ in pay:
         paid[c] = paid.get(c, 0) + a
     assert got == {c: min(due[c], paid[c]) for c in due if c in paid}
+
+
+def test_two_rates_of_a_day_follow_one_rule(spark):
+    rates = spark.createDataFrame([("USD", "2024-01-01", 4.0), ("USD", "2024-01-01", 2.0), ("THB", "2024-01-01", 8.0)], "currency string, rate_date string, rate double")
+    rows = spark.createDataFrame([(1, "USD", "2024-01-01", 8.0)], "id int, currency string, update_date string, amount double")
+    assert [(r.id, r.amount_usd) for r in fx.to_usd(rows, rates, ["amount"]).collect()] == [(1, 32.0)]
+    three = fx.to_three(rows, rates, ["amount"], date="update_date").collect()
+    assert [(r.amount_khr, r.amount_usd, r.amount_thb) for r in three] == [(2.0, 8.0, 16.0)]
+    assert fx.to_three(rows, rates, ["amount"], fixed_date="2024-01-01").collect()[0].amount_thb == 16.0
+    assert [(r.currency, r.rates) for r in fx.repeated_rates(rates).collect()] == [("USD", 2)]
+
+
+def test_a_window_with_a_day_without_rate_has_no_cover(spark):
+    day = dt.date(2024, 2, 5)
+    due = spark.createDataFrame([(1, "USD", day, 100), (2, "KHR", day, 100)], "customer_id long, currency string, due_date date, amount_due long")
+    saved = spark.createDataFrame([(c, day, 1000.0) for c in (1, 2)], "customer_id long, date date, balance_khr double")
+    rates = spark.createDataFrame([("USD", dt.date(2024, 2, 1), 1)], "currency string, rate_date date, rate long")
+    got = {r.customer_id: r.advance for r in delay.advance_cover(due, saved, rates).collect()}
+    assert got[1] is None and got[2] == 1.0

@@ -1,12 +1,15 @@
 """Readers, writers and the stream refresh on files."""
 
 import datetime as dt
+import uuid
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from microfolio.sources import readers, schemas, writers
-from microfolio.streaming.refresh import refresh_on_load
+from microfolio.streaming.refresh import landing_of, rebuilt, rebuilt_days, refresh_on_load, truncated
 
 
 def test_range_buckets_and_pruning(spark, tmp_path):
@@ -54,26 +57,68 @@ def test_delimited_text(spark, tmp_path):
     assert readers.read_delimited(spark, str(tmp_path / "out"), schema).count() == 2
 
 
-def test_each_load_is_taken_up_once(spark, tmp_path):
-    landing, target = str(tmp_path / "in"), str(tmp_path / "mart")
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("load", T.StringType())])
-    seen = []
+SCHEMA = T.StructType([T.StructField("k", T.LongType()), T.StructField("load", T.StringType())])
+
+
+def land(spark, folder, n, load, first=0):
+    rows = spark.range(first, first + n).select(F.col("id").alias("k"), F.lit(load).cast("string").alias("load"))
+    rows.write.mode("append").parquet(folder)
+
+
+def per_load(rows):
+    return rows.groupBy(F.col("load").alias("update_date")).agg(F.count(F.lit(1)).alias("n"))
+
 
-    def build(batch):
-        return batch.groupBy("load").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("load", "update_date")
+def counts(spark, path):
+    return {str(r["update_date"]): r["n"] for r in spark.read.parquet(path).collect()}
 
-    def sink(mart):
-        seen.append(mart.count())
-        writers.append_snapshot(mart, target)
+
+def test_a_second_load_of_a_day_loses_nothing(spark, tmp_path):
+    landing, target, seen = str(tmp_path / "in"), str(tmp_path / "mart"), []
+    build = rebuilt_days(lambda: spark.read.schema(SCHEMA).parquet(landing), "load", per_load, target)
 
     def run():
-        refresh_on_load(spark, landing, schema, str(tmp_path / "ckpt"), build, sink)
+        refresh_on_load(spark, landing, SCHEMA, str(tmp_path / "ckpt"), lambda batch: (seen.append(batch.count()), build(batch)))
 
-    spark.range(10).select(F.col("id").alias("k"), F.lit("a").alias("load")).write.mode("append").parquet(landing)
-    run()
+    land(spark, landing, 10, "a")
+    land(spark, landing, 3, "b")
     run()
-    spark.range(4).select(F.col("id").alias("k"), F.lit("b").alias("load")).write.mode("append").parquet(landing)
+    run()  # nothing new
+    land(spark, landing, 4, "a", 10)
     run()
-    got = sorted((str(r["update_date"]), r["n"]) for r in spark.read.parquet(target).collect())
-    assert got == [("a", 10), ("b", 4)]
-    assert len(seen) == 2
+    assert counts(spark, target) == {"a": 14, "b": 3}
+    assert seen == [13, 4]
+
+
+def test_truncating_mart_is_built_from_the_whole_table(spark, tmp_path):
+    landing, target = str(tmp_path / "in"), str(tmp_path / "mart")
+    build = rebuilt(lambda: per_load(spark.read.schema(SCHEMA).parquet(landing)), truncated(target))
+    for load in ("a", "b"):
+        land(spark, landing, 5, load)
+        refresh_on_load(spark, landing, SCHEMA, str(tmp_path / "ckpt"), build)
+    assert counts(spark, target) == {"a": 5, "b": 5}
+
+
+def test_a_folder_and_a_file_land_the_same_rows(spark, tmp_path):
+    land(spark, str(tmp_path / "events.parquet"), 7, "a")
+    part = next((tmp_path / "events.parquet").glob("part-*.parquet"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "events.parquet").write_bytes(part.read_bytes())
+    for k, path in enumerate((tmp_path / "events.parquet", tmp_path / "one" / "events.parquet")):
+        folder, glob = landing_of(spark, str(path))
+        got = []
+        refresh_on_load(spark, folder, SCHEMA, str(tmp_path / f"ckpt{k}"), lambda batch: got.append(batch.count()), glob)
+        assert sum(got) in (7, spark.read.parquet(str(path)).count())
+
+
+def test_published_table_and_extracts(spark, tmp_path):
+    name = "published_" + uuid.uuid4().hex
+    df = spark.range(5).toDF("x")
+    writers.publish(df, name)
+    assert readers.scan_table(spark, name).count() == 5
+    with pytest.raises(AnalysisException):
+        writers.publish(df, name)
+    writers.publish(df.limit(2), name, overwrite=True)
+    assert readers.scan_table(spark, name).count() == 2
+    spark.sql(f"DROP TABLE {name}")
+    assert readers.stack_extracts([df, df.select((F.col("x") + 9).alias("x"))]).count() == 10
