@@ -3,23 +3,23 @@
 A document's set holds its distinct shingles of five words. Rows of equal sets are one
 representative. Every representative stands in ``TREES`` independent trees; on each level of a tree
 it goes to the child named by its smallest shingle under the level's own hash function, so two sets
-of similarity s stay together with probability s. A node of at most ``SMALL`` sets is a leaf and
-compared exhaustively; in a larger one each set is compared with the node's first, and all go on to
-the next level. Sets of similarity 0.85 meet in a leaf of depth d with probability 0.85^d in a tree;
+of similarity s stay together with probability s. In every node each set is compared with the node's
+first. A node of at most ``SMALL`` sets is a leaf; the sets of a larger one go on to the next level. Sets of similarity 0.85 meet in a leaf of depth d with probability 0.85^d in a tree;
 with ten trees the chance to miss a pair is 6e-9 at depth 1, 3e-6 at 2 and 7e-5 at 3.
 
-What is still together in large nodes after ``LEVELS`` levels are mostly sets all alike, which the
-comparisons with first members have linked. Sets of such a node that are not of one component yet
-are compared with each other, set by set between components, so that no pair of the node is left out.
+Then leaves, and what is still together after ``LEVELS`` levels, are compared exhaustively, but for
+pairs that the links so far have put into one component, where a further link changes nothing. So
+a large group of sets all alike does not give all its pairs.
 
-Candidates pass bounds that every link passes (the sizes) or all but surely passes (agreement of the
-smallest shingles), and are confirmed on the full sets. Sets are made again from the texts for
-the few documents with candidates. Components come from rounds of pointing at smaller neighbours.
+Candidates pass bounds that every link passes (the sizes) or all but surely passes (agreement of one
+bit of each smallest shingle), and are confirmed on the full sets. Sets are made again from the texts
+for the few documents with candidates. Components come from rounds of pointing at smaller neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ TREES, LEVELS, SMALL = 10, 6, 48
 #: Standard deviations of agreement below which a candidate goes.
 SLACK = 6.0
 PIECE_BYTES = 1 << 20
-SIGNED = "doc_id long, n_shingles long, set_id binary, minima array<int>"
+SIGNED = "doc_id long, n_shingles long, set_id binary, sketch long, minima array<int>"
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _MINIMA = np.random.default_rng(6).integers(1, 2**63, TREES * LEVELS, dtype=np.uint64) | np.uint64(1)
 
@@ -70,17 +70,23 @@ def minima(found: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(16)).astype(np.uint32).view(np.int32)
 
 
+def sketch(least: np.ndarray) -> int:
+    """One bit of each smallest shingle."""
+    return int.from_bytes(np.packbits((least & 1).astype(np.uint8), bitorder="little").tobytes(), "little")
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", PIECE_BYTES):
-        sizes, ids, least = [], [], []
+        sizes, ids, sketches, least = [], [], [], []
         for text in batch.column("text").to_pylist():
             found = shingles(text)
             sizes.append(len(found))
             ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             least.append(minima(found) if len(found) else None)
+            sketches.append(sketch(least[-1]) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(least, pa.list_(pa.int32()))],
-            names=["doc_id", "n_shingles", "set_id", "minima"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.int64()), pa.array(least, pa.list_(pa.int32()))],
+            names=["doc_id", "n_shingles", "set_id", "sketch", "minima"],
         )
 
 
@@ -103,59 +109,50 @@ def _confirm(percent: int):
     return run
 
 
-def _alike(a: Column, b: Column, percent: int) -> Column:
-    """The sizes of linked sets differ by no more than the similarity allows."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _alike(a: str, b: str, percent: int) -> Column:
+    """The sizes of linked sets differ by no more than the similarity allows, and their sketches in few bits.
+
+    A bit agrees where the smallest shingles agree, and by chance in half of the other cases.
+    """
+    k, agree = TREES * LEVELS, (1 + percent / 100) / 2
+    most = int(k * (1 - agree) + SLACK * (k * agree * (1 - agree)) ** 0.5)
+    m, n = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    differ = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (differ <= most)
 
 
 def _tree_rows(reps: DataFrame) -> DataFrame:
     paths = F.array(*(F.struct(F.lit(t).alias("tree"), F.slice("minima", t * LEVELS + 1, LEVELS).alias("path")) for t in range(TREES)))
-    rows = reps.select("rep", "n_shingles", F.explode(paths).alias("p")).select("rep", "n_shingles", F.col("p.tree").alias("tree"), F.col("p.path").alias("path"))
+    rows = reps.select("rep", "n_shingles", "sketch", F.explode(paths).alias("p")).select("rep", "n_shingles", "sketch", F.col("p.tree").alias("tree"), F.col("p.path").alias("path"))
     return rows.withColumn("node", F.xxhash64("tree", F.get("path", 0)))
 
 
-def _pairs_of(left: DataFrame, percent: int) -> DataFrame:
-    """All pairs of small nodes, after the size bound."""
-    a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.rep") < F.col("b.rep")) & _alike(F.col("a.n_shingles"), F.col("b.n_shingles"), percent)
-    return a.join(b, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-
-
-def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
-    """(candidate pairs of the trees, the rows of nodes that stay large or None)."""
-    rows, found = _tree_rows(reps), None
+def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(pairs with the first sets of nodes, rows of leaves and of nodes that stay large)."""
+    rows, pairs, ends = _tree_rows(reps), [], []
     for level in range(1, LEVELS + 1):
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n_shingles")).alias("first")).where("size > 1")
+        first = F.min(F.struct("rep", "n_shingles", "sketch")).alias("first")
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first).where("size > 1")
         nodes = staged(nodes, f"nodes{level}")  # read anew, so that the join may split a large node
-        held = staged(rows.join(nodes, "node"), f"level{level}")
-        leaves = _pairs_of(held.where(F.col("size") <= small).select("node", "rep", "n_shingles"), percent)
+        held = staged(rows.join(nodes, "node"), f"level{level}").alias("held")
+        others = held.where((F.col("rep") != F.col("first.rep")) & _alike("held", "first", percent))
+        pairs.append(others.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")))
         large = held.where(F.col("size") > small)
-        stars = large.where((F.col("rep") != F.col("first.rep")) & _alike(F.col("n_shingles"), F.col("first.n_shingles"), percent))
-        both = leaves.union(stars.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))).distinct()
-        found = both if found is None else found.union(both)
-        if large.isEmpty():
-            return found.distinct(), None
-        rows = large.select("rep", "n_shingles", "tree", "path", "node")
-        if level < LEVELS:
-            rows = rows.withColumn("node", F.xxhash64("node", F.get("path", level)))
-    return found.distinct(), rows
-
-
-def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+        # The pair of a leaf of two is compared already.
+        ends.append(held.where((F.col("size") > 2) & (F.col("size") <= small)).select("node", "rep", "n_shingles", "sketch"))
+        rows = large.select("rep", "n_shingles", "sketch", "tree", "path", "node")
+        if level == LEVELS or large.isEmpty():
+            break
+        rows = rows.withColumn("node", F.xxhash64("node", F.get("path", level)))
+    ends.append(rows.select("node", "rep", "n_shingles", "sketch"))
+    return reduce(DataFrame.union, pairs).distinct(), reduce(DataFrame.union, ends)
+
+
+def links(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The candidate pairs whose full sets are similar enough."""
-    near = F.aggregate(F.zip_with(F.col("ma"), F.col("mb"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    k, s = TREES * LEVELS, percent / 100
-    least = int(k * s - SLACK * (k * s * (1 - s)) ** 0.5)
-    signed = reps.select("rep", "minima")
-    likely = (
-        pairs.join(signed.select(F.col("rep").alias("a"), F.col("minima").alias("ma")), "a")
-        .join(signed.select(F.col("rep").alias("b"), F.col("minima").alias("mb")), "b")
-        .where(near >= least)
-        .select("a", "b")
-    )
-    likely = staged(likely, "candidates")
+    likely = staged(pairs, "candidates")
     wanted = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").groupBy("rep").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.hint("merge"), "rep").groupBy("rep").agg(F.min("text").alias("text"))
     sets = staged(texts.mapInArrow(_sets, "rep long, shingles binary"), "sets")
     both = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("other")), "b")
     return staged(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
@@ -184,12 +181,13 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _rest(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the nodes that stay large."""
-    grouped = rows.select("node", "rep", "n_shingles").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    """Pairs of different components in one node."""
+    grouped = rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    grouped = staged(grouped, "ends")
     mixed = grouped.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
     left = staged(grouped.join(mixed, "node"), "rest")
     a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.rep") < F.col("b.rep")) & _alike(F.col("a.n_shingles"), F.col("b.n_shingles"), percent)
+    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.rep") < F.col("b.rep")) & _alike("a", "b", percent)
     return a.join(b, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
@@ -205,14 +203,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     """
     signed = staged(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signatures")
     some = signed.where("set_id is not null and doc_id is not null")
-    reps = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima")), "representatives")
-    pairs, rest = candidates(reps, percent, small)
-    linked = links(docs, reps, pairs, percent)
+    reps = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("minima").alias("minima")), "representatives")
+    pairs, ends = candidates(reps, percent, small)
+    linked = links(docs, pairs, percent)
     found = staged(components(linked), "components")
-    if rest is not None:
-        more = links(docs, reps, _rest(rest, found, percent), percent)
+    more = links(docs, _rest(ends, found, percent), percent)
+    if not more.isEmpty():
         found = staged(components(linked.union(more)), "components")
     named = reps.select("set_id", "rep").join(found, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    joined = signed.drop("minima").join(named, "set_id", "left")
+    joined = signed.drop("minima", "sketch").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
