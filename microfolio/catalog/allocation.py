@@ -15,12 +15,12 @@ daily AS (
 
 _DUES = """
 dues AS (
-  SELECT contract_id, due_date, min(instalment) AS instalment, CAST(sum(capital_due) AS BIGINT) AS capital_due,
+  SELECT contract_id, due_date, instalment, CAST(sum(capital_due) AS BIGINT) AS capital_due,
          CAST(sum(interest_due) AS BIGINT) AS interest_due, CAST(sum(capital_due + interest_due) AS BIGINT) AS total_due
   FROM (SELECT contract_id, instalment, due_date, capital_due, interest_due FROM schedule
         UNION ALL
         SELECT contract_id, 0, balance_date, principal_overdue, interest_overdue FROM opening_arrears
-        WHERE principal_overdue > 0 OR interest_overdue > 0) GROUP BY 1, 2)"""
+        WHERE principal_overdue > 0 OR interest_overdue > 0) GROUP BY 1, 2, 3)"""
 
 _COMPONENTS = ("total", "capital", "interest")
 
@@ -38,7 +38,7 @@ def _cumulative(name: str, source: str, order: str, kind: str) -> str:
 
 
 _PAIRED = f"""
-{_cumulative('due_cum', 'dues', 'due_date', 'due')},
+{_cumulative('due_cum', 'dues', 'due_date, instalment', 'due')},
 {_cumulative('paid_cum', 'daily', 'event_date', 'paid')},
 paired AS (
   SELECT d.*, p.* EXCLUDE (contract_id),
@@ -46,7 +46,7 @@ paired AS (
   FROM due_cum d JOIN paid_cum p ON d.contract_id = p.contract_id
    AND total_paid_cum > prev_total_due_cum AND prev_total_paid_cum < total_due_cum),
 lagged AS (
-  SELECT *, {', '.join(f'coalesce(lag({c}_left) OVER (PARTITION BY contract_id, due_date ORDER BY event_date), 0) AS prev_{c}_left' for c in _COMPONENTS)}
+  SELECT *, {', '.join(f'coalesce(lag({c}_left) OVER (PARTITION BY contract_id, due_date, instalment ORDER BY event_date), 0) AS prev_{c}_left' for c in _COMPONENTS)}
   FROM paired),
 settled AS (
   SELECT *, {', '.join(f'''CASE WHEN prev_{c}_left > 0 AND {c}_paid > prev_{c}_left THEN prev_{c}_left
@@ -70,7 +70,7 @@ def k1(src):
 
 @query(
     "k2_due_side",
-    f"WITH {_DUES}, {_cumulative('due_cum', 'dues', 'due_date', 'due')} SELECT * FROM due_cum",
+    f"WITH {_DUES}, {_cumulative('due_cum', 'dues', 'due_date, instalment', 'due')} SELECT * FROM due_cum",
     "schedule opening_arrears",
 )
 def k2(src):
@@ -93,7 +93,7 @@ def k3(src):
 )
 def k4_total(src):
     only = ("total",)
-    due = A.cumulate(A.daily_dues(src["schedule"], src["opening_arrears"]), "due_date", "due", only)
+    due = A.cumulate(A.daily_dues(src["schedule"], src["opening_arrears"]), A.DUE_ORDER, "due", only)
     paid = A.cumulate(A.daily_payments(src["payment"]), "event_date", "paid", only)
     out = A.allocate(due, paid, components=only)
     return out.select("contract_id", "due_date", "event_date", F.col("total_settled").alias("total_paid"))

@@ -141,8 +141,7 @@ def j22(src):
 
 
 _DUE = """due AS (SELECT contract_id, due_date, CASE contract_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END AS currency,
-         CAST(sum(capital_due) AS BIGINT) AS capital_due,
-         CASE WHEN min(instalment) = 7 THEN NULL ELSE CAST(sum(interest_due) AS BIGINT) END AS interest_due FROM schedule GROUP BY 1, 2)"""
+         capital_due, CASE WHEN instalment <> 7 THEN interest_due END AS interest_due FROM schedule)"""
 
 
 @query(
@@ -157,15 +156,8 @@ _DUE = """due AS (SELECT contract_id, due_date, CASE contract_id % 3 WHEN 0 THEN
 )
 def j23(src):
     ccy = F.expr("CASE contract_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END")
-    due = (
-        src["schedule"]
-        .groupBy("contract_id", "due_date")
-        .agg(
-            F.sum("capital_due").alias("capital_due"),
-            F.when(F.min("instalment") != 7, F.sum("interest_due")).alias("interest_due"),
-        )
-        .withColumn("currency", ccy)
-    )
+    interest = F.when(F.col("instalment") != 7, F.col("interest_due"))
+    due = src["schedule"].select("contract_id", "due_date", ccy.alias("currency"), "capital_due", interest.alias("interest_due"))
     out = S.schedule_scoring_fixed(due, src["loan"], src["department_scoring"], src["fx"], RATE_DATE)
     return whole(out, ["total_due", "capital_due"])
 

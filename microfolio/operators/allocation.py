@@ -7,21 +7,18 @@ paid. A payment settles the part of an instalment where the two intervals overla
 Instead of comparing every payment with every instalment of a contract, the ends of both
 kinds of intervals are put on one axis per contract and swept once: each elementary segment
 belongs to the first instalment and the first payment that end at or after it. The work per
-contract grows with instalments + payments. Both sides are first summed per contract and day,
-so a contract has at most one row per calendar day and side, however many raw rows it has.
+contract grows with instalments + payments. Both sides are summed first: payments per contract
+and day, dues per contract, day and instalment, however many raw rows there are.
 
 Contracts with a negative day total (reversals) have no monotone axis; they alone take the
-pairwise overlap test inside their group (two rows per calendar day at most), so the result is
-the same for every input.
+overlap test as a join on the contract, which gives only the overlapping pairs, so the result
+is the same for every input.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import (
     CAPITAL_CODES,
@@ -59,7 +56,7 @@ def daily_payments(
 
 
 def daily_dues(schedule: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    """Due amounts per contract and due date; opening arrears enter as instalment 0 at their snapshot date.
+    """Due amounts per contract, due date and instalment; opening arrears are instalment 0 at their snapshot date.
 
     ``schedule``: contract_id, instalment, due_date, capital_due, interest_due.
     ``opening``: contract_id, balance_date, principal_overdue, interest_overdue.
@@ -74,28 +71,30 @@ def daily_dues(schedule: DataFrame, opening: DataFrame | None = None) -> DataFra
             "interest_overdue",
         )
         rows = rows.union(arrears)
-    return rows.groupBy("contract_id", "due_date").agg(
-        F.min("instalment").alias("instalment"),
+    return rows.groupBy("contract_id", "due_date", "instalment").agg(
         F.sum("capital_due").alias("capital_due"),
         F.sum("interest_due").alias("interest_due"),
         F.sum(F.col("capital_due") + F.col("interest_due")).alias("total_due"),
     )
 
 
-def cumulate(days: DataFrame, order: str, kind: str, components=COMPONENTS) -> DataFrame:
+DUE_ORDER = ("due_date", "instalment")
+
+
+def cumulate(rows: DataFrame, order: str | tuple[str, ...], kind: str, components=COMPONENTS) -> DataFrame:
     """Running totals with and without the row's own amount, per contract along ``order``.
 
-    ``days`` has one row per contract and day. NULL amounts leave the running total unchanged.
+    ``rows`` has one row per contract and order value. NULL amounts leave the running total unchanged.
     """
-    w = Window.partitionBy("contract_id").orderBy(order)
-    run = days.withColumns({f"{c}_{kind}_cum": F.sum(f"{c}_{kind}").over(w) for c in components})
+    w = Window.partitionBy("contract_id").orderBy(*([order] if isinstance(order, str) else order))
+    run = rows.withColumns({f"{c}_{kind}_cum": F.sum(f"{c}_{kind}").over(w) for c in components})
     return run.withColumns(
         {f"prev_{c}_{kind}_cum": F.coalesce(F.lag(f"{c}_{kind}_cum").over(w), F.lit(0)) for c in components}
     )
 
 
 def due_side(schedule: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    return cumulate(daily_dues(schedule, opening), "due_date", "due")
+    return cumulate(daily_dues(schedule, opening), DUE_ORDER, "due")
 
 
 def paid_side(payments: DataFrame) -> DataFrame:
@@ -166,38 +165,18 @@ def _pairs(due: DataFrame, paid: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(*columns)
     )
 
-    fields = [*due.select(*dues).schema.fields, *paid.select(*pays).schema.fields]
-    numeric = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
-    flat = [F.col(f"due.{c}").alias(c) for c in dues] + [F.col(f"paid.{c}").alias(c) for c in pays]
-    flat = [F.coalesce(e, F.lit(0)).alias(f.name) if f.name in numeric else e for e, f in zip(flat, fields)]
+    held = axis.where(F.col("signed") & F.col("point").isNotNull())
+    overlap = (F.col("paid.total_paid_cum") > F.col("due.prev_total_due_cum")) & (
+        F.col("paid.prev_total_paid_cum") < F.col("due.total_due_cum")
+    )
     compared = (
-        axis.where(F.col("signed") & F.col("point").isNotNull())
-        .select("contract_id", F.col("due").isNotNull().alias("is_due"), *flat)
-        .groupBy("contract_id")
-        .applyInPandas(
-            _overlapping(dues, pays), T.StructType([due.schema["contract_id"], *fields])
-        )
+        held.where("due is not null").select("contract_id", "due")
+        .join(held.where("paid is not null").select(F.col("contract_id").alias("payer"), "paid"), (F.col("contract_id") == F.col("payer")) & overlap)
+        .select(*columns)
     )
     return swept, compared
 
 
-def _overlapping(dues: list[str], pays: list[str]):
-    """Pairwise overlap test for one contract with reversals (at most one row per day and side)."""
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        d = rows.loc[rows["is_due"], ["contract_id", *dues]].reset_index(drop=True)
-        p = rows.loc[~rows["is_due"], pays].reset_index(drop=True)
-        after, before = p["total_paid_cum"].to_numpy(), p["prev_total_paid_cum"].to_numpy()
-        hits = [
-            np.flatnonzero((after > lo) & (before < hi)) for lo, hi in zip(d["prev_total_due_cum"], d["total_due_cum"])
-        ]
-        left = d.loc[np.repeat(np.arange(len(d)), [len(h) for h in hits])].reset_index(drop=True)
-        right = p.loc[np.concatenate(hits) if hits else []].reset_index(drop=True)
-        return pd.concat([left, right], axis=1)
-
-    return pairs
-
-
 def _settled(c: str):
     """What a payment settles of an instalment's component, in four cases."""
     before = F.col(f"prev_{c}_left")
@@ -223,7 +202,7 @@ def allocate(due: DataFrame, paid: DataFrame, residue: float = 0.00001, componen
 
 
 def _settle(pairs: DataFrame, residue: float, components) -> DataFrame:
-    w = Window.partitionBy("contract_id", "due_date").orderBy("event_date")
+    w = Window.partitionBy("contract_id", *(c for c in DUE_ORDER if c in pairs.columns)).orderBy("event_date")
     left = pairs.withColumns(
         {f"{c}_left": F.greatest(F.col(f"{c}_due_cum") - F.col(f"{c}_paid_cum"), F.lit(0)) for c in components}
     )

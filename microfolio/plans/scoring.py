@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STAFF_PRODUCTS, STAFF_PRODUCTS_FIRST, to_long, zero_if_null
-from ..operators.allocation import instalment_numbers, shift_capital_decrease
+from ..operators.allocation import shift_capital_decrease
 from ..operators.fx import to_three, to_usd
-from ..operators.versioning import latest_snapshot, primary_department
+from ..operators.versioning import latest_snapshot, primary_department, version_counter
 
 
 def _with_department(df: DataFrame, loans: DataFrame, departments: DataFrame, amount: str) -> DataFrame:
@@ -94,11 +94,17 @@ def schedule_scoring_fixed(
 ) -> DataFrame:
     """First form: running instalment number, missing amounts as 0, currencies at one fixed day.
 
-    ``schedule``: reconciled instalments, one row per contract and due date.
+    ``schedule``: reconciled instalments. An instalment's number counts the contract's rows up to its due
+    date, so rows of one due date share the number of the last one.
     """
-    numbered = instalment_numbers(schedule.select("contract_id", "due_date", "currency", "capital_due", "interest_due"))
+    rows = schedule.select("contract_id", "due_date", "currency", "capital_due", "interest_due")
+    numbered = version_counter(rows, ["contract_id"], "due_date", "instalment_number", oldest_first=True)
     amounts = numbered.withColumns(
-        {"capital_due": zero_if_null("capital_due"), "interest_due": zero_if_null("interest_due")}
+        {
+            "instalment_number": F.col("instalment_number").cast("int"),
+            "capital_due": zero_if_null("capital_due"),
+            "interest_due": zero_if_null("interest_due"),
+        }
     )
     amounts = amounts.withColumn("total_due", F.col("capital_due") + F.col("interest_due")).drop("interest_due")
     loan = loans.select(F.col("loan_id").alias("__l"), "customer_id", "product_code", "status")

@@ -187,6 +187,15 @@ def test_allocation_equals_pairwise_definition(spark, reversals):
     assert rows(kept, "contract_id", "due_date", "event_date", "total_settled") == sorted([w for w in want if w[3] > 0.00001], key=repr)
 
 
+def test_instalments_of_one_day_are_kept_apart(spark):
+    d = day(30)
+    s = spark.createDataFrame([(1, 1, d, 100, 0), (1, 2, d, 50, 0), (1, 3, day(60), 40, 0)], "contract_id int, instalment int, due_date date, capital_due long, interest_due long")
+    p = spark.createDataFrame([(1, day(5), 120, "420"), (1, day(31), 45, "420")], "contract_id int, event_date date, amount long, code string")
+    out = allocation.event_calculated(s, p)
+    want = [(1, day(5), 100), (2, day(5), 20), (2, day(31), 30), (3, day(31), 15)]
+    assert rows(out, "instalment", "event_date", "total_paid") == sorted(want, key=repr)
+
+
 def test_allocated_sum_is_the_smaller_of_paid_and_due(spark):
     s = spark.createDataFrame([(1, i, day(30 * i), 100, 10) for i in range(1, 5)], "contract_id int, instalment int, due_date date, capital_due long, interest_due long")
     p = spark.createDataFrame([(1, day(5), 250, "420"), (1, day(90), 33, "434")], "contract_id int, event_date date, amount long, code string")
