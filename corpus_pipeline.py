@@ -47,7 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    return packing.pack(docs, catalog.vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, catalog.vocabulary("byte_bpe_50k.json"), added_tokens=True)
 
 
 STAGES = [

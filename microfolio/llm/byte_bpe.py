@@ -58,10 +58,16 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class ByteBPE:
-    """Encoder and decoder of one vocabulary; remembers parts of texts as little-endian ids."""
+    """Encoder and decoder of one vocabulary; remembers parts of texts as little-endian ids.
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        tokenizer.encode_special_tokens = True
+    With ``added_tokens`` the vocabulary's added tokens are found in texts and get their own ids, as by
+    the library's default; without, a special one's letters are text like any other.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, added_tokens: bool = False) -> None:
+        tokenizer.encode_special_tokens = not added_tokens
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else None
         self.tokenizer = tokenizer
         self.model = tokenizer.model
         letters = byte_alphabet()
@@ -76,8 +82,8 @@ class ByteBPE:
 
     @classmethod
     @lru_cache(2)
-    def from_json(cls, path: str) -> ByteBPE:
-        return cls(Tokenizer.from_file(path))
+    def from_json(cls, path: str, added_tokens: bool = False) -> ByteBPE:
+        return cls(Tokenizer.from_file(path), added_tokens)
 
     @classmethod
     @lru_cache(2)
@@ -99,7 +105,7 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text.isascii() and _FAR(text):
+        if not text.isascii() and _FAR(text) or self.holds_added and self.holds_added(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known = self.known
         if len(known) > REMEMBERED:

@@ -46,12 +46,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), added_tokens=True)
 
 
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, ranks = token_files.write(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    blocks, ranks = token_files.write(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), added_tokens=True)
     return token_files.read(blocks, ranks, digest=True)
 
 

@@ -67,8 +67,8 @@ def _group(rows: list[tuple], first: int, width: int) -> tuple[list[tuple], int]
     return out, first + len(used)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """One row per piece, see ``SCHEMA``; every document ends with id 0.
+def pack(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, group: int = GROUP, added_tokens: bool = False) -> DataFrame:
+    """One row per piece, see ``SCHEMA``; every document ends with id 0; ``added_tokens`` as in ``ByteBPE``.
 
     Null text counts as empty and is packed as its end id alone. Null ids and repeated rows are
     packed like all others; other columns are not read; an empty table gives no piece. Sequence ids
@@ -76,7 +76,7 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, group: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.from_json(tokenizer_path)
+        bpe = ByteBPE.from_json(tokenizer_path, added_tokens)
         first, rows = TaskContext.get().partitionId() << 40, []
         types = [pa.int64()] * 7
         names = [x.split()[0] for x in SCHEMA.split(", ")]

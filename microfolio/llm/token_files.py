@@ -47,16 +47,16 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def id_type(tokenizer_path: str) -> str:
+def id_type(tokenizer_path: str, added_tokens: bool = False) -> str:
     """The smallest unsigned type for all ids of the vocabulary."""
-    return "<u2" if len(ByteBPE.from_json(tokenizer_path).bytes_of) <= 1 << 16 else "<u4"
+    return "<u2" if len(ByteBPE.from_json(tokenizer_path, added_tokens).bytes_of) <= 1 << 16 else "<u4"
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, added_tokens: bool = False) -> DataFrame:
     """(doc_id, ids as little-endian integers of ``id_type``, the end id 0 included)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, kind = ByteBPE.from_json(tokenizer_path), id_type(tokenizer_path)
+        bpe, kind = ByteBPE.from_json(tokenizer_path, added_tokens), id_type(tokenizer_path, added_tokens)
         ids = [np.frombuffer(bpe.encode(t) + END, "<u4").astype(kind).tobytes() for t in texts(batch)]
         return named(batch, ["doc_id"], ids=pa.array(ids, pa.binary()))
 
@@ -105,14 +105,14 @@ def _blocks(rank_of: np.ndarray, kind: str):
     return run
 
 
-def write(docs: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
-    """Writes the files; returns (blocks, ranks) as read from them.
+def write(docs: DataFrame, tokenizer_path: str, added_tokens: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Writes the files; returns (blocks, ranks) as read from them; ``added_tokens`` as in ``ByteBPE``.
 
     Null text counts as empty: its end id alone. Null doc_ids come first; rows of one doc_id stand
     in the order of their ids. Other columns are not read; an empty table gives no block.
     """
-    tokens = staged(tokenised(docs, tokenizer_path), "tokens")
-    kind = id_type(tokenizer_path)
+    tokens = staged(tokenised(docs, tokenizer_path, added_tokens), "tokens")
+    kind = id_type(tokenizer_path, added_tokens)
     counts = ranked_ids(tokens, kind).orderBy(F.desc("n"), "id").toPandas()  # one row per id of the vocabulary at most
     ids = counts["id"].to_numpy(np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)

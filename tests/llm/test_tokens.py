@@ -11,7 +11,8 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from microfolio.llm import byte_bpe, packing, token_count, token_files
+import corpus_pipeline
+from microfolio.llm import byte_bpe, catalog, packing, token_count, token_files
 
 from .conftest import AWKWARD
 
@@ -103,6 +104,22 @@ def test_packing_holds_every_id_once(docs_of, rows, ids):
         assert at <= packing.WIDTH
 
 
+def test_queries_give_the_librarys_own_ids(spark, docs_of, tmp_path):
+    """Added tokens in texts get their ids, as where the library is loaded and nothing is set."""
+    rows = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (3, "x <|endoftext|><|endoftext|>\n it's"), (4, "日本 <|endoftext|> é"), (5, "<|endoftext"), (6, "plain text"), (7, None)]
+    docs = docs_of(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(JSON)
+    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+    assert want[1] == [64, 50256, 65, 0]
+    digests = {i: (len(x), crc(x)) for i, x in want.items()}
+    files = catalog.op8_token_files(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in files} == digests
+    assert [r.start for r in files] == np.r_[0, np.cumsum([len(want[i]) for i, _ in rows])[:-1]].tolist()
+    for packed in (catalog.op6_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packed.collect()} == digests
+
+
 def test_placing_pads_less_than_a_sequence():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 700):
