@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import io
 import uuid
+import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,19 +18,40 @@ from pyspark.sql.types import StructType
 BATCH_BYTES = 4 << 20
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table; Python workers may import this library from where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this library: once per application, an archive of it in the shared folder."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(f"{package.name}/{source.relative_to(package).as_posix()}"), source.read_bytes())
+    name = f"{package.name}-{zlib.crc32(packed.getvalue()):08x}.zip"
+    if name in context._python_includes:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/llm-stages/{uuid.uuid4().hex}/{name}")
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(path.toString())
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table, on a session whose workers have this library."""
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm-stages/{name}-{uuid.uuid4().hex}"
 
