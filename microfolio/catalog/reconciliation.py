@@ -193,15 +193,21 @@ def _pipeline_sql(c, later: bool) -> str:
  res AS (SELECT *, CASE WHEN ok1 = 1 OR ok2 = 1 OR ok3 = 1 THEN 1 ELSE ok1 END AS ok FROM j)"""
 
 
-def _pipeline(src, c, later=True):
+def _rules(c, later=True):
     base = dict(as_of=AS_OF, since=SINCE, component=c, scale=100)
     base["closed_until"] = "maturity_date" if c == "capital" else "end_date"
     if not later:
         base |= R.EARLIER
         base |= {"traceable_only": c == "capital", "principal_in_last_step": c == "interest"}
-    return R.pipeline(
-        src["r_loan"], src["r_schedule"], src["r_payment"], src["r_closing"], src["r_opening"], R.Rules(**base)
-    )
+    return R.Rules(**base)
+
+
+def _pipelines(src, *rules):
+    return R.pipelines(src["r_loan"], src["r_schedule"], src["r_payment"], src["r_closing"], src["r_opening"], list(rules))
+
+
+def _pipeline(src, c, later=True):
+    return _pipelines(src, _rules(c, later))[0]
 
 
 def _outcome(rec):
@@ -268,7 +274,7 @@ def _nested(c):
     VIEWS,
 )
 def l11(src):
-    return R.final_schedule(_pipeline(src, "capital"), _pipeline(src, "interest"))
+    return R.final_schedule(*_pipelines(src, _rules("capital"), _rules("interest")))
 
 
 @query(

@@ -6,6 +6,7 @@ Amounts may be in any unit; ``scale`` converts the tolerances (100 for cents).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from ..functions.scalars import (
     tolerance_of,
     zero_if_null,
 )
+from ..session import staged
 from .joins import null_safe_join
 from .versioning import first_version, latest_rows, numbered_versions
 
@@ -232,104 +234,183 @@ def pipeline(
     update equal to the difference; 3. for restructured loans with paid < due, without
     instalments replaced by the restructuring. Outcomes are 0 paid < due, 1 agreed, 2 paid > due;
     a step not tried counts 0; ``ok`` is 1 if any step agrees, else the first outcome.
-
-    Steps 2 and 3 are conditional sums of one aggregation per contract.
     """
-    r = rules
-    paid, due, over = f"{r.component}_paid", f"{r.component}_due", _OVERDUE[r.component]
-    day = F.lit(r.as_of).cast("date")
-    rows = _since(schedule, r.since)
+    return pipelines(loans, schedule, txn, closing, opening, [rules])[0]
+
+
+_SHARED = ("as_of", "since", "scale", "use_opening", "disbursed_since", "after_disbursement")
 
-    terms = loans
+
+def pipelines(
+    loans: DataFrame,
+    schedule: DataFrame,
+    txn: DataFrame,
+    closing: DataFrame,
+    opening: DataFrame | None,
+    rules: list[Rules],
+) -> list[Reconciliation]:
+    """:func:`pipeline` for several components at once, from one state per contract.
+
+    The schedule is read twice: for the two newest updates of each month, and for its rows, which are kept as
+    a stage table with a flag per component and step. All sums of steps 1 and 3 come from one
+    aggregation of that table and those of step 2 from one over the rows of previous updates; the outcomes are
+    the second stage table. The rules may differ by component, cut, matching and last step only.
+    """
+    r = rules[0]
+    if any(getattr(o, k) != getattr(r, k) for o in rules for k in _SHARED) or len({o.component for o in rules}) < len(rules):
+        raise ValueError("rules of one run differ by component only in what concerns the component")
+    state = staged(_contract_state(loans, schedule, txn, closing, opening, r), "reconcile-state")
+    rows = staged(_instalments_in_force(schedule, state, rules), "reconcile-instalments")
+    outcomes = staged(_outcomes(state, rows, rules), "reconcile-outcomes")
+    return [Reconciliation(_component_loans(outcomes, o), _step_rows(rows, outcomes, o), o) for o in rules]
+
+
+def _contract_state(loans, schedule, txn, closing, opening, r: Rules) -> DataFrame:
+    """One row per loan: its terms, paid totals, both snapshots, and the two newest updates of each month."""
+    months = (
+        _since(schedule, r.since).groupBy("contract_id", "due_month")
+        .agg(F.sort_array(F.collect_set("update_date"), asc=False).alias("dates"), F.min("due_date").alias("first_due"))
+    )  # as many dates as there are updates of one month
+    newest = F.struct(F.get("dates", F.lit(0)).alias("newest"), F.get("dates", F.lit(1)).alias("previous"))
+    updates = months.groupBy(F.col("contract_id").alias("loan_id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("due_month", newest.alias("dates")))).alias("updates"),
+        F.min("first_due").alias("first_due"),
+    )
     if r.disbursed_since:
         terms = loans.where(F.col("disbursement_date") >= F.lit(r.since).cast("date"))
+        state = terms.join(updates, "loan_id", "left")
     else:
-        inside = rows.where(F.col("due_date") <= day).select(F.col("contract_id").alias("loan_id")).distinct()
-        terms = inside.join(loans, "loan_id", "left")
-
+        inside = updates.where(F.col("first_due") <= F.lit(r.as_of).cast("date"))
+        state = inside.join(loans, "loan_id", "left")
     close = closing.select(
         "loan_id",
         F.col("principal_outstanding").alias("outstanding_close"),
-        F.col(over).alias("overdue_close"),
-        F.col("principal_overdue").alias("principal_overdue_close"),
+        *[F.col(over).alias(f"{c}_overdue_close") for c, over in _OVERDUE.items()],
     )
-    out = terms.join(paid_by_contract(txn).withColumnRenamed("contract_id", "loan_id"), "loan_id", "left")
-    out = out.join(close, "loan_id", "left")
+    state = state.join(paid_by_contract(txn).withColumnRenamed("contract_id", "loan_id"), "loan_id", "left")
+    state = state.join(close, "loan_id", "left")
+    opened = [f"{c}_overdue_open" for c in _OVERDUE]
     if r.use_opening:
         start = opening.select(
-            "loan_id", F.col("principal_outstanding").alias("outstanding_open"), F.col(over).alias("overdue_open")
+            "loan_id",
+            F.col("principal_outstanding").alias("outstanding_open"),
+            *[F.col(over).alias(f"{c}_overdue_open") for c, over in _OVERDUE.items()],
         )
-        out = out.join(start, "loan_id", "left")
+        state = state.join(start, "loan_id", "left")
     else:
-        out = out.withColumns({"outstanding_open": F.lit(0), "overdue_open": F.lit(0)})
-    filled = [
-        "capital_paid", "interest_paid", "penalty_paid", "outstanding_close", "overdue_close", "principal_overdue_close",
-        "outstanding_open", "overdue_open",
-    ]
-    out = out.withColumns({c: zero_if_null(c) for c in filled})
+        state = state.withColumns({c: F.lit(0) for c in ("outstanding_open", *opened)})
+    paid = ["capital_paid", "interest_paid", "penalty_paid"]
+    closed = ["outstanding_close", *[f"{c}_overdue_close" for c in _OVERDUE]]
+    state = state.withColumns({c: zero_if_null(c) for c in (*paid, *closed, "outstanding_open", *opened)})
     start_amount = F.when(F.col("outstanding_open") > 0, F.col("outstanding_open")).otherwise(
         F.col("capital_disbursed_amount")
     )
-    out = out.withColumn("start_amount", start_amount)
-    limit = tolerance_of("currency", scale=r.scale)
-    if r.use_opening:
-        rest = F.col("start_amount") - F.col("outstanding_close") - F.col("capital_paid")
-        out = out.withColumn("consistent", F.when(F.abs(rest) > limit, 0).otherwise(1))
-    else:
-        out = out.withColumn("consistent", F.lit(1))
+    state = state.withColumn("start_amount", start_amount)
+    if not r.use_opening:
+        return state.withColumn("consistent", F.lit(1)).drop("first_due")
+    rest = F.col("start_amount") - F.col("outstanding_close") - F.col("capital_paid")
+    consistent = F.when(F.abs(rest) > tolerance_of("currency", scale=r.scale), 0).otherwise(1)
+    return state.withColumn("consistent", consistent).drop("first_due")
 
-    versions = numbered_versions(rows, ["contract_id", "due_month"], "update_date").where(F.col("version") <= 2)
-    counted = rows.join(versions, ["contract_id", "due_month", "update_date"]).withColumnRenamed(
-        "update_date", "schedule_date"
-    )
-    attributes = out.select(
+
+def _instalments_in_force(schedule: DataFrame, state: DataFrame, rules: list[Rules]) -> DataFrame:
+    """Instalments of the two newest updates of their month, with what each component's cut and the third step say of them."""
+    terms = state.select(
         F.col("loan_id").alias("contract_id"), "disbursement_date", "maturity_date", "end_date", "status", "currency",
-        F.col("update_date").alias("changed"), F.col(paid).alias("__paid"),
-    )
-    counted = counted.join(attributes, "contract_id").where(due_by(r.as_of, r.closed_until))
-    if r.after_disbursement:
-        counted = counted.where(F.col("due_date") > F.col("disbursement_date"))
-    newest = F.col("version") == 1
-    first = counted.where(newest).groupBy("contract_id").agg(F.sum(due).alias("__due1"))
-    counted = counted.join(first, "contract_id", "left")
-    gap = F.col("__paid") - zero_if_null("__due1")
-    row_limit = tolerance_of("currency", scale=r.scale)
-    same = F.col(due) == gap if r.match_exactly else (F.abs(F.col(due) - gap) < row_limit)
-    replaced = ~(
-        ((F.col("schedule_date") < F.col("changed")) & (F.col("due_date") < F.col("changed")))
-        | (F.col("schedule_date") >= F.col("changed"))
-    )
-    counted = counted.withColumns(
-        {
-            "step1": newest,
-            "step2": newest | F.coalesce(same, F.lit(False)),
-            "step3": newest & F.coalesce(~replaced, F.lit(False)),
-        }
-    ).drop("__due1", "__paid", "disbursement_date", "maturity_date", "end_date", "status", "changed")
-    sums = counted.groupBy(F.col("contract_id").alias("loan_id")).agg(
-        F.sum(F.when(F.col("step1"), F.col(due))).alias("due1"),
-        *[F.sum(F.when(F.col(s), F.col(due))).alias(f"due{s[-1]}") for s in ("step2", "step3")],
-    )
-    out = out.join(sums, "loan_id", "left")
-
-    base = F.col(paid) + F.col("overdue_close") - F.col("overdue_open")
-    out = out.withColumn(due, zero_if_null("due1"))
-    out = out.withColumn("ok1", classify(base - F.col(due), "currency", scale=r.scale, codes=R_CODES))
-    try2 = (F.col("ok1") == 2) & (F.col("consistent") == 1) & F.col("due2").isNotNull()
-    if r.traceable_only:
-        exact = F.col("capital_disbursed_amount") - F.col("outstanding_close") - F.col("capital_paid") == 0
-        try2 = try2 & exact
-    try3 = (F.col("ok1") == 0) & (F.col("consistent") == 1) & F.col("restructured") & F.col("due3").isNotNull()
-    last = F.col(paid) + F.col("principal_overdue_close") if r.principal_in_last_step else base
-    out = out.withColumns(
-        {
-            "ok2": F.when(try2, classify(base - F.col("due2"), "currency", scale=r.scale, codes=R_CODES)).otherwise(0),
-            "ok3": F.when(try3, classify(last - F.col("due3"), "currency", scale=r.scale, codes=R_CODES)).otherwise(0),
-        }
-    )
-    agreed = (F.col("ok1") == 1) | (F.col("ok2") == 1) | (F.col("ok3") == 1)
-    out = out.withColumn("ok", F.when(agreed, 1).otherwise(F.col("ok1")))
-    return Reconciliation(out, counted, r)
+        F.col("update_date").alias("changed"), "updates",
+    )
+    rows = _since(schedule, rules[0].since).join(terms, "contract_id")
+    rows = rows.withColumn("dates", F.element_at("updates", F.col("due_month")))
+    rows = rows.withColumn("newest", F.col("update_date") == F.col("dates.newest"))
+    rows = rows.where(F.col("newest") | (F.col("update_date") == F.col("dates.previous")))
+    if rules[0].after_disbursement:
+        rows = rows.where(F.col("due_date") > F.col("disbursement_date"))
+    counts = {f"{r.component}_counts": F.coalesce(due_by(r.as_of, r.closed_until), F.lit(False)) for r in rules}
+    rows = rows.withColumns(counts).where(reduce(lambda a, b: a | b, [F.col(c) for c in counts]))
+    unchanged = ((F.col("update_date") < F.col("changed")) & (F.col("due_date") < F.col("changed"))) | (
+        F.col("update_date") >= F.col("changed")
+    )
+    return rows.select(
+        "contract_id", "due_date", F.col("update_date").alias("schedule_date"), "currency", "newest", *counts,
+        (F.col("newest") & F.coalesce(unchanged, F.lit(False))).alias("unchanged"),
+        *[f"{r.component}_due" for r in rules],
+    )
+
+
+def _closes_gap(r: Rules) -> Column:
+    """Whether an instalment equals what was paid beyond the first step's sum."""
+    gap = F.col(f"{r.component}_paid") - zero_if_null(f"{r.component}_due1")
+    due = F.col(f"{r.component}_due")
+    same = due == gap if r.match_exactly else (F.abs(due - gap) < tolerance_of("currency", scale=r.scale))
+    return F.coalesce(same, F.lit(False))
+
+
+def _outcomes(state: DataFrame, rows: DataFrame, rules: list[Rules]) -> DataFrame:
+    """The state with sums, outcomes of the three steps and the verdict, per component."""
+    named = F.col("contract_id").alias("loan_id")
+    plain, later = [], []
+    for r in rules:
+        c, counts = r.component, F.col(f"{r.component}_counts")
+        due = F.col(f"{c}_due")
+        plain += [
+            F.sum(F.when(counts & F.col("newest"), due)).alias(f"{c}_due1"),
+            F.sum(F.when(counts & F.col("unchanged"), due)).alias(f"{c}_due3"),
+        ]
+        later.append(F.sum(F.when(counts & _closes_gap(r), due)).alias(f"{c}_more"))
+    out = state.drop("updates").join(rows.groupBy(named).agg(*plain), "loan_id", "left")
+    over = [F.col("loan_id").alias("contract_id")] + [f"{r.component}_{k}" for r in rules for k in ("paid", "due1")]
+    before = rows.where(~F.col("newest")).join(out.select(*over), "contract_id")
+    out = out.join(before.groupBy(named).agg(*later), "loan_id", "left")
+    for r in rules:
+        c = r.component
+        paid, close, open_ = (F.col(f"{c}_{k}") for k in ("paid", "overdue_close", "overdue_open"))
+        base = paid + close - open_
+        last = paid + F.col("capital_overdue_close") if r.principal_in_last_step else base
+        both = F.when(
+            F.col(f"{c}_due1").isNotNull() | F.col(f"{c}_more").isNotNull(),
+            F.coalesce(f"{c}_due1", F.col(f"{c}_due1") * 0, F.col(f"{c}_more") * 0) + F.coalesce(f"{c}_more", F.col(f"{c}_due1") * 0),
+        )
+        out = out.withColumn(f"{c}_due2", both)
+        out = out.withColumn(f"{c}_due", zero_if_null(f"{c}_due1"))
+        out = out.withColumn(f"{c}_ok1", classify(base - F.col(f"{c}_due"), "currency", scale=r.scale, codes=R_CODES))
+        first, fine = F.col(f"{c}_ok1"), F.col("consistent") == 1
+        try2 = (first == 2) & fine & F.col(f"{c}_due2").isNotNull()
+        if r.traceable_only:
+            try2 = try2 & (F.col("capital_disbursed_amount") - F.col("outstanding_close") - F.col("capital_paid") == 0)
+        try3 = (first == 0) & fine & F.col("restructured") & F.col(f"{c}_due3").isNotNull()
+
+        def verdict(tried: Column, difference: Column, scale=r.scale) -> Column:
+            return F.when(tried, classify(difference, "currency", scale=scale, codes=R_CODES)).otherwise(0)
+
+        out = out.withColumns({
+            f"{c}_ok2": verdict(try2, base - F.col(f"{c}_due2")),
+            f"{c}_ok3": verdict(try3, last - F.col(f"{c}_due3")),
+        })
+        agreed = (first == 1) | (F.col(f"{c}_ok2") == 1) | (F.col(f"{c}_ok3") == 1)
+        out = out.withColumn(f"{c}_ok", F.when(agreed, 1).otherwise(first))
+    return out
+
+
+_VERDICTS = ("ok1", "ok2", "ok3", "ok")
+
+
+def _component_loans(outcomes: DataFrame, r: Rules) -> DataFrame:
+    """The outcomes of one component under plain names."""
+    own = [F.col(f"{r.component}_{k}").alias(k) for k in (*_VERDICTS, "due1", "due2", "due3", "overdue_close", "overdue_open")]
+    hidden = {f"{c}_{k}" for c in _OVERDUE for k in (*_VERDICTS, "due1", "due2", "due3", "more", "overdue_close", "overdue_open")}
+    hidden |= {f"{c}_due" for c in _OVERDUE if c != r.component}
+    return outcomes.select(*[c for c in outcomes.columns if c not in hidden], *own)
+
+
+def _step_rows(rows: DataFrame, outcomes: DataFrame, r: Rules) -> DataFrame:
+    """Instalments that count for a component, with the steps that use them."""
+    c = r.component
+    terms = outcomes.select(F.col("loan_id").alias("contract_id"), f"{c}_paid", f"{c}_due1", *[f"{c}_{k}" for k in _VERDICTS], "consistent")
+    used = rows.where(F.col(f"{c}_counts")).join(terms, "contract_id")
+    return used.select(
+        "contract_id", "due_date", "schedule_date", "currency", f"{c}_due", "consistent", *[F.col(f"{c}_{k}").alias(k) for k in _VERDICTS],
+        F.col("newest").alias("step1"), (F.col("newest") | _closes_gap(r)).alias("step2"), F.col("unchanged").alias("step3"),
+    )
 
 
 def accepted_rows(rec: Reconciliation, keep_rest: bool = False) -> DataFrame:
@@ -338,9 +419,6 @@ def accepted_rows(rec: Reconciliation, keep_rest: bool = False) -> DataFrame:
     ``keep_rest`` adds the newest instalments of consistent loans that never agreed.
     """
     due = f"{rec.rules.component}_due"
-    verdict = rec.loans.where(F.col("consistent") == 1).select(
-        F.col("loan_id").alias("contract_id"), "ok1", "ok2", "ok3", "ok"
-    )
     used = (
         ((F.col("ok1") == 1) & F.col("step1"))
         | ((F.col("ok2") == 1) & F.col("step2"))
@@ -348,11 +426,7 @@ def accepted_rows(rec: Reconciliation, keep_rest: bool = False) -> DataFrame:
     )
     if keep_rest:
         used = used | ((F.col("ok") != 1) & F.col("step1"))
-    return (
-        rec.rows.join(verdict, "contract_id")
-        .where(used & (F.col(due) != 0))
-        .select("contract_id", "due_date", "currency", due)
-    )
+    return rec.rows.where((F.col("consistent") == 1) & used & (F.col(due) != 0)).select("contract_id", "due_date", "currency", due)
 
 
 def final_schedule(capital: Reconciliation, interest: Reconciliation) -> DataFrame:

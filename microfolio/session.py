@@ -6,7 +6,9 @@ unset, so they can be called on any session.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", name: str = "microfolio", partitions: int = 8) -> SparkSession:
@@ -27,12 +29,29 @@ def local_session(cores: str = "8", name: str = "microfolio", partitions: int =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, the warehouse of a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return warehouse
+
+
+def stages_folder(spark: SparkSession) -> str:
+    """Where this application keeps its stage tables."""
+    return f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a named intermediate table: written once, read by all later steps, and there when executors are lost."""
+    path = f"{stages_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system it belongs to."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def remove_stages(spark: SparkSession) -> None:
+    """Delete the stage tables of this application, once their results have been written or read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stages_folder(spark))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

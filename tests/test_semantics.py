@@ -12,6 +12,7 @@ from microfolio.functions import scalars as S
 from microfolio.operators import activity, allocation, delay, fx, joins, quality, reconcile, versioning, windows
 from microfolio.operators.decode import decode
 from microfolio.plans import serving
+from microfolio.session import staged
 
 
 def day(n):
@@ -431,3 +432,28 @@ def test_a_window_with_a_day_without_rate_has_no_cover(spark):
     rates = spark.createDataFrame([("USD", dt.date(2024, 2, 1), 1)], "currency string, rate_date date, rate long")
     got = {r.customer_id: r.advance for r in delay.advance_cover(due, saved, rates).collect()}
     assert got[1] is None and got[2] == 1.0
+
+
+def test_reconciliation_of_both_components_reads_each_table_once(spark, monkeypatch):
+    """The final schedule of both components: few scans in all, and the same loans as one component at a time."""
+    from microfolio.catalog import base, reconciliation
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+    src = base.Source(spark, "/root/testdata/sf0.001")
+    counted = []
+
+    def counting(df, name):
+        counted.append(scans(df))
+        return staged(df, name)
+
+    monkeypatch.setattr(reconcile, "staged", counting)
+    both = reconciliation._pipelines(src, reconciliation._rules("capital"), reconciliation._rules("interest"))
+    final = reconcile.final_schedule(*both)
+    assert sum(counted) + scans(final) <= 25
+    alone = reconciliation._pipeline(src, "interest")
+    names = ["loan_id", "ok1", "ok2", "ok3", "ok", "interest_due"]
+    assert rows(both[1].loans, *names) == rows(alone.loans, *names)
+    with pytest.raises(ValueError):
+        reconciliation._pipelines(src, reconciliation._rules("capital"), reconciliation._rules("capital"))
