@@ -74,7 +74,7 @@ def k1(src):
     "schedule opening_arrears",
 )
 def k2(src):
-    return A.due_side(src["schedule"], src["opening_arrears"])
+    return A.due_side(src["schedule"], src["opening_arrears"]).drop("due_block")
 
 
 @query(
@@ -83,7 +83,7 @@ def k2(src):
     "payment",
 )
 def k3(src):
-    return A.paid_side(A.daily_payments(src["payment"]))
+    return A.paid_side(A.daily_payments(src["payment"])).drop("paid_block")
 
 
 @query(

@@ -4,15 +4,14 @@ Both sides of a contract are sequences of intervals on one money axis: instalmen
 (cumulative due before i, cumulative due with i], payment j covers the same for cumulative
 paid. A payment settles the part of an instalment where the two intervals overlap.
 
-Instead of comparing every payment with every instalment of a contract, the ends of both
-kinds of intervals are put on one axis per contract and swept once: each elementary segment
-belongs to the first instalment and the first payment that end at or after it. The work per
-contract grows with instalments + payments. Both sides are summed first: payments per contract
-and day, dues per contract, day and instalment, however many raw rows there are.
-
-Contracts with a negative day total (reversals) have no monotone axis; they alone take the
-overlap test as a join on the contract, which gives only the overlapping pairs, so the result
-is the same for every input.
+Both sides are summed first: payments per contract and day, dues per contract, day and instalment, however
+many raw rows there are. Then each side of a contract is cut into blocks of neighbouring days. Running
+totals are prefix sums in two levels, inside a block and over the totals of the blocks before it. The payments
+of a block (its days at most) become one row with the stretch of the money axis they cover; an instalment is
+compared with these stretches, and with single payments only inside the blocks that it meets. With amounts that
+are not negative that gives at most instalments + blocks copies; reversals (negative day totals) only widen
+stretches, so one plan serves all contracts. No window but that over block totals works on a contract alone, and
+the join has one row per block on its other side, so adaptive execution can split a contract with any number of instalments.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from ..functions.scalars import (
     sum_if,
     whole_days,
 )
+from .joins import null_safe_join
 
 COMPONENTS = ("total", "capital", "interest")
 
@@ -81,16 +81,40 @@ def daily_dues(schedule: DataFrame, opening: DataFrame | None = None) -> DataFra
 DUE_ORDER = ("due_date", "instalment")
 
 
+#: Days of one contract that share a block.
+BLOCK = "QUARTER"
+
+
+def _plus(inside, before):
+    """Sum of two running totals, NULL where both are."""
+    return F.coalesce(inside + before, inside, before)
+
+
 def cumulate(rows: DataFrame, order: str | tuple[str, ...], kind: str, components=COMPONENTS) -> DataFrame:
-    """Running totals with and without the row's own amount, per contract along ``order``.
+    """Running totals with and without the row's own amount, per contract along ``order``, and the row's ``{kind}_block``.
 
-    ``rows`` has one row per contract and order value. NULL amounts leave the running total unchanged.
+    ``rows`` has one row per contract and order value, whose first column is a date. NULL amounts leave
+    the running total unchanged; rows without a date come first, in a block of their own.
     """
-    w = Window.partitionBy("contract_id").orderBy(*([order] if isinstance(order, str) else order))
-    run = rows.withColumns({f"{c}_{kind}_cum": F.sum(f"{c}_{kind}").over(w) for c in components})
-    return run.withColumns(
-        {f"prev_{c}_{kind}_cum": F.coalesce(F.lag(f"{c}_{kind}_cum").over(w), F.lit(0)) for c in components}
+    order = (order,) if isinstance(order, str) else tuple(order)
+    block = f"{kind}_block"
+    cut = rows.withColumn(block, F.coalesce(F.trunc(order[0], BLOCK), F.lit("0001-01-01").cast("date")))
+    keys = ["contract_id", block]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    inside = cut.withColumns({f"{c}_{kind}_cum": F.sum(f"{c}_{kind}").over(w) for c in components})
+    inside = inside.withColumns({f"prev_{c}_{kind}_cum": F.lag(f"{c}_{kind}_cum").over(w) for c in components})
+    earlier = Window.partitionBy("contract_id").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys).agg(*[F.sum(f"{c}_{kind}").alias(f"{c}_total") for c in components])
+    carried = totals.select(*keys, *[F.sum(f"{c}_total").over(earlier).alias(f"{c}_before") for c in components])
+    run = null_safe_join(inside, carried, keys)
+    run = run.withColumns({f"{c}_{kind}_cum": _plus(F.col(f"{c}_{kind}_cum"), F.col(f"{c}_before")) for c in components})
+    run = run.withColumns(
+        {
+            f"prev_{c}_{kind}_cum": F.coalesce(_plus(F.col(f"prev_{c}_{kind}_cum"), F.col(f"{c}_before")), F.lit(0))
+            for c in components
+        }
     )
+    return run.drop(*[f"{c}_before" for c in components])
 
 
 def due_side(schedule: DataFrame, opening: DataFrame | None = None) -> DataFrame:
@@ -102,79 +126,22 @@ def paid_side(payments: DataFrame) -> DataFrame:
     return cumulate(payments, "event_date", "paid")
 
 
-def _pairs(due: DataFrame, paid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All (instalment, payment) pairs of a contract whose cumulative intervals overlap.
-
-    Two frames: contracts without and with reversals. They are kept apart so that the first
-    keeps its partitioning by contract for the steps that follow.
-    """
-    dues = [c for c in due.columns if c != "contract_id"]
-    pays = [c for c in paid.columns if c != "contract_id"]
-    d_type, p_type = due.select(F.struct(*dues).alias("s")), paid.select(F.struct(*pays).alias("s"))
-    no_due = F.lit(None).cast(d_type.schema["s"].dataType)
-    no_paid = F.lit(None).cast(p_type.schema["s"].dataType)
-    axis = due.select(
-        "contract_id",
-        F.col("total_due_cum").alias("point"),
-        F.col("total_due").alias("amount"),
-        F.struct(*dues).alias("due"),
-        no_paid.alias("paid"),
-    ).unionByName(
-        paid.select(
-            "contract_id",
-            F.col("total_paid_cum").alias("point"),
-            F.col("total_paid").alias("amount"),
-            no_due.alias("due"),
-            F.struct(*pays).alias("paid"),
-        )
+def _pairs(due: DataFrame, paid: DataFrame) -> DataFrame:
+    """All (instalment, payment) pairs of a contract whose cumulative intervals overlap."""
+    payments = [c for c in paid.columns if c not in ("contract_id", "paid_block")]
+    blocks = paid.groupBy(F.col("contract_id").alias("payer"), "paid_block").agg(
+        F.min("prev_total_paid_cum").alias("paid_from"),
+        F.max("total_paid_cum").alias("paid_to"),
+        F.collect_list(F.struct(*payments)).alias("payments"),
     )
-    axis = axis.withColumn("signed", F.min("amount").over(Window.partitionBy("contract_id")) < 0)
-    columns = ["contract_id", *[F.col(f"due.{c}").alias(c) for c in dues], *[F.col(f"paid.{c}").alias(c) for c in pays]]
-
-    # Sweep from the far end of the axis: the last positive instalment and payment seen so far
-    # are the first ones ending at or after this point. Rows of length 0 come first among
-    # equal points, so that they see only what ends strictly later; they pair with an
-    # interval that also starts strictly earlier.
-    down = Window.partitionBy("contract_id").orderBy(F.col("point").desc(), F.col("positive").asc())
-    seen = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    positive = F.coalesce(F.col("amount") > 0, F.lit(False))
-    swept = (
-        axis.where(~F.col("signed"))
-        .withColumn("positive", positive)
-        .select(
-            "contract_id",
-            "positive",
-            "point",
-            (F.col("point") > F.coalesce(F.lead("point").over(down), F.lit(0))).alias("has_length"),
-            F.col("due").isNotNull().alias("is_due"),
-            F.coalesce(
-                F.when(~F.col("positive"), F.col("due")),
-                F.last(F.when(F.col("positive"), F.col("due")), ignorenulls=True).over(seen),
-            ).alias("due"),
-            F.coalesce(
-                F.when(~F.col("positive"), F.col("paid")),
-                F.last(F.when(F.col("positive"), F.col("paid")), ignorenulls=True).over(seen),
-            ).alias("paid"),
-        )
-        .where(F.col("due").isNotNull() & F.col("paid").isNotNull())
-        .where(
-            F.when(F.col("positive"), F.col("has_length"))
-            .when(F.col("is_due"), F.col("paid.prev_total_paid_cum") < F.col("point"))
-            .otherwise(F.col("due.prev_total_due_cum") < F.col("point"))
-        )
-        .select(*columns)
-    )
-
-    held = axis.where(F.col("signed") & F.col("point").isNotNull())
-    overlap = (F.col("paid.total_paid_cum") > F.col("due.prev_total_due_cum")) & (
-        F.col("paid.prev_total_paid_cum") < F.col("due.total_due_cum")
-    )
-    compared = (
-        held.where("due is not null").select("contract_id", "due")
-        .join(held.where("paid is not null").select(F.col("contract_id").alias("payer"), "paid"), (F.col("contract_id") == F.col("payer")) & overlap)
-        .select(*columns)
+    meet = (F.col("paid_to") > F.col("prev_total_due_cum")) & (F.col("paid_from") < F.col("total_due_cum"))
+    near = due.drop("due_block").join(blocks, (F.col("contract_id") == F.col("payer")) & meet)
+    overlapping = F.filter(
+        "payments",
+        lambda p: (p.total_paid_cum > F.col("prev_total_due_cum")) & (p.prev_total_paid_cum < F.col("total_due_cum")),
     )
-    return swept, compared
+    dues = [c for c in due.columns if c != "due_block"]
+    return near.select(*dues, F.explode(overlapping).alias("p")).select(*dues, "p.*")
 
 
 def _settled(c: str):
@@ -197,11 +164,7 @@ def allocate(due: DataFrame, paid: DataFrame, residue: float = 0.00001, componen
     their own running totals, so single components may be negative or exceed the instalment.
     Pairs settling no more than ``residue`` in total are dropped.
     """
-    swept, compared = _pairs(due, paid)
-    return _settle(swept, residue, components).unionByName(_settle(compared, residue, components))
-
-
-def _settle(pairs: DataFrame, residue: float, components) -> DataFrame:
+    pairs = _pairs(due, paid)
     w = Window.partitionBy("contract_id", *(c for c in DUE_ORDER if c in pairs.columns)).orderBy("event_date")
     left = pairs.withColumns(
         {f"{c}_left": F.greatest(F.col(f"{c}_due_cum") - F.col(f"{c}_paid_cum"), F.lit(0)) for c in components}

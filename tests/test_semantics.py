@@ -457,3 +457,46 @@ def test_reconciliation_of_both_components_reads_each_table_once(spark, monkeypa
     assert rows(both[1].loans, *names) == rows(alone.loans, *names)
     with pytest.raises(ValueError):
         reconciliation._pipelines(src, reconciliation._rules("capital"), reconciliation._rules("capital"))
+
+
+def test_hot_contract_is_cut_into_blocks(spark):
+    """Half of all rows in one contract: settled totals are the intersections of intervals, and no block is large."""
+    rng = random.Random(9)
+    dues, paid = [], []
+    for contract in ["hot"] * 3000 + [f"c{i}" for i in range(300) for _ in range(10)]:
+        dues.append((contract, rng.randint(1, 4), day(rng.randint(0, 2400)), rng.randint(1, 900), rng.randint(0, 90)))
+        paid.append((contract, day(rng.randint(0, 2400)), rng.randint(1, 1000), rng.choice(["420", "434"])))
+    s = spark.createDataFrame(dues, "contract_id string, instalment int, due_date date, capital_due long, interest_due long")
+    p = spark.createDataFrame(paid, "contract_id string, event_date date, amount long, code string")
+    due, pays = allocation.due_side(s), allocation.paid_side(allocation.daily_payments(p))
+    for side, block in ((due, "due_block"), (pays, "paid_block")):
+        assert side.groupBy("contract_id", block).count().agg(F.max("count")).first()[0] < 200
+    out = allocation.allocate(due, pays)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    alone = [line for line in plan.splitlines() if "Window [" in line and line.rstrip().split("], [")[1].count(",") == 0]
+    assert all("block" in line for line in alone)  # only the totals of blocks are ordered by contract alone
+
+    want = {}
+    for contract in {d[0] for d in dues}:
+        ends, at = [], 0
+        amounts = {}
+        for _, number, date, capital, interest in (d for d in dues if d[0] == contract):
+            amounts[date, number] = amounts.get((date, number), 0) + capital + interest
+        for key in sorted(amounts):
+            ends.append((at, at + amounts[key], key))
+            at += amounts[key]
+        at, days = 0, {}
+        for _, date, amount, _ in (q for q in paid if q[0] == contract):
+            days[date] = days.get(date, 0) + amount
+        first = 0
+        for date in sorted(days):
+            begin, end = at, at + days[date]
+            at = end
+            while first < len(ends) and ends[first][1] <= begin:
+                first += 1
+            for lo, hi, (due_date, number) in ends[first:]:
+                if lo >= end:
+                    break
+                want[contract, due_date, number, date] = min(hi, end) - max(lo, begin)
+    got = {(r.contract_id, r.due_date, r.instalment, r.event_date): r.total_settled for r in out.collect()}
+    assert got == want
