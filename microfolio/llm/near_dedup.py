@@ -1,43 +1,59 @@
 """Near duplicates by a chosen-path set similarity join over word shingles.
 
 A document's set holds its distinct shingles of five words. Rows of equal sets are one
-representative. Every representative stands in ``TREES`` independent trees; on each level of a tree
+representative. Every representative stands in independent trees; on each of ``LEVELS`` levels of a tree
 it goes to the child named by its smallest shingle under the level's own hash function, so two sets
-of similarity s stay together with probability s. In every node each set is compared with the node's
-first. A node of at most ``SMALL`` sets is a leaf; the sets of a larger one go on to the next level. Sets of similarity 0.85 meet in a leaf of depth d with probability 0.85^d in a tree;
-with ten trees the chance to miss a pair is 6e-9 at depth 1, 3e-6 at 2 and 7e-5 at 3.
-
-Then leaves, and what is still together after ``LEVELS`` levels, are compared exhaustively, but for
-pairs that the links so far have put into one component, where a further link changes nothing. So
-a large group of sets all alike does not give all its pairs.
-
-Candidates pass bounds that every link passes (the sizes) or all but surely passes (agreement of one
-bit of each smallest shingle), and are confirmed on the full sets. Sets are made again from the texts
-for the few documents with candidates. Components come from rounds of pointing at smaller neighbours.
+of similarity s stay together with probability s. A node of at most ``SMALL`` sets is a leaf, the sets of a
+larger one go on. The number of trees follows from the target recall: sets at the threshold t miss each other in all trees with probability
+(1 - t^LEVELS)^trees at most, so ``trees_for`` takes the least number that keeps this under 1 - ``RECALL`` (10 at 0.85, 16 at 0.8).
+
+In every node each set is compared with the node's first; that links a group of sets all alike without its
+pairs. Leaves are then compared exhaustively, but for pairs that the links so far have put into one component.
+Nodes still large after all levels branch once more, by every shingle that could be the first common
+one of a link: shingles are ordered from rare to common among the sets that are left, and linked sets share one in the first few
+places (``_selected``). Sets whose own shingles exceed what a link allows fall out there, so a template with many
+fillings gives no pairs; nothing is lost at that step. A child's sets are compared across components only.
+
+Candidates pass bounds that every link passes (the sizes) or all but surely passes (agreement of two bits of each smallest
+shingle), and are confirmed on the full sets. Sets are made again from the texts
+for the documents in shared nodes. Components come from rounds of pointing at smaller neighbours.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, staged
 
 WORDS = 5
 PERCENT = 85
-TREES, LEVELS, SMALL = 10, 6, 48
+LEVELS, SMALL = 6, 48
+RECALL = 0.99
 #: Standard deviations of agreement below which a candidate goes.
-SLACK = 6.0
+SLACK = 4.5
 PIECE_BYTES = 1 << 20
-SIGNED = "doc_id long, n_shingles long, set_id binary, sketch long, minima array<int>"
+BITMAP_WORDS = 1 << 17
+SIGNED = "doc_id long, text_hash long, n_shingles long, rep binary, sketch array<long>, minima array<int>"
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
-_MINIMA = np.random.default_rng(6).integers(1, 2**63, TREES * LEVELS, dtype=np.uint64) | np.uint64(1)
+_PAIRS = np.uint64(0x5555555555555555)
+
+
+def trees_for(percent: int, levels: int = LEVELS, recall: float = RECALL) -> int:
+    """Trees after which a pair at the threshold has met in a leaf of depth ``levels`` with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** levels))
+
+
+@lru_cache
+def _functions(trees: int) -> np.ndarray:
+    return np.random.default_rng(6).integers(1, 2**63, trees * LEVELS, dtype=np.uint64) | np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,41 +75,51 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
+def minima(found: np.ndarray, trees: int) -> np.ndarray:
     """For each function, 32 bits that name the smallest shingle."""
-    out = np.full(len(_MINIMA), np.iinfo(np.uint64).max)
+    functions = _functions(trees)
+    out = np.full(len(functions), np.iinfo(np.uint64).max)
     for i in range(0, len(found), 512):
-        part = found[i : i + 512, None] * _MINIMA[None, :]
+        part = found[i : i + 512, None] * functions[None, :]
         part ^= part >> np.uint64(32)
         part *= np.uint64(0xD6E8FEB86659FD93)
         np.minimum(out, part.min(axis=0), out=out)
     return (out >> np.uint64(16)).astype(np.uint32).view(np.int32)
 
 
-def sketch(least: np.ndarray) -> int:
-    """One bit of each smallest shingle."""
-    return int.from_bytes(np.packbits((least & 1).astype(np.uint8), bitorder="little").tobytes(), "little")
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Two bits of each smallest shingle, 32 of them to a word."""
+    bits = np.zeros(-(-len(least) // 32) * 64, np.uint8)
+    bits[0 : 2 * len(least) : 2], bits[1 : 2 * len(least) : 2] = least & 1, least >> 1 & 1
+    return np.packbits(bits, bitorder="little").view("<i8")
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", PIECE_BYTES):
-        sizes, ids, sketches, least = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            found = shingles(text)
-            sizes.append(len(found))
-            ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            least.append(minima(found) if len(found) else None)
-            sketches.append(sketch(least[-1]) if len(found) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.int64()), pa.array(least, pa.list_(pa.int32()))],
-            names=["doc_id", "n_shingles", "set_id", "sketch", "minima"],
-        )
+def _sign(trees: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", PIECE_BYTES):
+            sizes, ids, sketches, least = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                found = shingles(text)
+                sizes.append(len(found))
+                ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                least.append(minima(found, trees) if len(found) else None)
+                sketches.append(sketch(least[-1]) if len(found) else None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array(sketches, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "text_hash", "n_shingles", "rep", "sketch", "minima"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", PIECE_BYTES):
         found = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], names=["rep", "shingles"])
+        ids = [xxhash.xxh3_128_digest(f) for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
 
 def _confirm(percent: int):
@@ -110,56 +136,74 @@ def _confirm(percent: int):
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """The sizes of linked sets differ by no more than the similarity allows, and their sketches in few bits.
+    """The sizes of linked sets differ by no more than the similarity allows, and their sketches in few places.
 
-    A bit agrees where the smallest shingles agree, and by chance in half of the other cases.
+    Two bits agree where the smallest shingles agree, and by chance in a quarter of the other cases.
     """
-    k, agree = TREES * LEVELS, (1 + percent / 100) / 2
+    k = trees_for(percent) * LEVELS
+    agree = percent / 100 + (1 - percent / 100) / 4
     most = int(k * (1 - agree) + SLACK * (k * agree * (1 - agree)) ** 0.5)
     m, n = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    differ = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
+    differ = F.lit(0)
+    for word in range(-(-k // 32)):
+        x = F.get(f"{a}.sketch", F.lit(word)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(word)))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(_PAIRS))))
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (differ <= most)
 
 
-def _tree_rows(reps: DataFrame) -> DataFrame:
-    paths = F.array(*(F.struct(F.lit(t).alias("tree"), F.slice("minima", t * LEVELS + 1, LEVELS).alias("path")) for t in range(TREES)))
-    rows = reps.select("rep", "n_shingles", "sketch", F.explode(paths).alias("p")).select("rep", "n_shingles", "sketch", F.col("p.tree").alias("tree"), F.col("p.path").alias("path"))
-    return rows.withColumn("node", F.xxhash64("tree", F.get("path", 0)))
+def _tree_rows(reps: DataFrame, trees: int) -> DataFrame:
+    paths = F.array(*(F.struct(F.lit(t).alias("tree"), F.slice("minima", t * LEVELS + 1, LEVELS).alias("path")) for t in range(trees)))
+    rows = reps.select("rep", "n_shingles", "sketch", F.explode(paths).alias("p"))
+    return rows.select("rep", "n_shingles", "sketch", "p.path", F.xxhash64("p.tree", F.get("p.path", F.lit(0))).alias("node"))
 
 
-def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(pairs with the first sets of nodes, rows of leaves and of nodes that stay large)."""
-    rows, pairs, ends = _tree_rows(reps), [], []
+def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs with the first sets of nodes, rows of leaves, rows of nodes that stay large)."""
+    rows, pairs, ends = _tree_rows(reps, trees_for(percent)), [], []
     for level in range(1, LEVELS + 1):
-        first = F.min(F.struct("rep", "n_shingles", "sketch")).alias("first")
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first).where("size > 1")
-        nodes = staged(nodes, f"nodes{level}")  # read anew, so that the join may split a large node
-        held = staged(rows.join(nodes, "node"), f"level{level}").alias("held")
-        others = held.where((F.col("rep") != F.col("first.rep")) & _alike("held", "first", percent))
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sizes = staged(sizes, f"nodes{level}")  # read anew, so that the join may split a large node
+        held = staged(rows.join(sizes, "node"), f"level{level}")
+        first = held.groupBy("node").agg(F.min(F.struct("rep", "n_shingles", "sketch")).alias("first"))
+        first = staged(first, f"firsts{level}")
+        others = held.alias("held").join(first, "node").where((F.col("rep") != F.col("first.rep")) & _alike("held", "first", percent))
         pairs.append(others.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")))
         large = held.where(F.col("size") > small)
         # The pair of a leaf of two is compared already.
         ends.append(held.where((F.col("size") > 2) & (F.col("size") <= small)).select("node", "rep", "n_shingles", "sketch"))
-        rows = large.select("rep", "n_shingles", "sketch", "tree", "path", "node")
+        rows = large.select("rep", "n_shingles", "sketch", "path", "node")
         if level == LEVELS or large.isEmpty():
             break
-        rows = rows.withColumn("node", F.xxhash64("node", F.get("path", level)))
-    ends.append(rows.select("node", "rep", "n_shingles", "sketch"))
-    return reduce(DataFrame.union, pairs).distinct(), reduce(DataFrame.union, ends)
+        rows = rows.withColumn("node", F.xxhash64("node", F.get("path", F.lit(level))))
+    return reduce(DataFrame.union, pairs).distinct(), reduce(DataFrame.union, ends), rows.select("node", "rep", "n_shingles", "sketch")
+
+
+def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is wanted. A bitmap of fixed size (``BITMAP_WORDS`` words) spares most others the shuffle."""
+    word, bit = F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS)), F.col(key).bitwiseAND(63).cast("int")
+    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("bits"))
+    marked = rows.withColumn("word", word).join(F.broadcast(bitmap), "word")
+    marked = marked.where(F.expr(f"shiftright(bits, cast({key} & 63 as int)) & 1") == 1).drop("word", "bits")
+    return marked.join(wanted, key, "left_semi")
 
 
-def links(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles) of the wanted representatives, made again from one text of each."""
+    hashes = staged(reps.join(wanted, "rep", "left_semi").select("text_hash"), "wanted")
+    texts = _among(docs.select(F.xxhash64("text").alias("text_hash"), "text"), hashes, "text_hash")
+    one = texts.groupBy("text_hash").agg(F.min("text").alias("text")).select("text")
+    return staged(one.mapInArrow(_sets, "rep binary, shingles binary"), "sets")
+
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The candidate pairs whose full sets are similar enough."""
     likely = staged(pairs, "candidates")
-    wanted = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.hint("merge"), "rep").groupBy("rep").agg(F.min("text").alias("text"))
-    sets = staged(texts.mapInArrow(_sets, "rep long, shingles binary"), "sets")
     both = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("other")), "b")
-    return staged(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    return staged(both.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(rep, component) of all ends of links; component is the smallest id reachable.
+    """(rep, component) of all ends of links; component is the smallest representative reachable.
 
     Each round links all neighbours of an id, and the id, to the smallest of them (larger ones in
     one half, smaller ones in the other) until nothing changes.
@@ -180,37 +224,94 @@ def components(pairs: DataFrame) -> DataFrame:
     return down.union(down.select("component", "component").distinct())
 
 
-def _rest(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one node."""
-    grouped = rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    grouped = staged(grouped, "ends")
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with their component so far."""
+    return rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _across_leaves(leaves: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one leaf."""
+    grouped = staged(_named(leaves, found), "leaves")
     mixed = grouped.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-    left = staged(grouped.join(mixed, "node"), "rest")
+    left = staged(grouped.join(mixed, "node"), "mixed-leaves")
     a, b = left.alias("a"), left.alias("b")
     on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.rep") < F.col("b.rep")) & _alike("a", "b", percent)
     return a.join(b, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "shingles", PIECE_BYTES):
+        parts = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+        take = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), pa.array(np.concatenate(parts) if parts else [], pa.int64())], names=["rep", "token"])
+
+
+def _selected(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The shingles by which sets of large nodes branch once more: (token, rep, place, inner).
+
+    In the order from rare to common, a link's first common shingle is among the first n - ceil(t n) + 1 of the longer set and
+    among the first n - ceil(2 t n / (1 + t)) + 1 of the shorter (``inner``). Shingles of one set only need no branch.
+    """
+    tokens = staged(sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_tokens, "rep binary, token long"), "tokens")
+    shared = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared-tokens")
+    common = tokens.join(shared, "token").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("rep")))
+    n = F.col("n_shingles")
+    placed = common.join(rows.select("rep", "n_shingles").distinct(), "rep")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("sets", "token"))
+    placed = placed.withColumn("place", n - F.col("shared") + rank)
+    outer = n - F.ceil(n * percent / 100) + 1
+    inner = n - F.ceil(n * 2 * percent / (100 + percent)) + 1
+    return placed.where(F.col("place") <= outer).select("token", "rep", "place", (F.col("place") <= inner).alias("inner"))
+
+
+def _across_large(large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components among the sets of nodes that stayed large."""
+    grouped = staged(_named(large, found), "large")
+    mixed = grouped.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
+    rows = grouped.join(mixed, "node", "left_semi").groupBy("rep").agg(*[F.first(c).alias(c) for c in ("component", "n_shingles", "sketch")])
+    rows = staged(rows, "large-sets")
+    weight = rows.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    entries = _selected(rows, sets, percent).join(rows, "rep").join(weight, "component")
+    entries = staged(entries, "branches")
+    children = entries.groupBy("token").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("weight", "component")).alias("main")
+    )
+    children = staged(children.where("x <> y").select("token", F.col("main.component").alias("main")), "children")
+    there = staged(entries.join(children, "token"), "mixed-branches")
+    a, b = there.where("component <> main").alias("a"), there.alias("b")
+    shares = (F.least(F.col("a.n_shingles") - F.col("a.place"), F.col("b.n_shingles") - F.col("b.place")) + 1) * (100 + percent)
+    enough = shares >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles"))
+    places = (F.col("a.inner") & (F.col("a.n_shingles") <= F.col("b.n_shingles"))) | (F.col("b.inner") & (F.col("b.n_shingles") <= F.col("a.n_shingles")))
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & places & enough & _alike("a", "b", percent)
+    return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
     Linked are rows with 100 * common >= percent * all shingles; ``component_id`` is the smallest
     doc_id reachable over links. Null or blank texts have no shingles, no links and a component of
-    their own. Rows with a null id are linked with nothing and kept, with a null component. Rows
-    that repeat an id with the same text share its component and are kept or not together; of one
-    id's different texts, the smallest one stands for it where sets are compared. Other columns
+    their own. Different texts under one id are linked each by itself. Rows with a null id are linked like others; they
+    take the smallest id of their component, or null where there is none, and are kept only then. Rows that
+    repeat an id with the same text are kept or not together. An empty table gives an empty result; other columns
     are not read.
     """
-    signed = staged(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "signatures")
-    some = signed.where("set_id is not null and doc_id is not null")
-    reps = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("minima").alias("minima")), "representatives")
-    pairs, ends = candidates(reps, percent, small)
-    linked = links(docs, pairs, percent)
+    trees = trees_for(percent)
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = staged(read.mapInArrow(_sign(trees), SIGNED), "signatures")
+    alike = signed.where("rep is not null").groupBy("rep")
+    reps = staged(alike.agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("text_hash", "n_shingles", "sketch", "minima")]), "representatives")
+    pairs, leaves, large = candidates(reps, percent, small)
+    pairs = staged(pairs, "first-pairs")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(leaves.select("rep")).union(large.select("rep")).distinct()
+    sets = full_sets(docs, reps, wanted)
+    linked = links(pairs, sets, percent)
+    for further in (lambda found: _across_leaves(leaves, found, percent), lambda found: _across_large(large, found, sets, percent)):
+        found = staged(components(linked), "components")
+        linked = linked.union(links(further(found), sets, percent))
     found = staged(components(linked), "components")
-    more = links(docs, _rest(ends, found, percent), percent)
-    if not more.isEmpty():
-        found = staged(components(linked.union(more)), "components")
-    named = reps.select("set_id", "rep").join(found, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    joined = signed.drop("minima", "sketch").join(named, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    named = reps.select("rep", "least_id").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    joined = signed.drop("minima", "sketch").join(named.join(least, "component").select("rep", "component_id"), "rep", "left")
+    component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

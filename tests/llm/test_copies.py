@@ -89,12 +89,53 @@ def test_near_copies(docs_of, supplied, percent, small):
     assert table(got, "doc_id", "n_shingles", "component_id", "kept") == near_components(rows, percent)
 
 
+def template_copies(n, own, shared, start):
+    """Texts that share ``shared`` shingles of five words and have ``own`` others each."""
+    head = " ".join(f"t{k}" for k in range(shared + 4))
+    return [(start + i, head + " " + " ".join(f"x{i}_{k}" for k in range(own))) for i in range(n)]
+
+
+def test_template_gives_no_pairs(spark, docs_of, monkeypatch):
+    """Many texts of a similarity just below the threshold: candidates grow with the texts, not with their pairs."""
+    confirmed = []
+
+    def counting(pairs, sets, percent=85, original=near_dedup.links):
+        confirmed[-1] += pairs.count()
+        return original(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "links", counting)
+    for n in (150, 300, 600):
+        confirmed.append(0)
+        got = near_dedup.near_duplicates(docs_of(template_copies(n, 10, 51, 0)))
+        assert got.where("kept").count() == n
+    print("candidates", confirmed)
+    assert confirmed[2] <= 5 * confirmed[0]
+
+
+def test_branches_of_large_nodes_lose_no_link(docs_of):
+    """Mixtures of many texts above and below the threshold that share a template, with other lengths among them."""
+    rows = template_copies(150, 10, 51, 0) + template_copies(60, 4, 51, 1000) + template_copies(40, 5, 60, 2000) + template_copies(30, 12, 51, 3000)
+    rows += [(5000 + i, t + f" y{i}") for i, (_, t) in enumerate(rows[::5])]
+    for percent, small in ((85, 4), (80, 4)):
+        got = near_dedup.near_duplicates(docs_of(rows), percent, small)
+        assert table(got, "doc_id", "n_shingles", "component_id", "kept") == near_components(rows, percent)
+
+
 def test_near_copies_of_awkward_rows(docs_of):
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs_of([(i, t) for i, t in AWKWARD if i != 10])).collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs_of(AWKWARD)).collect() if r.doc_id is not None}
     assert got[1].n_shingles == got[2].n_shingles == got[3].n_shingles == 0 and got[1].kept and got[3].component_id == 3
-    assert got[5].component_id == 4 and not got[5].kept and got[4].kept
+    assert got[5].component_id == 4 and not got[5].kept and got[4].kept and got[10].n_shingles == 1
     assert near_dedup.near_duplicates(docs_of([])).count() == 0
     assert near_dedup.near_duplicates(docs_of([(None, "a"), (None, "a")])).where("kept and component_id is null").count() == 2
+    nulls = near_dedup.near_duplicates(docs_of([(None, "a"), (3, "a")])).collect()
+    assert sorted((r.component_id, r.kept) for r in nulls) == [(3, False), (3, True)]
+
+
+def test_different_texts_of_one_id_are_linked_each(docs_of):
+    long = [" ".join(f"{c}{k}" for k in range(80)) for c in "abc"]
+    rows = [(9, long[0]), (9, long[1]), (9, long[2]), (4, long[0] + " end"), (6, long[1] + " end"), (12, long[2] + " end")]
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs_of(rows)).collect())
+    assert got == [(4, 4), (6, 6), (9, 4), (9, 6), (9, 9), (12, 9)]
 
 
 def test_chain_is_one_component(spark):
