@@ -96,6 +96,19 @@ def named(batch: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + list(more.values()), names=keep + list(more))
 
 
+BITMAP_WORDS = 1 << 17
+
+
+def likely_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is wanted, and few others: a bitmap of fixed size (``BITMAP_WORDS`` words) spares them a shuffle."""
+    place = F.xxhash64(key)
+    word, bit = F.pmod(F.shiftright("place__", 6), F.lit(BITMAP_WORDS)), F.expr("cast(place__ & 63 as int)")
+    marks = wanted.select(place.alias("place__")).groupBy(word.alias("word__"))
+    bitmap = marks.agg(F.expr("bit_or(shiftleft(1L, cast(place__ & 63 as int)))").alias("bits__"))
+    found = rows.withColumn("place__", place).withColumn("word__", word).join(F.broadcast(bitmap), "word__")
+    return found.where(F.getbit("bits__", bit) == 1).drop("place__", "word__", "bits__")
+
+
 def crc_of(column: str, parts: int):
     """crc32 of an id written as text, modulo ``parts``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))

@@ -16,21 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_pieces, named, pieces, texts
-from .sampling import smallest_hashes
 
 WINDOW = 128
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
-SAMPLE, PER_TEXT = 1500, 8
+PER_LANGUAGE, PER_TEXT = 375, 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+_WORDLIKE = re.compile(r"[^\W\d_]")
 AT_ONCE = 512
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter by its Unicode category; signs like ² or Ⅷ are none."""
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def cut(text: str) -> np.ndarray:
     """Windows of a text as rows of bytes; a short text is filled up with zeros."""
     data = np.frombuffer(text.encode(), np.uint8)
@@ -145,7 +149,7 @@ def _sampled_windows(per_text: int):
         for batch in pieces(batches, "text"):
             labels, windows = [], []
             for doc, label, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts(batch)):
-                if not _LETTER(text):
+                if not has_letter(text):
                     continue
                 rows = cut(text)
                 pick = np.random.default_rng(abs(doc or 0)).permutation(len(rows))[:per_text]
@@ -156,11 +160,29 @@ def _sampled_windows(per_text: int):
     return run
 
 
-def train(docs: DataFrame, trainable: Column, sample: int = SAMPLE, per_text: int = PER_TEXT) -> ByteCNN | None:
-    """A model from a bounded sample of the rows that ``trainable`` allows; None without any letter to learn from."""
+def sampled(allowed: DataFrame, per_language: int) -> DataFrame:
+    """(doc_id, lang, text) of the ``per_language`` ids with the smallest hashes of each language, one text of each id.
+
+    Hashes are spread evenly, so a threshold from the language's count leaves about twice as many; only these are ranked.
+    """
+    ids = allowed.select("lang", "doc_id", F.xxhash64("doc_id").alias("order")).distinct()
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(2.0 * per_language + 50) / F.col("n"), F.lit(1.0))
+    low = ids.join(counts, "lang").where(F.col("order").cast("double") <= F.lit(-(2.0**63)) + share * 2.0**64)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    chosen = low.withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("lang").alias("of"), F.col("doc_id").alias("id"))
+    rows = allowed.join(chosen.hint("broadcast"), (F.col("lang") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, trainable: Column, per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT) -> ByteCNN | None:
+    """A model from a bounded sample of each language among the rows that ``trainable`` allows; None without any letter to learn from.
+
+    Null ids count as one id; of a repeated id, one text is learned from. A language of few rows gives all of them.
+    """
     allowed = docs.select("doc_id", "lang", "text").where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = allowed.where(smallest_hashes(allowed, sample)).limit(2 * sample)
-    got = chosen.mapInArrow(_sampled_windows(per_text), "lang string, window binary").orderBy("lang", "window").collect()  # 2 * sample * per_text at most
+    chosen = sampled(allowed, per_language)
+    got = chosen.mapInArrow(_sampled_windows(per_text), "lang string, window binary").orderBy("lang", "window").collect()  # per_language * per_text for each language at most
     if not got:
         return None
     languages = sorted({r["lang"] for r in got})
@@ -172,13 +194,14 @@ def train(docs: DataFrame, trainable: Column, sample: int = SAMPLE, per_text: in
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """Per row: doc_id, lang_pred, score.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so are all without a model.
+    Null texts and texts without a letter are ``und`` with score 0, and so are all without a model. Ids are only
+    handed on, so null and repeated ids are rows like others; an empty table gives an empty result.
     Only doc_id and text are read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = texts(batch)
-        known = [i for i, t in enumerate(rows) if model is not None and _LETTER(t)]
+        known = [i for i, t in enumerate(rows) if model is not None and has_letter(t)]
         got = dict(zip(known, model.predict([rows[i] for i in known]))) if known else {}
         found = [got.get(i, (UNKNOWN, 0.0)) for i in range(len(rows))]
         return named(batch, ["doc_id"], lang_pred=pa.array([f[0] for f in found], pa.string()), score=pa.array([f[1] for f in found], pa.float64()))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, staged
+from .common import likely_in, pieces, staged
 
 WORDS = 5
 PERCENT = 85
@@ -40,7 +40,6 @@ RECALL = 0.99
 #: Standard deviations of agreement below which a candidate goes.
 SLACK = 4.5
 PIECE_BYTES = 1 << 20
-BITMAP_WORDS = 1 << 17
 SIGNED = "doc_id long, text_hash long, n_shingles long, rep binary, sketch array<long>, minima array<int>"
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _PAIRS = np.uint64(0x5555555555555555)
@@ -178,19 +177,10 @@ def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> t
     return reduce(DataFrame.union, pairs).distinct(), reduce(DataFrame.union, ends), rows.select("node", "rep", "n_shingles", "sketch")
 
 
-def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is wanted. A bitmap of fixed size (``BITMAP_WORDS`` words) spares most others the shuffle."""
-    word, bit = F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS)), F.col(key).bitwiseAND(63).cast("int")
-    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("bits"))
-    marked = rows.withColumn("word", word).join(F.broadcast(bitmap), "word")
-    marked = marked.where(F.expr(f"shiftright(bits, cast({key} & 63 as int)) & 1") == 1).drop("word", "bits")
-    return marked.join(wanted, key, "left_semi")
-
-
 def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, shingles) of the wanted representatives, made again from one text of each."""
     hashes = staged(reps.join(wanted, "rep", "left_semi").select("text_hash"), "wanted")
-    texts = _among(docs.select(F.xxhash64("text").alias("text_hash"), "text"), hashes, "text_hash")
+    texts = likely_in(docs.select(F.xxhash64("text").alias("text_hash"), "text"), hashes, "text_hash").join(hashes, "text_hash", "left_semi")
     one = texts.groupBy("text_hash").agg(F.min("text").alias("text")).select("text")
     return staged(one.mapInArrow(_sets, "rep binary, shingles binary"), "sets")
 

@@ -19,6 +19,7 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     swapped on another run.
     """
     keys = [group, *order, "uid__"]
+    df = staged(df, f"{name}-rows")  # the range partitioner reads its input twice
     laid = df.withColumn("uid__", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = staged(laid.drop("uid__").withColumn("at__", F.monotonically_increasing_id()), f"{name}-order")
     rows = rows.withColumn("part__", F.shiftright("at__", _ROW_BITS))

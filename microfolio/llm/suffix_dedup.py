@@ -7,23 +7,25 @@ the span of its place.
 
 1. Spans are counted by the hash of the seed at their place. Spans with a seed of their own hold no
    repeated string and are left.
-2. Spans of equal content that occur twice or more are repeated as a whole.
-3. Where one seed stands in different contents, the contents' bytes are fetched, one copy of each.
-   Sampled splitters range-partition the suffixes by their leading tokens, the seed's bytes; a
-   bucket sorts its strings locally by multikey quicksort: runs of strings that agree so far are
-   split by the first token (8 bytes) in which they differ, until runs are equal or single. Runs of
-   equal leading tokens are never cut, so nothing is left to compare across a bucket's boundaries,
-   but for seeds with more than ``bucket`` contents: their strings are grouped by all their bytes in
-   a shuffle with partial sums, which any number of strings can go through.
-4. Removed stretches of bytes go back to their documents.
-
-Contents are counted before they are shuffled by key, so copies in any number are one row.
+2. Of every content that shares a seed the bytes are fetched: of one copy, or of two where there are
+   several. The suffixes that begin with equal leading tokens, the seed's bytes, form a group.
+3. A group of more than ``bucket`` suffixes is split by further leading tokens: its strings are halved by how far they
+   reach to the left of the seed, and each half has a longer stretch of bytes that all its strings hold. Halving ends
+   with whole strings, which are compared as they are.
+4. Sampled splitters range-partition the groups by those tokens, never cutting equal ones, so
+   nothing is left to compare across a bucket's boundaries; a bucket sorts its strings locally by multikey quicksort: runs of
+   strings that agree so far are split by the first token (8 bytes) in which they differ, until runs are equal or single.
+5. Removed stretches of bytes go back to the texts.
+
+Bytes decide what is repeated; hashes name texts (128 bits) and contents (seed and content, 64 bits each).
+Contents are counted before they are shuffled by key, so copies in any number are one row or two.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import pieces, staged
+from .common import likely_in, pieces, staged
 
 WIDTH, SEED = 200, 24
-BUCKET = 20_000
+BUCKET = 4096
 TOKEN = 8
 CHUNK = 4096
-SPAN = "doc_id long, tag long, place long, seed long, content long"
-PIECE = "seed long, content long, copies long, hot boolean, leading binary, windows int, anchor int, bytes binary"
+SPAN = "key binary, place long, seed long, content long"
+PIECE = "seed long, content long, pieces long, core binary, low int, high int, anchor int, windows int, bytes binary"
 RANGE = "seed long, content long, first long, last long"
 
 
 def _spans(width: int, seed: int):
-    """Spans of each document; ``place`` packs first byte, windows and the seed's place."""
+    """Spans of each text; ``place`` packs first byte, windows and the seed's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            data = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            data = [t.encode() for t in batch.column("text").to_pylist()]
             starts = np.r_[0, np.cumsum([len(d) for d in data], dtype=np.int64)]
             row, first, windows, anchor, key, content = spans.find(np.frombuffer(b"".join(data), np.uint8), starts, width, seed)
-            take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(first << 16 | windows << 8 | anchor), pa.array(key), pa.array(content)],
-                names=["doc_id", "tag", "place", "seed", "content"],
+                [batch.column("key").take(pa.array(row, pa.int64())), pa.array(first << 16 | windows << 8 | anchor), pa.array(key), pa.array(content)],
+                names=["key", "place", "seed", "content"],
             )
 
     return run
@@ -64,11 +65,11 @@ def _unpacked(place: int) -> tuple[int, int, int]:
 
 
 def _fetch(width: int, seed: int):
-    """The bytes of the wanted spans of each document."""
+    """The bytes of the wanted spans of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECE.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 4, pa.binary()]
         for batch in pieces(batches, "text", 1 << 20):
             out = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
@@ -76,16 +77,20 @@ def _fetch(width: int, seed: int):
                 for w in wanted:
                     first, windows, anchor = _unpacked(w["place"])
                     at = first + anchor
-                    out.append((w["seed"], w["content"], w["copies"], w["hot"], data[at : at + seed], windows, anchor, data[first : first + windows + width - 1]))
+                    whole = data[first : first + windows + width - 1]
+                    out.append((w["seed"], w["content"], w["pieces"], data[at : at + seed], 0, width - seed + 1, anchor, windows, whole))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
     return run
 
 
-def repeated(strings: list[bytes], windows: np.ndarray, anchors: np.ndarray, group: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each span of a seed's group, which of its windows another span of the group holds too.
+def repeated(
+    strings: list[bytes], windows: np.ndarray, anchors: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, width: int
+) -> list[np.ndarray]:
+    """For each span of a group, which of its windows another span of the group holds too.
 
-    Equal windows have their seed at equal places, so runs begin as (group, place of the seed).
+    Only windows that reach from ``low`` to less than ``high`` bytes to the left of the seed are looked at. Equal
+    windows have their seed at equal places, so runs begin as (group, place of the seed).
     """
     size = int(windows.max()) + width - 1 + TOKEN
     data = np.zeros((len(strings), size), np.uint8)
@@ -112,7 +117,9 @@ def repeated(strings: list[bytes], windows: np.ndarray, anchors: np.ndarray, gro
     def token(member: np.ndarray, depth) -> np.ndarray:
         return token_at[base[member] + depth].astype(np.uint64)
 
-    member, run, head = split(np.arange(len(row)), group[row] * 256 + anchors[row] - offset, np.zeros(len(row), np.uint64))
+    reach = anchors[row] - offset
+    member = np.flatnonzero((reach >= low[row]) & (reach < high[row]))
+    member, run, head = split(member, (group[row] * 256 + reach)[member], np.zeros(len(member), np.uint64))
     for depth in (0, width - TOKEN):
         member, run, head = split(member, run, token(member, depth))
     while len(member):
@@ -129,18 +136,18 @@ def repeated(strings: list[bytes], windows: np.ndarray, anchors: np.ndarray, gro
 
 
 def _sorted(width: int):
-    """Repeated windows of the spans met once, bucket by bucket; rows come ordered by leading tokens."""
+    """Repeated windows, bucket by bucket; rows come ordered by leading tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def done(rows: list[dict]) -> pa.RecordBatch:
-            seeds = np.array([r["seed"] for r in rows])
-            number = np.unique(seeds, return_inverse=True)[1]
-            windows, anchors = (np.array([r[k] for r in rows], np.int64) for k in ("windows", "anchor"))
+            groups = {g: k for k, g in enumerate(dict.fromkeys((r["core"], r["low"]) for r in rows))}
+            number = np.array([groups[r["core"], r["low"]] for r in rows])
+            windows, anchors, low, high = (np.array([r[k] for r in rows], np.int64) for k in ("windows", "anchor", "low", "high"))
             out = []
-            for r, flag in zip(rows, repeated([r["bytes"] for r in rows], windows, anchors, number, width)):
-                if r["copies"] == 1 and flag.any():
+            for r, flag in zip(rows, repeated([r["bytes"] for r in rows], windows, anchors, number, low, high, width)):
+                if flag.any():
                     edge = np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0]))
                     out += [(r["seed"], r["content"], a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             columns = list(zip(*out)) or [[]] * 4
@@ -148,7 +155,7 @@ def _sorted(width: int):
 
         for batch in batches:
             for r in batch.to_pylist():
-                if len(held) >= CHUNK and r["leading"] != held[-1]["leading"]:
+                if len(held) >= CHUNK and r["core"] != held[-1]["core"]:
                     yield done(held)
                     held = []
                 held.append(r)
@@ -158,57 +165,58 @@ def _sorted(width: int):
     return run
 
 
-def _windows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "bytes", 1 << 16):
-            out = [(r["seed"], r["content"], r["copies"], w, r["bytes"][w : w + width]) for r in batch.to_pylist() for w in range(r["windows"])]
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["seed", "content", "copies", "first", "string"])
-
-    return run
+def _halved(groups: DataFrame, width: int) -> DataFrame:
+    """Both halves of each group's strings, with the longer stretch of bytes that all strings of a half hold."""
+    middle = F.expr("(low + high) div 2").cast("int")
+    halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct(middle.alias("low"), F.col("high")))
+    rows = groups.withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).drop("half")
+    rows = rows.where((F.col("anchor") >= F.col("low")) & (F.col("anchor") - F.col("windows") + 1 < F.col("high")))
+    held = F.substring("bytes", F.col("anchor") - F.col("low") + 1, F.lit(width + 1) - F.col("high") + F.col("low"))
+    return rows.withColumn("core", held)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(documents with null text as empty and a tag of the text, removed stretches per document)."""
+    """(documents with null text as empty and a 128-bit key of the text, removed stretches per key)."""
     if not TOKEN <= seed < width or width - seed > 254:
         raise ValueError("width must exceed the seed by 1 to 254 bytes")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(4096)))
-    found = staged(texts.where(F.octet_length("text") >= width).mapInArrow(_spans(width, seed), SPAN), "spans")
-    seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
-    shared = seeds.where("n > 1").select("seed", (F.col("a") != F.col("b")).alias("contested"))
-    shared = staged(shared, "seeds")  # read anew, so that the join may split a hot seed
+    texts = texts.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    long = texts.where(F.octet_length("text") >= width).select("key", "text")
+    found = staged(long.mapInArrow(_spans(width, seed), SPAN), "spans")
+    shared = staged(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "seeds")  # read anew, so that the join may split a hot seed
     found = staged(found.join(shared, "seed"), "shared-spans")
-    kinds = staged(
-        found.groupBy("seed", "content").agg(
-            F.count(F.lit(1)).alias("copies"), F.first("contested").alias("contested"), F.min(F.struct("doc_id", "tag", "place")).alias("at")
-        ),
-        "contents",
-    )
-    groups = kinds.where("contested").groupBy("seed").agg(F.count(F.lit(1)).alias("contents"), F.min("copies").alias("fewest"))
-    contested = kinds.join(groups.where("fewest = 1").select("seed", (F.col("contents") > bucket).alias("hot")), "seed")
-    wanted = contested.groupBy("at.doc_id", "at.tag").agg(
-        F.collect_list(F.struct("seed", "content", "copies", "hot", F.col("at.place").alias("place"))).alias("wanted")
-    )  # as many as the document has spans
-    fetched = staged(_with_texts(wanted, texts).select("text", "wanted").mapInArrow(_fetch(width, seed), PIECE), "suffixes")
-    local = fetched.where("not hot").repartitionByRange("leading").sortWithinPartitions("leading").mapInArrow(_sorted(width), RANGE)
-    strings = fetched.where("hot").select("seed", "content", "copies", "windows", "bytes").mapInArrow(_windows(width), "seed long, content long, copies long, first long, string binary")
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
-    hot = strings.where("copies = 1").join(twice, "string").select("seed", "content", "first", F.col("first").alias("last"))
-    partly = local.unionByName(hot).groupBy("seed", "content").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
-    whole = kinds.where("copies > 1").select("seed", "content", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))).alias("parts"))
-    marked = found.select("doc_id", "tag", "place", "seed", "content").join(whole.unionByName(partly), ["seed", "content"])
-    begin, windows = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    removed = marked.select("doc_id", "tag", begin.alias("begin"), windows.alias("windows"), F.explode("parts").alias("p")).select(
-        "doc_id", "tag",
-        F.struct((F.col("begin") + F.col("p.first")).alias("start"), (F.col("begin") + F.when(F.col("p.last") < 0, F.col("windows") - 1).otherwise(F.col("p.last")) + width).alias("end")).alias("cut"),
-    )
-    return texts, removed.groupBy("doc_id", "tag").agg(F.collect_list("cut").alias("cuts"))
-
-
-def _with_texts(left: DataFrame, texts: DataFrame, how: str = "inner") -> DataFrame:
-    right = left.withColumnsRenamed({"doc_id": "own_id", "tag": "own_tag"})
-    return texts.join(right, texts.doc_id.eqNullSafe(right.own_id) & (texts.tag == right.own_tag), how)
+    at = F.struct("key", "place")
+    kinds = found.groupBy("seed", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("one"), F.max(at).alias("other"))
+    kinds = staged(kinds, "contents")
+    groups = kinds.groupBy("seed").agg(F.sum(F.least("copies", F.lit(2))).alias("pieces"))
+    taken = F.when(F.col("copies") > 1, F.array("one", "other")).otherwise(F.array("one"))
+    wanted = kinds.join(groups, "seed").select("seed", "content", "pieces", F.explode(taken).alias("at"))
+    wanted = wanted.groupBy("at.key").agg(
+        F.collect_list(F.struct("seed", "content", "pieces", F.col("at.place").alias("place"))).alias("wanted")
+    )  # at most twice as many as the text has spans
+    wanted = staged(wanted, "wanted-spans")
+    sources = likely_in(long, wanted, "key").groupBy("key").agg(F.min("text").alias("text"))
+    fetched = staged(sources.join(wanted, "key").select("text", "wanted").mapInArrow(_fetch(width, seed), PIECE), "suffixes")
+
+    local, large, whole = [fetched.where(F.col("pieces") <= bucket)], fetched.where(F.col("pieces") > bucket), []
+    while not large.isEmpty():
+        halves = staged(_halved(large.drop("pieces"), width), "halves")
+        sizes = halves.groupBy("core", "low", "high").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+        halves = staged(halves.join(staged(sizes, "half-sizes"), ["core", "low", "high"]).select(*fetched.columns), "sized-halves")
+        single = F.col("high") - F.col("low") == 1
+        same = F.col("anchor").cast("long") - F.col("low")
+        whole.append(halves.where(single).select("seed", "content", same.alias("first"), same.alias("last")))
+        local.append(halves.where(~single & (F.col("pieces") <= bucket)))
+        large = halves.where(~single & (F.col("pieces") > bucket))
+    sorted_ = reduce(DataFrame.unionByName, local).repartitionByRange("core").sortWithinPartitions("core", "low")
+    marks = reduce(DataFrame.unionByName, [sorted_.mapInArrow(_sorted(width), RANGE), *whole])
+    parts = staged(marks.groupBy("seed", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts")), "repeated-windows")
+
+    begin = F.shiftright("place", 16)
+    marked = found.join(parts, ["seed", "content"]).select("key", begin.alias("begin"), F.explode("parts").alias("p"))
+    cut = F.struct((F.col("begin") + F.col("p.first")).alias("start"), (F.col("begin") + F.col("p.last") + width).alias("end"))
+    cuts = marked.select("key", cut.alias("cut")).groupBy("key").agg(F.collect_set("cut").alias("cuts"))  # bounded by the text's own length
+    return texts, staged(cuts, "cuts")
 
 
 def merged(cuts: list[dict] | None) -> list[tuple[int, int]]:
@@ -222,20 +230,21 @@ def merged(cuts: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+def _kept(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
+    """The stretches between removed runs."""
     at, left = 0, []
     for a, b in runs:
         left.append(data[at:a])
         at = b
-    return b"".join([*left, data[at:]])
+    return [*left, data[at:]]
 
 
 def removal_digests(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null text counts as empty; texts shorter than ``width`` lose nothing. Rows that repeat a text
-    are copies of each other and lose all that is long enough. Null ids are an id of their own.
-    Other columns are not read; an empty table gives an empty result.
+    are copies of each other and lose all that is long enough. Ids play no part in what is removed, so rows with null ids and
+    different texts of one id are judged each by its text. Other columns are not read; an empty table gives an empty result.
     """
     texts, cuts = repeats(docs, width, seed, bucket)
 
@@ -244,28 +253,29 @@ def removal_digests(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucke
             data = [t.encode() for t in batch.column("text").to_pylist()]
             runs = [merged(c) for c in batch.column("cuts").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array((sum(b - a for a, b in r) for r in runs), pa.int64()), pa.array(map(len, runs), pa.int64()), pa.array(hashlib.sha256(_kept(d, r)).hexdigest() for d, r in zip(data, runs))],
+                [batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array((sum(b - a for a, b in r) for r in runs), pa.int64()), pa.array(map(len, runs), pa.int64()), pa.array(hashlib.sha256(b"".join(_kept(d, r))).hexdigest() for d, r in zip(data, runs))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    joined = _with_texts(cuts, texts, "left").select("doc_id", "text", "cuts")
+    joined = texts.join(cuts, "key", "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with repeated passages taken out of the texts, all other columns as they are.
 
-    Null text stays null. Characters of which only some bytes lie in a repeated passage go whole.
+    Null text stays null. Characters of which only some bytes lie in a repeated passage go whole, and what is left on
+    both sides of a cut never makes a new character.
     """
-    texts, cuts = repeats(docs, width, seed, bucket)
-    cuts = cuts.withColumnsRenamed({"doc_id": "cut_id__", "tag": "cut_tag__", "cuts": "cuts__"})
-    tag = F.pmod(F.xxhash64(F.coalesce(docs.text, F.lit(""))), F.lit(4096))
-    joined = docs.join(cuts, docs.doc_id.eqNullSafe(cuts.cut_id__) & (tag == cuts.cut_tag__), "left").drop("cut_id__", "cut_tag__")
+    cuts = repeats(docs, width, seed, bucket)[1].withColumnsRenamed({"key": "cut_key__", "cuts": "cuts__"})
+    key = F.unhex(F.md5(F.coalesce(docs.text, F.lit("")).cast("binary")))
+    joined = docs.join(cuts, key == cuts.cut_key__, "left").drop("cut_key__")
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            new = [t if t is None or not c else _kept(t.encode(), merged(c)).decode(errors="ignore") for t, c in zip(batch.column("text").to_pylist(), batch.column("cuts__").to_pylist())]
+            rows = zip(batch.column("text").to_pylist(), batch.column("cuts__").to_pylist())
+            new = [t if t is None or not c else "".join(k.decode(errors="ignore") for k in _kept(t.encode(), merged(c))) for t, c in rows]
             columns = [*batch.columns[:-1]]
             columns[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])

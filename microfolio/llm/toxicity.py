@@ -247,11 +247,14 @@ def _sampled_windows(per_text: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, trainable: Column, toxic: int = TOXIC, clean: int = CLEAN, per_text: int = PER_TEXT) -> GatedNetwork | None:
-    """A model from a bounded sample of labelled rows; None unless there are labels of both kinds."""
+    """A model from a bounded sample of labelled rows; None unless there are labels of both kinds.
+
+    Of different texts of one id the smallest is learned from; rows without an id have no label.
+    """
     known = labels.where(trainable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     bad, good = known.where("toxic = 1"), known.where("toxic = 0")
     chosen = bad.where(smallest_hashes(bad, toxic)).limit(toxic).union(good.where(smallest_hashes(good, clean)).limit(clean))
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * (toxic + clean))
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     got = picked.mapInArrow(_sampled_windows(per_text), "doc_id long, toxic int, windows array<string>").orderBy("doc_id").collect()
     y = np.array([r["toxic"] for r in got], np.float32)
     if not (y == 1).any() or not (y == 0).any():
@@ -282,7 +285,8 @@ def score_rows(docs: DataFrame, model: GatedNetwork | None, threshold: float = T
 def score(docs: DataFrame, model: GatedNetwork | None, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, score, predicted (1 if score >= threshold).
 
-    Null and empty texts get the score of a window without words; all scores are 0 without a model.
-    Only doc_id and text are read.
+    Null and empty texts get the score of a window without words; all scores are 0 without a model. Ids are only
+    handed on, so null and repeated ids are rows like others; an empty table gives an empty result. Only doc_id and
+    text are read.
     """
     return score_rows(docs.select("doc_id", "text"), model, threshold).select("doc_id", F.col("toxic_score__").alias("score"), F.col("toxic_predicted__").alias("predicted"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from microfolio.llm import exact_dedup, fingerprints, near_dedup, suffix_dedup
@@ -158,7 +159,7 @@ def removed_by_hand(rows, width):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("width,seed,bucket", [(200, 24, 20_000), (40, 8, 20_000), (40, 8, 1)])
+@pytest.mark.parametrize("width,seed,bucket", [(200, 24, 20_000), (40, 8, 20_000), (40, 8, 1), (200, 24, 3)])
 def test_repeated_passages(docs_of, supplied, width, seed, bucket):
     rng = np.random.default_rng(width)
     passage = "".join(map(chr, rng.integers(97, 123, 260)))
@@ -168,6 +169,36 @@ def test_repeated_passages(docs_of, supplied, width, seed, bucket):
     assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(rows, width)
 
 
+def test_ids_play_no_part_in_removal(docs_of):
+    """A thousand texts without an id and a thousand under one id: clean ones keep all their bytes."""
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = letters(300)
+    texts = [letters(400) if k % 2 else letters(150) + passage + letters(150) for k in range(2000)] + [letters(700_000)]
+    rows = [(None if k < 1000 else 7, t) for k, t in enumerate(texts)]
+    got = suffix_dedup.removal_digests(docs_of(rows))
+    assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(rows, 200)
+    assert got.where("n_bytes in (400, 700000) and n_removed > 0").count() == 0
+
+
+def test_cuts_never_make_new_characters(docs_of):
+    """Kept stretches are decoded one by one; neighbours share lead or continuation bytes."""
+    rng = np.random.default_rng(3)
+    passage = "".join(map(chr, rng.integers(0x4E00, 0x4E40, 90)))
+    rows = [(k, chr(0x4E00 + k) * 3 + "é" + passage + "ü" + chr(0x5E00 + k) * 4) for k in range(30)]
+    rows += [(100 + k, "é" + "z" * (9 + k) + "Ƽ" + passage) for k in range(5)]
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs_of(rows)).collect()}
+    data = {i: t.encode() for i, t in rows}
+    seen = Counter(d[k : k + 200] for d in data.values() for k in range(len(d) - 199))
+    for i, d in data.items():
+        gone = np.zeros(len(d), bool)
+        for k in range(len(d) - 199):
+            gone[k : k + 200] |= seen[d[k : k + 200]] > 1
+        edges = np.flatnonzero(np.diff(np.r_[1, gone.astype(int), 1]))
+        want = "".join(d[a:b].decode(errors="ignore") for a, b in zip(edges[::2], edges[1::2]))
+        assert got[i] == want
+
+
 def test_repeated_passages_leave_other_columns(docs_of):
     docs = docs_of([(1, "é" * 150 + " own"), (2, "é" * 150), (3, None)]).withColumn("cuts", F.lit("clash"))
     got = {r.doc_id: r for r in suffix_dedup.without_repeats(docs).collect()}
@@ -195,6 +226,35 @@ def test_fingerprints(docs_of, supplied):
     assert parsed.where("again <> fingerprint").count() == 0
 
 
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    hashes = set()
+    for k in range(max(len(words) - 4, 1) if words else 0):
+        value = 42
+        for word in words[k : k + 5]:
+            value = xxhash.xxh64(word.encode(), seed=value).intdigest()
+        hashes.add(value % (1 << 32))
+    return sorted(h for h in hashes if h < 1 << 30) or sorted(hashes)[:1]
+
+
+def plain_likeness(one, other):
+    least = min(len(one), len(other))
+    return len(set(one) & set(other)) / least if least else float(len(one) == len(other))
+
+
+def test_fingerprints_against_plain_computation(docs_of, supplied):
+    rows = supplied + [(9000 + i, t) for i, t in AWKWARD if i not in (4, None)]
+    ordered = sorted(rows)
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        t, following = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        q = len(t) // 4
+        own, edited, other = (plain_fingerprint(x) for x in (t, t[: len(t) - q] + following[:q], following))
+        want.append((i, "".join(f"{h:08x}" for h in own), "".join(f"{h:08x}" for h in edited), plain_likeness(own, edited), plain_likeness(own, other)))
+    got = fingerprints.edited_fingerprints(docs_of(rows))
+    assert table(got, "doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == sorted(want, key=repr)
+
+
 def test_fingerprint_ranges_of_many_documents(docs_of, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_DOCS", 5)
     rows = [(i * i, f"{i} " * (i % 9)) for i in range(120)]

@@ -1,10 +1,13 @@
 """Trained classifiers: held-out accuracy, awkward rows, gradients."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from microfolio.llm import language, toxicity
 from microfolio.llm.common import crc_of
+from microfolio.llm.spans import _Roll
 
 from .conftest import AWKWARD
 
@@ -112,3 +115,65 @@ def test_tables_are_the_network():
     out = np.maximum(top, 0) @ model.p["o"] + model.p["b"]
     want = out - np.log(np.exp(out).sum(axis=1, keepdims=True))
     assert np.allclose(model.log_probabilities(x), want, atol=1e-4)
+
+
+def test_signs_are_no_letters():
+    for sign in ("²", "½", "Ⅷ", "①", "12 ⅓ _"):
+        assert not language.has_letter(sign)
+    assert language.has_letter("²ß") and language.has_letter("日")
+
+
+def test_rare_language_is_learned(docs_of):
+    rng = np.random.default_rng(4)
+    text = lambda low, high: " ".join("".join(map(chr, rng.integers(low, high, 6))) for _ in range(60))
+    rows = [(k, text(97, 123), "en") for k in range(3000)] + [(5000 + k, text(0x3B1, 0x3C9), "el") for k in range(4)]
+    docs = docs_of(rows + [(9000 + k, text(0x3B1, 0x3C9), None) for k in range(5)] + [(1, text(97, 123), "en")] * 500 + [(None, "²½Ⅷ①", "en")])
+    model = language.train(docs, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert all(got[9000 + k] == "el" for k in range(5)) and got[None] == "und" and got[2] == "en"
+
+
+def plain_score(net, text):
+    """A document's score, word by word and step by step."""
+    H, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    table, base = _Roll._constants(31)
+    data = text.encode().translate(toxicity._TABLE)
+    padded, inputs = b" " + data + b"  ", []
+    for m in re.finditer(rb"[^ ]+", padded):
+        value = sum(int(table[b]) * pow(base, k, 1 << 64) for k, b in enumerate(m.group())) % (1 << 64)
+        for _ in range(2):
+            value = (value ^ (value >> 32)) * 0xD6E8FEB86659FD93 % (1 << 64)
+        chars = np.zeros(toxicity.VECTOR)
+        for at in range(m.start(), m.end()):
+            x, y, z = padded[at - 1 : at + 2]
+            chars += net.p["char"][((x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) % (1 << 32)) >> 20]
+        inputs.append(np.concatenate([net.p["word"][value % toxicity.BUCKETS], chars / len(m.group())]))
+    logits, begin = [], 0
+    while True:
+        window = inputs[begin : begin + toxicity.WINDOW]
+        states = np.zeros((len(window), 2 * H))
+        for side, order in ((0, range(len(window))), (1, reversed(range(len(window))))):
+            h = np.zeros(H)
+            for t in order:
+                x = (window[t] @ net.p["x"] + net.p["xb"])[3 * H * side : 3 * H * (side + 1)]
+                gates = sig(x[: 2 * H] + h @ net.p[f"gate{side}"])
+                new = np.tanh(x[2 * H :] + gates[H:] * (h @ net.p[f"new{side}"]))
+                h = gates[:H] * h + (1 - gates[:H]) * new
+                states[t, H * side : H * (side + 1)] = h
+        weight = np.exp([np.tanh(s @ net.p["att"] + net.p["attb"]) @ net.p["query"] for s in states])
+        pooled = (weight[:, None] * states).sum(axis=0) / weight.sum() if len(window) else np.zeros(2 * H)
+        logits.append(float(np.clip(pooled @ net.p["out"] + net.p["outb"][0], -15, 15)))
+        begin += toxicity.STRIDE
+        if begin + toxicity.WINDOW - toxicity.STRIDE >= len(inputs):
+            break
+    first, second = (sorted(logits, reverse=True) * 2)[:2] if len(logits) == 1 else sorted(logits, reverse=True)[:2]
+    return sig(net.document @ np.array([first, second, 1.0]))
+
+
+def test_scores_against_plain_loops(docs_of, supplied):
+    rows, labels = toxic_corpus(3, 40)
+    net = toxicity.GatedNetwork().fit([[" ".join(t.split()[k : k + 24]) for k in range(0, 60, 12)] for _, t in rows], np.array([y for _, _, y in labels], np.float32), rounds=2)
+    texts = [t or "" for _, t in supplied[:25]] + [t for _, t in rows[:5]] + ["", " ", "a", "Ünïcode 日本語 it's", " ".join(["w"] * 37)]
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(list(enumerate(texts))), net).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_score(net, t)) < 1e-4
