@@ -99,14 +99,26 @@ def named(batch: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa.Record
 BITMAP_WORDS = 1 << 17
 
 
-def likely_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is wanted, and few others: a bitmap of fixed size (``BITMAP_WORDS`` words) spares them a shuffle."""
+def _marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``likely__``: true where the key is among ``keys``, and for few others. The bitmap has a fixed size (``BITMAP_WORDS`` words)."""
     place = F.xxhash64(key)
     word, bit = F.pmod(F.shiftright("place__", 6), F.lit(BITMAP_WORDS)), F.expr("cast(place__ & 63 as int)")
-    marks = wanted.select(place.alias("place__")).groupBy(word.alias("word__"))
+    marks = keys.select(place.alias("place__")).groupBy(word.alias("word__"))
     bitmap = marks.agg(F.expr("bit_or(shiftleft(1L, cast(place__ & 63 as int)))").alias("bits__"))
-    found = rows.withColumn("place__", place).withColumn("word__", word).join(F.broadcast(bitmap), "word__")
-    return found.where(F.getbit("bits__", bit) == 1).drop("place__", "word__", "bits__")
+    found = rows.withColumn("place__", place).withColumn("word__", word).join(F.broadcast(bitmap), "word__", "left")
+    return found.withColumn("likely__", F.coalesce(F.getbit("bits__", bit) == 1, F.lit(False))).drop("place__", "word__", "bits__")
+
+
+def likely_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is wanted, and few others; spares the others a shuffle."""
+    return _marked(rows, wanted, key).where("likely__").drop("likely__")
+
+
+def not_in(rows: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` (not null) is not in ``unwanted``; most of them without a shuffle."""
+    marked = _marked(rows, unwanted, key)
+    sure, doubtful = (marked.where(c).drop("likely__") for c in ("not likely__", "likely__"))
+    return sure.unionByName(doubtful.join(unwanted.select(key), key, "left_anti").select(sure.columns))
 
 
 def crc_of(column: str, parts: int):
