@@ -8,40 +8,52 @@ tokenizers and sets of shingles), so there is no SQL counterpart; tests compare
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microfolio.llm import catalog, exact_dedup, near_dedup, packing, suffix_dedup, toxicity
-from microfolio.llm.common import documents, staged
+from microfolio.llm.common import documents, not_in, staged
 
 NEAR_PERCENT = 80
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows whose id is in ``kept``; rows without an id stay."""
-    ids = kept.select(F.col("doc_id").alias("kept_id__")).distinct()
-    return docs.join(ids, docs.doc_id == ids.kept_id__, "left").where("doc_id is null or kept_id__ is not null").drop("kept_id__")
+def _one_of_each(docs: DataFrame, label: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of the rows that ``label`` puts into one group, the one with the smallest id stays, ids before none.
+
+    Rows are told apart by a key written once, not by their ids, so copies without an id, different texts of one id
+    and repeated rows are judged each by itself, and one row of each group stays. ``label`` takes (doc_id, text)
+    with the key as id and returns doc_id and group.
+    """
+    keyed = staged(docs.withColumn("row__", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = label(keyed.select(F.col("row__").alias("doc_id"), "text")).select(F.col("doc_id").alias("row__"), "group")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
+    named = staged(keyed.select("row__", "doc_id").join(groups, "row__"), "pipeline-groups")
+    stays = named.groupBy("group").agg(F.min(first).getField("row__").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    goes = staged(named.join(stays, "group").where("row__ <> stays").select("row__"), "pipeline-goes")
+    return not_in(keyed, goes, "row__").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go; a null text has nothing to reject."""
+    """Rows that the model rejects go, each judged by its text; a null text has nothing to reject."""
     columns = docs.columns
     flagged = toxicity.score_rows(docs, catalog.toxicity_model(spark, sf_dir))
     return flagged.where("toxic_predicted__ = 0").select(columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the row with the smallest id stays."""
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    """Of equal normalised texts (null: empty) the row with the smallest id stays."""
+    return _one_of_each(docs, lambda rows: exact_dedup.exact_duplicates(rows).withColumnRenamed("keep_id", "group"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the row with the smallest id stays."""
-    return _keep(docs, near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept"))
+    """Of each group of near copies (five words, similarity 0.8) the row with the smallest id stays; texts without words all stay."""
+    return _one_of_each(docs, lambda rows: near_dedup.near_duplicates(rows, NEAR_PERCENT).withColumnRenamed("component_id", "group"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes that also start elsewhere are cut out; ``n_chars`` follows."""
+    """Passages of 200 bytes that also start elsewhere are cut out; ``n_chars`` follows. Ids play no part; null texts stay null."""
     return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
