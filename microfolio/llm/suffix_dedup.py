@@ -24,6 +24,7 @@ Contents are counted before they are shuffled by key, so copies in any number ar
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,9 +37,9 @@ from . import spans
 from .common import likely_in, pieces, staged
 
 WIDTH, SEED = 200, 24
-BUCKET = 4096
+BUCKET = 1024
 TOKEN = 8
-CHUNK = 4096
+CHUNK = 1024
 SPAN = "key binary, place long, seed long, content long"
 PIECE = "seed long, content long, pieces long, core binary, low int, high int, anchor int, windows int, bytes binary"
 RANGE = "seed long, content long, first long, last long"
@@ -142,14 +143,20 @@ def _sorted(width: int):
         held: list[dict] = []
 
         def done(rows: list[dict]) -> pa.RecordBatch:
-            groups = {g: k for k, g in enumerate(dict.fromkeys((r["core"], r["low"]) for r in rows))}
-            number = np.array([groups[r["core"], r["low"]] for r in rows])
-            windows, anchors, low, high = (np.array([r[k] for r in rows], np.int64) for k in ("windows", "anchor", "low", "high"))
-            out = []
-            for r, flag in zip(rows, repeated([r["bytes"] for r in rows], windows, anchors, number, low, high, width)):
-                if flag.any():
-                    edge = np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0]))
-                    out += [(r["seed"], r["content"], a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+            out, unlike, number = [], [], []
+            for k, (_, group) in enumerate(itertools.groupby(rows, lambda r: (r["core"], r["low"]))):
+                group = list(group)
+                if len(group) > 1 and all(r["bytes"] == group[0]["bytes"] and r["anchor"] == group[0]["anchor"] for r in group):
+                    out += [(r["seed"], r["content"], 0, r["windows"] - 1) for r in group[:1]]  # one run from end to end
+                elif len(group) > 1:
+                    unlike += group
+                    number += [k] * len(group)
+            if unlike:
+                windows, anchors, low, high = (np.array([r[k] for r in unlike], np.int64) for k in ("windows", "anchor", "low", "high"))
+                for r, flag in zip(unlike, repeated([r["bytes"] for r in unlike], windows, anchors, np.array(number), low, high, width)):
+                    if flag.any():
+                        edge = np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0]))
+                        out += [(r["seed"], r["content"], a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             columns = list(zip(*out)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["seed", "content", "first", "last"])
 
