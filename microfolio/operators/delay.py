@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, ratio, zero_if_null
+from ..functions.scalars import clamp, month_of, ratio
 from .fx import to_khr_by_month
 
 
@@ -69,29 +69,46 @@ def advance_cover(instalments: DataFrame, balances: DataFrame, rates: DataFrame,
     (earlier due date, then larger amount) over the amount, limited to [0, 1]; summed per customer
     and window start and capped at n_days. ``instalments`` are those paid without delay.
 
-    A window with a day that has no rate has no cover (NULL), so it leaves the score alone.
+    A window with a day that has no rate has no cover (NULL), so it leaves the score alone. An instalment that cannot be
+    converted takes nothing from those behind it.
 
     Equal instalments of a customer are counted first: n copies of amount a covered by a rest r
-    sum to min(n, r / a), so no copy is expanded.
+    sum to min(n, r / a), so no copy is expanded. Nor are days: a window is one row for each month it touches, as rates
+    hold for a month. Of a day's higher priorities, those of the own due date are a running sum, and those due
+    before are the due dates from that day on, which the row carries as a list (n_days entries at most) next to the
+    balances of its month; the days are summed inside the row.
     """
     grain = instalments.groupBy("customer_id", "currency", "due_date", "amount_due").agg(F.count(F.lit(1)).alias("n"))
     window_start = F.date_sub("due_date", n_days)
-    days = grain.withColumn("window_start", window_start).withColumn(
-        "date", F.explode(F.sequence(F.col("window_start"), F.col("due_date")))
-    )
-    khr = to_khr_by_month(days, rates, "amount_due", "date", "khr")
-    before = (
-        Window.partitionBy("customer_id", "date")
-        .orderBy("due_date", F.col("khr").desc(), "currency", "amount_due")
+    months = F.sequence(month_of(window_start), month_of("due_date"), F.expr("interval 1 month"))
+    spans = grain.withColumn("window_start", window_start).withColumn("month_start", F.explode(months))
+    spans = spans.withColumns({"from": F.greatest("window_start", "month_start"), "to": F.least("due_date", F.last_day("month_start"))})
+    khr = to_khr_by_month(spans, rates, "amount_due", "month_start", "khr")
+
+    same = ["customer_id", "month_start", "due_date"]
+    ahead = (
+        Window.partitionBy(*same).orderBy(F.col("khr").desc(), "currency", "amount_due")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    taken = khr.withColumn("taken", F.coalesce(F.sum(F.col("n") * F.col("khr")).over(before), F.lit(0.0)))
-    left = F.greatest(zero_if_null("balance_khr") - F.col("taken"), F.lit(0.0))
-    covered = taken.join(balances, ["customer_id", "date"], "left").withColumn(
-        "cover", F.when(F.col("khr") > 0, F.least(F.col("n").cast("double"), left / F.col("khr")))
-    )
+    khr = khr.withColumn("ahead", F.coalesce(F.sum(F.col("n") * F.col("khr")).over(ahead), F.lit(0.0)))
+    due = khr.groupBy(*same).agg(F.coalesce(F.sum(F.col("n") * F.col("khr")), F.lit(0.0)).alias("due_khr"))
+    before = Window.partitionBy("customer_id", "month_start").orderBy(F.unix_date("due_date")).rangeBetween(-n_days, -1)
+    due = due.select(*same, F.collect_list(F.struct("due_date", "due_khr")).over(before).alias("earlier"))
+    held = balances.groupBy("customer_id", month_of("date").alias("month_start")).agg(
+        F.map_from_entries(F.collect_list(F.struct("date", "balance_khr"))).alias("held")
+    )  # one entry per day of the month
+    rows = khr.join(due, same).join(held, ["customer_id", "month_start"], "left")
+
+    def covered(day: Column) -> Column:
+        still_due = F.filter("earlier", lambda e: e["due_date"] >= day)
+        taken = F.aggregate(still_due, F.col("ahead"), lambda total, e: total + e["due_khr"])
+        rest = F.greatest(F.coalesce(F.element_at("held", day), F.lit(0.0)) - taken, F.lit(0.0))
+        return F.when(F.col("khr") > 0, F.least(F.col("n").cast("double"), rest / F.col("khr"))).otherwise(0.0)
+
+    days = F.transform(F.sequence("from", "to"), covered)
+    rows = rows.withColumn("cover", F.aggregate(days, F.lit(0.0), lambda total, c: total + c))
     known = F.count_if(F.col("khr").isNull()) == 0
-    return covered.groupBy("customer_id", "window_start").agg(
+    return rows.groupBy("customer_id", "window_start").agg(
         F.when(known, F.least(F.sum("cover"), F.lit(float(n_days)))).alias("advance")
     )
 

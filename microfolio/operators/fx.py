@@ -90,13 +90,12 @@ def to_three(
 
 
 def month_rates(rates: DataFrame) -> DataFrame:
-    """Rates keyed by currency, year and month for month-wise joins."""
-    return rates.select(
-        F.col("currency").alias("currency"),
-        F.year("rate_date").alias("year"),
-        F.month("rate_date").alias("month"),
-        F.col("rate").alias("month_rate"),
-    )
+    """One rate per currency, year and month for month-wise joins: that of the month's last day with a rate.
+
+    Several rates of that day are reduced by ``one_rate`` before, so a month never gives a row twice.
+    """
+    month = [F.year("rate_date").alias("year"), F.month("rate_date").alias("month")]
+    return one_rate(rates).groupBy("currency", *month).agg(F.max_by("rate", "rate_date").alias("month_rate"))
 
 
 def to_khr_by_month(df: DataFrame, rates: DataFrame, amount: str, date: str, out: str) -> DataFrame:

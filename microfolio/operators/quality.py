@@ -1,42 +1,70 @@
 """Checks and profiles of input tables. All results are exact.
 
-Value distributions go through a histogram (one row per column and value with its count), which
-map-side partial counts keep small however often a value repeats.
+Distinct keys are counted on the distinct combinations of their columns, which are made once. Order
+statistics are found by refining histograms: of each round only the bins that hold a wanted rank are looked into.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from decimal import Decimal, localcontext
+from fractions import Fraction
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import count_if, per_million, zero_if_null
+from ..session import staged
 from .joins import coverage, keep_in, null_safe_join
 
-BLOCKS = 256
+BINS = 2048
+FEW = 4096
 
 
 # ---- keys, references, rules --------------------------------------------------------------
 
 
+def key_grain(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct combinations of the columns with their number of rows, as a stage table."""
+    return staged(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")), "key-grain")
+
+
+def _distinct_counts(df: DataFrame, keys: dict[str, list[str]], expressions: dict[str, Column]) -> DataFrame:
+    """One row: ``obs`` and the number of distinct values other than NULL of each key's expression.
+
+    The fact is exchanged once, reduced to its distinct key columns. A key whose columns all belong to a larger key
+    is counted on that key's distinct combinations.
+    """
+    grains = {frozenset(c for cols in keys.values() for c in cols): None}
+    grains = {whole: key_grain(df, sorted(whole)) for whole in grains}
+    out = next(iter(grains.values())).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("obs"))
+    for name in sorted(keys, key=lambda k: -len(keys[k])):
+        wanted = frozenset(keys[name])
+        source = min((g for g in grains if wanted <= g), key=len)
+        if wanted not in grains:
+            grains[wanted] = grains[source].select(*sorted(wanted)).distinct()
+        values = grains[wanted].select(expressions[name].alias("__k")).where("__k is not null").distinct()
+        out = out.withColumn(name, values.select(F.count(F.lit(1))).scalar())
+    return out.select("obs", *keys)
+
+
 def key_report(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
     """Distinct values of each candidate key next to the number of rows.
 
     A key of several columns is their plain text concatenation; with a NULL part it is not counted.
     """
-    out = [F.count(F.lit(1)).alias("obs")]
-    for name, cols in keys.items():
-        key = F.col(cols[0]) if len(cols) == 1 else F.concat(*[F.col(c).cast("string") for c in cols])
-        out.append(F.countDistinct(key).alias(name))
-    return df.agg(*out)
+    return _distinct_counts(
+        df, keys, {n: F.col(c[0]) if len(c) == 1 else F.concat(*[F.col(x).cast("string") for x in c]) for n, c in keys.items()}
+    )
 
 
 def uniqueness(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
     """Distinct keys per million rows; 1,000,000 means unique. NULL parts count as values."""
-    n = F.count(F.lit(1))
-    return df.agg(
-        *[per_million(F.countDistinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])), n).alias(name)
-          for name, cols in keys.items()]
-    )
+    whole = {n: F.struct(*[F.coalesce(F.col(x).cast("string"), F.lit("\u0000")) for x in c]) for n, c in keys.items()}
+    counts = _distinct_counts(df, keys, whole)
+    return counts.select(*[per_million(n, "obs").alias(n) for n in keys])
 
 
 def period_share(df: DataFrame, date: str, start, end) -> DataFrame:
@@ -129,86 +157,128 @@ def cross_table(df: DataFrame, row: str, column: str, values: list) -> DataFrame
     return counted.groupBy(row).agg(*[count_if(F.col(column) == v).alias(f"n_{v}") for v in values])
 
 
-def histogram(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value, n) for numeric columns, NULLs left out."""
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-    long = df.select(rows.alias("x")).select("x.column", "x.value").where(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def _numbers(df: DataFrame, cols: list[str]) -> tuple[DataFrame, T.DataType]:
+    """The columns in one type that holds all their values exactly: decimals for whole and decimal columns, else doubles (NaN counts as missing)."""
+    kinds = [df.schema[c].dataType for c in cols]
+    if all(isinstance(k, (T.IntegralType, T.DecimalType)) for k in kinds):
+        scale = max(k.scale if isinstance(k, T.DecimalType) else 0 for k in kinds)
+        kind = T.DecimalType(38, scale)
+    else:
+        kind = T.DoubleType()
+    values = {c: F.col(c).cast(kind) for c in cols}
+    if isinstance(kind, T.DoubleType):
+        values = {c: F.when(~F.isnan(v), v) for c, v in values.items()}
+    return df.select(*[v.alias(c) for c, v in values.items()]), kind
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics, one row per column.
+def _order_statistics(df: DataFrame, ranks: dict[str, list[int]], bounds: dict[str, tuple], kind: T.DataType) -> dict[tuple[str, int], object]:
+    """The values at the given ranks (0 for the smallest) of each column, exactly.
 
-    The histogram of each column is cut into value blocks along approximate quantiles. Block totals
-    give every block its first rank; inside a block values are ranked by a running sum. No task
-    sees more than one block, whatever the number of rows.
+    Every interval that holds a wanted rank is cut into ``BINS`` bins of equal width by one scan of its rows; the bins that hold
+    a wanted rank, narrowed to the smallest and largest value in them, are the intervals of the next scan. Intervals of few
+    rows are counted value by value. What reaches the driver per scan is bounded by ``BINS`` or ``FEW`` rows per wanted rank.
     """
-    return _quantiles(histogram(df, cols), probs)
+    found: dict[tuple[str, int], object] = {}
+    # (column, smallest, largest, rank of the smallest, rows)
+    active = [(c, *bounds[c], 0, None) for c in ranks if ranks[c]]
+    while active:
+        rows, cases = [], []
+        for i, (c, low, high, _, n) in enumerate(active):
+            value, lo, hi = F.col(c), F.lit(low).cast(kind), F.lit(high).cast(kind)
+            width = (hi - lo).cast("double")
+            share = (value - lo).cast("double") / width
+            split = low < high and (n is None or n > FEW)
+            number = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int") if split else F.lit(0)
+            single = value if not split else F.lit(None).cast(kind)
+            rows.append(F.when(value.between(lo, hi), F.struct(F.lit(i).alias("i"), number.alias("bin"), single.alias("single"), value.alias("value"))))
+            cases.append(value.between(lo, hi))
+        cells = df.where(reduce(lambda a, b: a | b, cases)).select(F.explode(F.array_compact(F.array(*rows))).alias("x"))
+        counts = cells.groupBy("x.i", "x.bin", "x.single").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x.value").alias("low"), F.max("x.value").alias("high")
+        )
+        bins: dict[int, list] = {}
+        for r in counts.collect():
+            bins.setdefault(r["i"], []).append((r["low"], r["high"], r["n"]))
+        further = []
+        for i, (c, smallest, largest, start, _) in enumerate(active):
+            for low, high, n in sorted(bins[i], key=lambda x: x[0]):
+                inside = [k for k in ranks[c] if start <= k < start + n and (c, k) not in found]
+                if inside and low == high:
+                    found.update({(c, k): low for k in inside})
+                elif inside:  # an interval that no bin narrows (infinite ends) is counted value by value
+                    further.append((c, low, high, start, 0 if (low, high) == (smallest, largest) else n))
+                start += n
+        active = further
+    return found
+
+
+def _statistics(df: DataFrame, cols: list[str], probs: list[float]) -> tuple[list[dict], T.DataType]:
+    """Per column: rows, filled, minimum, maximum, mean and the quantiles; one scan for the first five."""
+    numbers, kind = _numbers(df, cols)
+    totals = numbers.agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[f(c).alias(f"{c}__{k}") for c in cols for k, f in (("filled", F.count), ("low", F.min), ("high", F.max), ("mean", F.avg))],
+    ).first()
+    out, ranks = [], {}
+    for c in cols:
+        filled = totals[f"{c}__filled"]
+        ranks[c] = sorted({f(Fraction(str(p)) * (filled - 1)) for p in probs for f in (math.floor, math.ceil)}) if filled else []
+    values = _order_statistics(numbers, ranks, {c: (totals[f"{c}__low"], totals[f"{c}__high"]) for c in cols}, kind)
+    for c in cols:
+        filled = totals[f"{c}__filled"]
+        row = {"column": c, "minimum": totals[f"{c}__low"], "maximum": totals[f"{c}__high"], "mean": totals[f"{c}__mean"], "missing": totals["__n"] - filled, "filled": filled}
+        for p in probs:
+            at = Fraction(str(p)) * (filled - 1)
+            row[_named(p)] = _between(values, c, at, kind) if filled else None
+        out.append(row)
+    return out, kind
+
+
+def _named(p: float) -> str:
+    return f"q{round(p * 100)}"
+
+
+def _between(values: dict, column: str, at: Fraction, kind: T.DataType):
+    low, high = values[column, math.floor(at)], values[column, math.ceil(at)]
+    part = at - math.floor(at)
+    if isinstance(kind, T.DoubleType):
+        return low + float(part) * (high - low) if part and low != high else low
+    exact = Fraction(low) + part * (Fraction(high) - Fraction(low))
+    with localcontext(prec=60):
+        return Decimal(exact.numerator) / Decimal(exact.denominator)
+
+
+def _table(spark: SparkSession, rows: list[dict], names: list[str], kind: T.DataType) -> DataFrame:
+    """One row per column; exact numbers as decimals with four more places for what lies between two values."""
+    exact = T.DecimalType(38, min(kind.scale + 4, 18)) if isinstance(kind, T.DecimalType) else kind
+    types = {"column": T.StringType(), "missing": T.LongType()}
+    schema = T.StructType([T.StructField(n, types.get(n, exact)) for n in names])
+
+    def fitted(v):
+        if not isinstance(exact, T.DecimalType) or not isinstance(v, Decimal):
+            return v
+        with localcontext(prec=60):
+            return v.quantize(Decimal(1).scaleb(-exact.scale))
+
+    return spark.createDataFrame([tuple(fitted(r[n]) for n in names) for r in rows], schema)
 
 
-def _quantiles(hist: DataFrame, probs: list[float]) -> DataFrame:
-    cuts = [i / BLOCKS for i in range(1, BLOCKS)]
-    splits = hist.groupBy("column").agg(
-        F.array_distinct(F.percentile_approx("value", cuts, F.lit(4 * BLOCKS))).alias("splits"),
-        F.sum("n").alias("rows"),
-    )
-    # Broadcast: one row of at most BLOCKS numbers per requested column.
-    # The block is the number of splits below the value, found by binary search.
-    cut = hist.join(F.broadcast(splits), "column").withColumn("block", F.lit(0))
-    step = BLOCKS // 2
-    while step:
-        passed = F.coalesce(F.get("splits", F.col("block") + (step - 1)) < F.col("value"), F.lit(False))
-        cut = cut.withColumn("block", F.col("block") + F.when(passed, step).otherwise(0))
-        step //= 2
-    inside = Window.partitionBy("column", "block").orderBy("value")
-    cut = cut.select("column", "rows", "value", "n", "block").withColumn("upto", F.sum("n").over(inside))
-    blocks = cut.groupBy("column", "block").agg(F.max("upto").alias("total"))
-    before = Window.partitionBy("column").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("column", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    ranked = (
-        cut.join(F.broadcast(starts), ["column", "block"])  # at most BLOCKS rows per requested column
-        .withColumn("hi", F.col("start") + F.col("upto"))
-        .withColumn("lo", F.col("hi") - F.col("n"))
-    )
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation between order statistics, one row per column.
 
-    def at(rank):
-        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("value")))
-
-    picks = []
-    for i, p in enumerate(probs):
-        h = (F.col("rows") - 1) * F.lit(float(p))
-        picks += [at(F.floor(h)).alias(f"__lo{i}"), at(F.ceil(h)).alias(f"__hi{i}")]
-    found = ranked.groupBy("column", "rows").agg(*picks)
-    out = found.select(
-        "column",
-        *[
-            (
-                F.col(f"__lo{i}")
-                + ((F.col("rows") - 1) * F.lit(float(p)) - F.floor((F.col("rows") - 1) * F.lit(float(p))))
-                * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
-            ).alias(f"q{round(p * 100)}")
-            for i, p in enumerate(probs)
-        ],
-    )
-    return out
+    Whole and decimal columns keep their exact values, see ``_order_statistics`` for how ranks are found. A column without
+    values has NULLs.
+    """
+    rows, kind = _statistics(df, cols, probs)
+    return _table(df.sparkSession, rows, ["column", *[_named(p) for p in probs]], kind)
 
 
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """Minimum, quartiles, median, mean, maximum and number of NULLs per numeric column."""
-    hist = histogram(df, cols)
-    stats = hist.groupBy("column").agg(
-        F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.sum("n").alias("filled"),
-    )
-    total = df.select(F.count(F.lit(1))).scalar()
-    return (
-        stats.join(_quantiles(hist, [0.25, 0.5, 0.75]), "column")
-        .withColumnsRenamed({"q25": "first_quartile", "q50": "median", "q75": "third_quartile"})
-        .withColumn("missing", total - F.col("filled"))
-        .drop("filled")
-    )
+    names = {"q25": "first_quartile", "q50": "median", "q75": "third_quartile"}
+    rows, kind = _statistics(df, cols, [0.25, 0.5, 0.75])
+    order = ["column", "minimum", *names, "mean", "maximum", "missing"]
+    return _table(df.sparkSession, rows, order, kind).withColumnsRenamed(names)
 
 
 def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

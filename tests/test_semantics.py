@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -500,3 +501,110 @@ def test_hot_contract_is_cut_into_blocks(spark):
                 want[contract, due_date, number, date] = min(hi, end) - max(lo, begin)
     got = {(r.contract_id, r.due_date, r.instalment, r.event_date): r.total_settled for r in out.collect()}
     assert got == want
+
+
+def test_quantiles_keep_whole_and_decimal_numbers_exact(spark):
+    big = 2**53
+    df = spark.createDataFrame([(big + 1,), (big,), (big + 1,), (-(2**62),), (None,)], "x long")
+    got = quality.quantiles(df, ["x"], [0, 0.5, 1]).first()
+    assert (got.q0, got.q50, got.q100) == (-(2**62), big + Decimal("0.5"), big + 1)
+    assert quality.summary(df.where(f"x >= {big}"), ["x"]).first().median == big + 1
+    money = spark.createDataFrame([(Decimal("12345678901234567890.01"),), (Decimal("12345678901234567890.03"),)], "m decimal(30,2)")
+    assert quality.quantiles(money, ["m"], [0.5]).first().q50 == Decimal("12345678901234567890.02")
+
+
+def test_quantiles_of_skewed_and_infinite_values(spark):
+    rng = random.Random(3)
+    values = [10.0 ** rng.randint(-300, 300) for _ in range(9000)] + [float("inf"), float("-inf"), 7.0] * 50 + [7.0] * 9000
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double").repartition(5)
+    got = quality.quantiles(df, ["x"], [0, 0.2, 0.5, 0.75, 1]).first()
+    values.sort()
+    assert [got.q0, got.q50, got.q100] == [values[0], 7.0, values[-1]]
+    assert np.isclose(got.q75, np.quantile(values, 0.75)) and np.isclose(got.q20, np.quantile(values, 0.2))
+    empty = quality.quantiles(df.where("false"), ["x"], [0.5]).first()
+    assert empty.q50 is None
+
+
+def test_hot_key_with_all_rows_in_one_hour(spark):
+    """Blocks of a running sum follow the rows, not the clock."""
+    start = dt.datetime(2024, 5, 1, 10)
+    n = 8000
+    rows_ = [("hot", start + dt.timedelta(microseconds=k * 400_000), k) for k in range(n)] + [(f"k{k}", start, k) for k in range(100)]
+    df = spark.createDataFrame(rows_, "k string, ts timestamp, v long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would share one block
+    blocks = windows.in_blocks(df, ["k"], ["ts"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in blocks.groupBy("__block").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * np.median(sizes)
+    got = {(r.k, r.v): r.cum for r in windows.running_sum(df, ["k"], "ts", {"v": "cum"}).collect()}
+    assert all(got["hot", k] == k * (k + 1) // 2 for k in range(n)) and got["k7", 7] == 7
+    down = {(r.k, r.v): r.cum for r in windows.running_sum(df, ["k"], "ts", {"v": "cum"}, desc=True).collect()}
+    assert all(down["hot", k] == (n - 1) * n // 2 - k * (k - 1) // 2 for k in range(0, n, 97))
+
+
+def test_ranks_in_a_skewed_group(spark):
+    rng = random.Random(8)
+    rows_ = [(None if k % 7 == 0 else "hot", rng.randint(0, 50), k, None if k % 3 else k) for k in range(5000)]
+    df = spark.createDataFrame(rows_, "k string, a int, id long, v long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = windows.priority_number(df, ["k"], [F.desc("a"), "id"], "v")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    numbered = windows.row_number(got, ["k"], [F.desc("a"), "id"])
+    found = {r.id: (r.priority, r.row_no) for r in numbered.collect()}
+    for key in (None, "hot"):
+        filled = 0
+        for place, (_, _, i, v) in enumerate(sorted((r for r in rows_ if r[0] == key), key=lambda r: (-r[1], r[2])), 1):
+            filled += v is not None
+            assert found[i] == (filled, place)
+    assert got.where("k = 'hot'").count() + got.where("k is null").count() == 5000
+
+
+def test_two_rates_of_a_month_double_nothing(spark):
+    rates = spark.createDataFrame([("USD", day(3), 2.0), ("USD", day(20), 4.0), ("USD", day(20), 3.0)], "currency string, rate_date date, rate double")
+    bal = spark.createDataFrame([("a", "c", "USD", day(1), 100)], "account_id string, customer_id string, currency string, balance_date date, capital_balance long")
+    got = delay.daily_balances(bal, rates, day(1).isoformat(), day(4).isoformat())
+    assert rows(got, "date", "balance_khr") == [(day(k), 25.0) for k in range(1, 5)]
+
+
+def test_cover_days_are_not_expanded(spark):
+    """Against a plain walk over days, with months of different rates, ties, and one currency without a rate in a month."""
+    rng = random.Random(2)
+    rate = {("USD", 1): 0.5, ("USD", 2): 0.25, ("USD", 3): 0.2, ("THB", 1): 4.0, ("THB", 2): 8.0}
+    rates = spark.createDataFrame([(c, dt.date(2020, m, 5), r) for (c, m), r in rate.items()], "currency string, rate_date date, rate double")
+    ins = [(rng.choice("xy"), rng.choice(["USD", "THB", "KHR"]), day(rng.randint(10, 80)), rng.choice([40, 100, 260])) for _ in range(60)]
+    held = {(c, day(k)): rng.choice([0.0, 300.0, 900.0, 4000.0]) for c in "xy" for k in range(0, 90) if k % 5}
+    frame = spark.createDataFrame(ins, "customer_id string, currency string, due_date date, amount_due long")
+    bal = spark.createDataFrame([(c, d, b) for (c, d), b in held.items()], "customer_id string, date date, balance_khr double")
+    cover = delay.advance_cover(frame, bal, rates)
+
+    def khr(i, d):
+        return float(i[3]) if i[1] == "KHR" else i[3] / rate[i[1], d.month] if (i[1], d.month) in rate else None
+
+    want = {}
+    for start in {(i[0], i[2]) for i in ins}:
+        total, known = 0.0, True
+        for k in range(-20, 1):
+            d = start[1] + dt.timedelta(days=k)
+            taken = 0.0
+            active = [i for i in ins if i[0] == start[0] and d <= i[2] <= d + dt.timedelta(days=20)]
+            for i in sorted(active, key=lambda i: (i[2], -(khr(i, d) or -1e9), i[1], i[3])):
+                value = khr(i, d)
+                if i[2] == start[1]:
+                    known &= value is not None
+                    if value:
+                        total += min(max(held.get((start[0], d), 0.0) - taken, 0.0) / value, 1.0)
+                taken += value or 0.0
+        want[start[0], start[1] - dt.timedelta(days=20)] = round(min(total, 20.0), 6) if known else None
+    got = {(r.customer_id, r.window_start): None if r.advance is None else round(r.advance, 6) for r in cover.collect()}
+    assert got == want and None in want.values()
+
+
+def test_key_counts_exchange_the_fact_once(spark, monkeypatch):
+    df = spark.createDataFrame([(k % 7, k % 3, "1" if k % 2 else None, "2") for k in range(500)], "a int, b int, c string, d string")
+    made = []
+    monkeypatch.setattr(quality, "staged", lambda frame, name: (made.append(frame), staged(frame, name))[1])
+    got = quality.key_report(df, {"fine": ["a", "b", "c"], "pair": ["a", "b"], "one": ["a"], "other": ["c", "d"]}).first()
+    assert tuple(got) == (500, 21, 21, 7, 1) and len(made) == 1
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert tuple(quality.uniqueness(df, {"a": ["a"], "cd": ["c", "d"]}).first()) == (14000, 4000)
+    assert quality.key_report(df.where("false"), {"one": ["a"]}).first().obs == 0
