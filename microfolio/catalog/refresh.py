@@ -5,7 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..streaming.refresh import appended, landing_of, rebuilt, rebuilt_days, refresh_on_load, truncated
+from ..streaming.refresh import (
+    appended, counted, landing_of, largest, merged_by_load, rebuilt, rebuilt_days, refresh_on_load, smallest, summed, truncated,
+)
 from . import service
 from .base import query
 
@@ -49,3 +51,27 @@ def r1_truncated(src):
     folder = _folder(src)
     _on_events(src, folder, rebuilt(lambda: service.arrears_summary(src), truncated(f"{folder}/mart")))
     return src.spark.read.parquet(f"{folder}/mart")
+
+
+@query(
+    "r1_merged_by_load",
+    """SELECT CAST(ts AS DATE) AS update_date, event_type, count(*) AS movements, CAST(sum(event_id) AS BIGINT) AS id_sum,
+              min(event_id) AS first_id, max(event_id) AS last_id, count(*) FILTER (user_id % 2 = 0) AS even_users
+       FROM events GROUP BY 1, 2""",
+)
+def r1_merged(src):
+    """Three loads that share their days, each taken up from its own rows; the mart of all of them is never read from raw rows again."""
+    folder = _folder(src)
+    events = src.table("events")
+    refresh = merged_by_load(
+        F.col("ts").cast("date"), {"event_type": F.col("event_type")},
+        {
+            "movements": counted(), "id_sum": summed("event_id"), "first_id": smallest("event_id"), "last_id": largest("event_id"),
+            "even_users": counted(F.col("user_id") % 2 == 0),
+        },
+        f"{folder}/state", f"{folder}/mart",
+    )
+    for k in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).write.mode("append").parquet(f"{folder}/landing")
+        refresh_on_load(src.spark, f"{folder}/landing", events.schema, f"{folder}/progress", refresh)
+    return src.spark.read.parquet(f"{folder}/mart")

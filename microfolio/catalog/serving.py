@@ -1,8 +1,12 @@
 """Serving reads over the marts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..plans import paging
 from ..plans import serving as R
+from ..session import stages_folder
 from . import service as P
 from .base import query
 
@@ -66,6 +70,41 @@ def q10(src):
     return R.events_feed(feed, MANAGER, when="r_time", tiebreak=("loan_id",))
 
 
+_BY_AMOUNT = (("capital_disbursed_amount", True), ("loan_id", False))
+_LATEST_FIRST = (("r_time", True), ("loan_id", True))
+
+
+def _paged(src, df, order):
+    path = f"{stages_folder(src.spark)}/pages-{uuid.uuid4().hex}"
+    paging.write_pages(df, order, path, 16)
+    return path
+
+
+@query(
+    "f4_deep_page",
+    "SELECT loan_id, capital_disbursed_amount FROM loan ORDER BY capital_disbursed_amount DESC, loan_id LIMIT 120 OFFSET 700",
+    "loan",
+)
+def f4_deep(src):
+    """A page far down: only the ranges of the index that hold it are read and sorted."""
+    path = _paged(src, src["loan"].select("loan_id", "capital_disbursed_amount"), _BY_AMOUNT)
+    return paging.page(src.spark, path, _BY_AMOUNT, 120, 700)
+
+
+@query(
+    "q10_events_after",
+    """SELECT loan_id, portfolio_manager_id, r_time, status, principal_outstanding FROM s_balance
+       ORDER BY r_time DESC, loan_id DESC LIMIT 100 OFFSET 100""",
+    "s_balance",
+)
+def q10_after(src):
+    """The feed of all managers by keys: its second page is what follows the last row of the first."""
+    feed = src["s_balance"].select("loan_id", "portfolio_manager_id", "r_time", "status", "principal_outstanding")
+    path = _paged(src, feed, _LATEST_FIRST)
+    last = paging.page(src.spark, path, _LATEST_FIRST, 1, 99).first()
+    return paging.page_after(src.spark, path, _LATEST_FIRST, 100, last.asDict())
+
+
 _H = ["portfolio_manager_id", "portfolio_manager_name", "department_id", "department_name", "company_name"]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import path_exists, staged
 from .joins import null_safe_join
 from .windows import running_over_grain
 
@@ -48,6 +49,29 @@ def with_history(
     return out.withColumn(end, ends).drop("__next", "__last")
 
 
+def merge_history(
+    load: DataFrame, path: str, keys: list[str], order: str, tiebreak: list[str], buckets: int = 64, version: str = "version", end: str = "valid_to"
+) -> None:
+    """Bring a load into a version table kept at ``path`` in buckets of its keys; equals ``with_history`` over all loads.
+
+    Only the buckets that hold keys of the load are read and written: their rows and the load's are numbered and ended
+    together, so open rows of changed keys are closed, late rows go between their neighbours, and rows that are there already
+    change nothing. The buckets' rows are staged before they replace the old ones; a run that failed half-way is repeated.
+    """
+    spark = load.sparkSession
+    load = load.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in load.select("key_bucket").distinct().collect()]  # as many as there are buckets
+    if not touched:
+        return
+    if path_exists(spark, path):
+        kept = spark.read.parquet(path).where(F.col("key_bucket").isin(touched)).select(load.columns)
+        load = kept.unionByName(load)
+    rows = with_history(load.distinct(), keys, order, tiebreak, version, end)
+    rows = staged(rows, "history")
+    by_bucket = rows.hint("rebalance", F.col("key_bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    by_bucket.partitionBy("key_bucket").parquet(path)
+
+
 def first_version(df: DataFrame, keys: list[str], order: str, cols: list[str], oldest: bool = False) -> DataFrame:
     """The single newest (or oldest) row per key, only for keys whose newest date is not tied.
 

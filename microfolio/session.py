@@ -51,7 +51,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    """(path, file system it belongs to)"""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _located(spark, path)
+    return files.exists(target)
+
+
 def remove_stages(spark: SparkSession) -> None:
     """Delete the stage tables of this application, once their results have been written or read."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stages_folder(spark))
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _located(spark, stages_folder(spark))
+    files.delete(target, True)
