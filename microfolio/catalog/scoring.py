@@ -7,8 +7,9 @@ from ..operators import allocation as A
 from ..operators import fx as X
 from ..operators import versioning as V
 from ..plans import scoring as S
+from . import reconciliation
 from .allocation import ALLOCATION_VIEWS, CALCULATED_SQL, SHIFTED_SQL
-from .base import query
+from .base import ORACLE, query
 
 _DEP = """dep AS (SELECT t.customer_id, t.department_id, s.department_id_scoring FROM
   (SELECT *, count(*) OVER (PARTITION BY customer_id ORDER BY capital_disbursed_amount DESC, loan_id) AS n FROM loan) t
@@ -162,6 +163,32 @@ def j23(src):
     return whole(out, ["total_due", "capital_due"])
 
 
+_SCORED_LOANS = """rl AS (SELECT loan_id, customer_id, CAST(loan_id % 7 AS VARCHAR) AS product_code, status, CAST(customer_id % 25 AS VARCHAR) AS department_id,
+  capital_disbursed_amount + loan_id % 11 AS capital_disbursed_amount FROM r_loan)"""
+
+
+@query(
+    "j23_scoring_of_reconciled",
+    f"""WITH {_SCORED_LOANS}, {_DEP.replace('FROM loan)', 'FROM rl)')}, due AS ({ORACLE['l11_final_schedule']}),
+       b AS (SELECT due.contract_id, due.due_date, due.currency, l.customer_id, l.product_code, l.status,
+             CAST(count(*) OVER (PARTITION BY contract_id ORDER BY due_date) AS INT) AS instalment_number,
+             coalesce(capital_due, 0) AS capital_due, coalesce(capital_due, 0) + coalesce(interest_due, 0) AS total_due
+             FROM due LEFT JOIN rl l ON due.contract_id = l.loan_id)
+       SELECT b.*, dep.department_id_scoring, {_three(['total_due', 'capital_due'])}
+       FROM b LEFT JOIN dep ON b.customer_id = dep.customer_id {_rates('fx', f"DATE '{RATE_DATE}'")}""",
+    "r_loan department_scoring fx",
+)
+def j23_reconciled(src):
+    """The scoring mart of the reconciled schedule, which keeps the instalments that a step of the reconciliation accepted."""
+    text = lambda c, n: (F.col(c) % n).cast("string")
+    loans = src["r_loan"].withColumns({
+        "product_code": text("loan_id", 7), "department_id": text("customer_id", 25),
+        "capital_disbursed_amount": F.col("capital_disbursed_amount") + F.col("loan_id") % 11,
+    })
+    out = S.schedule_scoring_fixed(reconciliation.l11(src), loans, src["department_scoring"], src["fx"], RATE_DATE)
+    return whole(out, ["total_due", "capital_due"])
+
+
 def _event_sql(final: bool) -> str:
     shifted = SHIFTED_SQL if final else SHIFTED_SQL.replace("WHERE NOT (capital_paid = 0 AND interest_paid = 0)", "")
     late = "AND b.due_date > lp.last_payment_date" if final else ""

@@ -56,6 +56,32 @@ for _name, _sep in (("a4_semicolon_text", ";"), ("a5_caret_text", "^"), ("a6_com
     query(_name, _ORDERS)(_delimited(_sep))
 
 
+def _notes_sql(sep: str, empty: str) -> str:
+    return f"""SELECT o_orderkey, CASE o_custkey % 6 WHEN 0 THEN concat(o_orderpriority, '{sep}', o_clerk_code) WHEN 1 THEN concat('say "', o_clerk_code, '" {sep} or not')
+       WHEN 2 THEN {empty} WHEN 3 THEN '"' WHEN 4 THEN concat(' ', o_orderpriority, ' ') END AS note FROM (SELECT *, CAST(o_custkey AS VARCHAR) AS o_clerk_code FROM orders)"""
+
+
+_NOTES = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("note", T.StringType())])
+
+
+def _noted(sep):
+    def run(src):
+        """Values with separators, quotes, blanks at their ends and empty texts; empty becomes NULL."""
+        path, k, clerk = _folder(src), F.col("o_custkey") % 6, F.col("o_custkey").cast("string")
+        note = (
+            F.when(k == 0, F.concat("o_orderpriority", F.lit(sep), clerk)).when(k == 1, F.concat(F.lit('say "'), clerk, F.lit(f'" {sep} or not')))
+            .when(k == 2, "").when(k == 3, '"').when(k == 4, F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")))
+        )
+        writers.write_csv(src.table("orders").select("o_orderkey", note.alias("note")), path, sep)
+        return readers.read_delimited(src.spark, path, _NOTES, sep)
+
+    return run
+
+
+for _name, _sep in (("a4_quoted_semicolon", ";"), ("a5_quoted_caret", "^"), ("a6_quoted_comma", ",")):
+    query(_name, _notes_sql(_sep, "NULL"))(_noted(_sep))
+
+
 @query("a8_split_extracts", _ORDERS)
 def a8(src):
     """Extracts by date ranges, each written on its own, under each other."""

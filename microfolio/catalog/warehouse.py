@@ -81,6 +81,36 @@ def e8(src):
     return V.with_history(df, ["customer_id"], "update_date", ["record_id"])
 
 
+_TWO_LOADS = """two AS (SELECT field_name, field_code, field_description FROM dictionary
+  UNION ALL SELECT lower(field_name), field_code, CASE WHEN field_code = '1' THEN 'OTHER' ELSE field_description END FROM dictionary WHERE length(field_code) = 1)"""
+
+
+@query(
+    "j14_repeated_codes",
+    f"""WITH {_TWO_LOADS} SELECT upper(field_name) AS field_name, field_code, count(*) AS entries, count(DISTINCT field_description) AS descriptions
+        FROM two GROUP BY 1, 2 HAVING count(*) > 1""",
+    "dictionary",
+)
+def j14_repeated(src):
+    """Two loads of the dictionary that overlap: the codes that would double rows."""
+    first = src["dictionary"].select("field_name", "field_code", "field_description")
+    other = F.when(F.col("field_code") == "1", "OTHER").otherwise(F.col("field_description")).alias("field_description")
+    second = first.where(F.length("field_code") == 1).select(F.lower("field_name").alias("field_name"), "field_code", other)
+    return D.repeated_codes(first.unionByName(second))
+
+
+@query(
+    "j15_repeated_rates",
+    """SELECT currency, rate_date, count(*) AS rates FROM (SELECT currency, rate_date FROM fx UNION ALL
+       SELECT currency, rate_date FROM fx_events UNION ALL SELECT currency, rate_date FROM fx WHERE rate % 2 = 0) GROUP BY 1, 2 HAVING count(*) > 1""",
+    "fx fx_events",
+)
+def j15_repeated(src):
+    """Rates of several loads: currencies and days that ``one_rate`` has to decide."""
+    rates = [src[v].select("currency", "rate_date", "rate") for v in ("fx", "fx_events")]
+    return X.repeated_rates(rates[0].unionByName(rates[1]).unionByName(rates[0].where("rate % 2 = 0")))
+
+
 @query("e8_history_by_loads", ORACLE["e8_scd2"])
 def e8_by_loads(src):
     """The same table kept up from three loads; each brings rows before, between and after those that are there, and the last one some again."""

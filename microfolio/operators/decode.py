@@ -23,3 +23,16 @@ def decode(
         )
         out = out.join(part, F.col(code) == F.col(f"__code{i}"), "left").drop(f"__code{i}")
     return out
+
+
+def repeated_codes(dictionary: DataFrame, exact_case: bool = False) -> DataFrame:
+    """Codes with more than one row under a field name, with their number and that of their descriptions.
+
+    To be looked at before decoding: such a code doubles the rows it is joined to.
+    """
+    name = F.col("field_name") if exact_case else F.upper("field_name")
+    return (
+        dictionary.groupBy(name.alias("field_name"), "field_code")
+        .agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("field_description").alias("descriptions"))
+        .where("entries > 1")
+    )

@@ -117,7 +117,7 @@ def format_report(df: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFr
 PATTERNS = {
     "contract_id": "^LD[0-9]{10}$",
     "application_id": "^ICLA[0-9]{10}$",
-    "dashed_account_id": "^[0-9]{3}-[0-9]{7}$",
+    "dashed_id": "^[0-9]{3}-[0-9]{7}$",
     "transaction_id": "^[0-9]{15}$",
     "customer_id": "^[0-9]{1,7}$",
     "account_id": "^[0-9]{1,8}$",
@@ -126,7 +126,9 @@ PATTERNS = {
     "product_code": "^[0-9]{5}$",
     "type_code": "^[0-9]{1,3}$",
     "department_id": "^[A-Z]{3}$",
+    "purpose_code": "^[0-9]{1,6}$",
     "amount": "^[0-9]{1,12}[.][0-9]{2}$",
+    "short_amount": "^[0-9]{1,8}[.][0-9]{2}$",
     "rate": "^0[.][0-9]{1,4}$",
 }
 

@@ -25,7 +25,80 @@ _TAX = "CAST(floor(l_tax * 100 + 0.5) AS BIGINT)"
 _PRODUCT = "CASE {k} % 6 WHEN 0 THEN '21056' WHEN 1 THEN '3900' WHEN 2 THEN '21050' ELSE '21000' END"
 _CURRENCY_OF_KEY = "CASE {k} % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'THB' ELSE 'KHR' END"
 
+
+
+def _money(cents: str) -> str:
+    """Cents as a text with two decimals."""
+    return f"concat(CAST(CAST(floor(({cents}) / 100) AS BIGINT) AS STRING), '.', lpad(CAST(({cents}) % 100 AS STRING), 2, '0'))"
+
+
+def _padded(prefix: str, key: str, digits: int) -> str:
+    """A prefix and a number of fixed length; every 17th stays short."""
+    return f"concat('{prefix}', CASE WHEN {key} % 17 = 0 THEN CAST({key} AS STRING) ELSE lpad(CAST({key} AS STRING), {digits}, '0') END)"
+
+
+_CENTS = "CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)"
+
 VIEWS = {
+    # ---- text forms of the raw tables, for their contracts ----------------------------
+    "c_customer": """
+        SELECT CAST(c_custkey AS STRING) AS customer_id, CASE WHEN c_custkey % 23 <> 0 THEN CAST(c_custkey * 3 % 12000 AS STRING) END AS portfolio_manager_id,
+               CASE WHEN c_custkey % 31 = 0 THEN '' ELSE substr(c_mktsegment, 1, 3) END AS department_id, CAST(c_nationkey AS STRING) AS area_code,
+               CAST(1900 + c_custkey % 125 AS INT) AS birth_year, CAST(1 + c_custkey % 12 AS INT) AS birth_month,
+               DATE '2019-01-01' + CAST(c_custkey % 300 AS INT) AS creation_date, DATE '2019-01-01' + CAST(c_custkey * 7 % 400 AS INT) AS update_date
+        FROM {customer}""",
+    "c_account": f"""
+        SELECT CAST(c_custkey AS STRING) AS account_id, CAST(c_custkey * 5 % 1700 AS STRING) AS customer_id,
+               CAST(c_custkey % 11000 AS STRING) AS portfolio_manager_id, substr(c_mktsegment, 1, 3) AS department_id,
+               {_padded('', 'c_custkey % 9000', 4)} AS account_code, concat('0.', CAST(c_custkey % 13000 AS STRING)) AS interest_rate,
+               concat(lpad(CAST(c_nationkey AS STRING), 3, '0'), '-', lpad(CAST(c_custkey AS STRING), CASE WHEN c_custkey % 9 = 0 THEN 6 ELSE 7 END, '0')) AS dashed_id,
+               CASE WHEN c_custkey % 8 = 0 THEN 'TD' ELSE 'SA' END AS account_type, CASE WHEN c_custkey % 10 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS status,
+               DATE '2018-01-01' + CAST(c_custkey % 700 AS INT) AS start_date, CASE WHEN c_custkey % 20 = 0 THEN DATE '2020-01-31' END AS end_date,
+               CASE WHEN c_custkey % 16 = 0 THEN DATE '2025-01-31' END AS maturity_date, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS balance
+        FROM {{customer}}""",
+    "c_loan": f"""
+        SELECT {_padded('LD', 'o_orderkey', 10)} AS loan_id, CAST(o_custkey AS STRING) AS customer_id, upper(substr(o_orderpriority, 3, 3)) AS department_id,
+               CAST(o_custkey % 12000 AS STRING) AS portfolio_manager_id, CAST(o_orderkey * 11 % 1500000 AS STRING) AS purpose_code,
+               {_money(_CENTS)} AS disbursed_text, CASE WHEN o_custkey % 19 <> 0 THEN CAST(o_custkey * 2 AS STRING) END AS repayment_account_id,
+               CASE WHEN o_custkey % 2 = 0 THEN '' ELSE CAST(o_custkey % 50 AS STRING) END AS guarantor_ids,
+               CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_custkey % 4 AS INT) END AS guarantors_number, CAST(o_orderdate AS DATE) AS start_date,
+               CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 - 1 AS INT) AS disbursement_date,
+               CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + 365 END AS end_date,
+               CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'ACTIVE' END AS status, {_CENTS} + o_orderkey % 7 - 5 AS net_disbursed_amount,
+               {_CENTS} AS capital_disbursed_amount, CAST(o_orderkey % 84 AS INT) AS instalments_number, CAST(o_custkey % 1004 AS INT) AS cycle_number
+        FROM {{orders}}""",
+    "c_loan_balance": f"""
+        SELECT {_padded('LD', 'l_orderkey', 10)} AS loan_id, CAST(l_partkey % 130000 AS STRING) AS product_code, CAST(l_partkey AS STRING) AS customer_id,
+               {_DISC} AS principal_overdue, {_TAX} AS interest_overdue, CAST(l_linenumber % 2 AS BIGINT) AS penalty_overdue,
+               CAST(l_suppkey % 23 AS BIGINT) AS days_overdue, {_EXT} AS principal_outstanding
+        FROM {{lineitem}}""",
+    "c_schedule": f"""
+        SELECT {_padded('LD', 'l_orderkey', 10)} AS contract_id, l_linenumber AS instalment, {_money(_EXT + ' + ' + _TAX)} AS total_text,
+               CASE WHEN l_linenumber % 2 = 0 THEN CAST({_EXT} AS STRING) ELSE {_money(_EXT)} END AS capital_text, {_money(_TAX)} AS interest_text,
+               {_EXT} / 100.0 AS capital_due, {_TAX} / 100.0 AS interest_due,
+               ({_EXT} + {_TAX} + CASE WHEN l_partkey % 41 = 0 THEN 1 ELSE 0 END) / 100.0 AS total_due, {_TAX} AS interest_cents
+        FROM {{lineitem}}""",
+    "c_event": f"""
+        SELECT {_padded('LD', 'l_orderkey + l_suppkey % 3', 10)} AS contract_id, {_padded('', 'l_orderkey * 10 + l_linenumber % 4', 15)} AS transaction_id,
+               CASE WHEN l_partkey % 37 <> 0 THEN {_money(_EXT)} END AS total_text, ({_EXT} - {_TAX} - {_DISC}) / 100.0 AS capital_paid, {_TAX} / 100.0 AS interest_paid,
+               {_DISC} / 100.0 AS penalty_paid, ({_EXT} + CASE WHEN l_partkey % 29 = 0 THEN 5 ELSE 0 END) / 100.0 AS total_paid, {_DISC} AS penalty_cents,
+               CASE WHEN l_suppkey % 4 = 0 THEN 'EP' ELSE 'NP' END AS event, CAST(l_shipdate AS DATE) AS due_date,
+               CAST(l_shipdate AS DATE) + CAST(l_partkey % 9 - 7 AS INT) AS event_date
+        FROM {{lineitem}}""",
+    "c_transaction": f"""
+        SELECT {_padded('', 'event_id', 15)} AS transaction_id, CAST(user_id * 9001 AS STRING) AS customer_id, CAST(user_id * 3 AS STRING) AS account_id,
+               upper(substr(event_type, 1, 3)) AS department_id, CAST(event_id % 1100 AS STRING) AS type_code,
+               CASE WHEN event_id % 3 = 0 THEN '[NULL]' WHEN event_id % 5 <> 0 THEN CAST(user_id AS STRING) END AS counterpart_id, 'OTC' AS operator_id,
+               CAST(floor(value * 100 + 0.5) AS BIGINT) * (event_id % 3 - 1) AS amount, CAST(ts AS DATE) + CAST(event_id % 13 % 2 AS INT) AS value_date,
+               CAST(ts AS DATE) AS event_date, CASE WHEN event_id % 11 = 0 THEN 'Y' ELSE 'N' END AS reversal_flag,
+               CASE WHEN event_id % 22 = 0 THEN 'F' ELSE 'C' END AS success_code
+        FROM {{events}}""",
+    "c_application": f"""
+        SELECT {_padded('ICLA', 'event_id % 4000', 10)} AS application_id, CAST(user_id AS STRING) AS customer_id, CAST(user_id * 7 % 12000 AS STRING) AS manager_id,
+               concat(lpad(CAST(event_id % 300 AS STRING), 3, '0'), '-', lpad(CAST(event_id AS STRING), 7, '0')) AS dashed_id,
+               CASE WHEN event_id % 6 = 0 THEN '' ELSE event_type END AS stage,
+               CAST(floor(value * 80 + 0.5) AS BIGINT) + event_id % 90 AS approved_amount, CAST(floor(value * 100 + 0.5) AS BIGINT) AS requested_amount
+        FROM {{events}}""",
     # ---- allocation -------------------------------------------------------------------
     "schedule": f"""
         SELECT l_orderkey AS contract_id, l_linenumber AS instalment, CAST(l_shipdate AS DATE) AS due_date,

@@ -43,9 +43,12 @@ def scan_snapshot(spark: SparkSession, path: str, date, column: str = "snapshot_
 def read_delimited(
     spark: SparkSession, path, schema: T.StructType, sep: str = ";", quote: str = '"', null: str = "", header: bool = True
 ) -> DataFrame:
-    """Delimited text from any file system Spark reaches; ``null`` is the text for NULL."""
+    """Delimited text from any file system Spark reaches; ``null`` is the text for NULL, quoted or not.
+
+    Quotes inside a quoted value are doubled.
+    """
     reader = spark.read.schema(schema).option("sep", sep).option("header", header)
-    return reader.option("quote", quote).option("nullValue", null).option("mode", "PERMISSIVE").csv(path)
+    return reader.option("quote", quote).option("escape", quote).option("nullValue", null).option("mode", "PERMISSIVE").csv(path)
 
 
 def stack_extracts(frames: list[DataFrame]) -> DataFrame:

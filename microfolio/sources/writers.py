@@ -60,5 +60,7 @@ def publish(df: DataFrame, name: str, overwrite: bool = False):
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ","):
-    """Delimited text with a header row."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    """Delimited text with a header row; values with separators or quotes are quoted, quotes inside doubled,
+    blanks at their ends kept."""
+    options = {"header": True, "sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options).csv(path)

@@ -1,6 +1,7 @@
 """Readers, writers and the stream refresh on files."""
 
 import datetime as dt
+import re
 import uuid
 
 import pytest
@@ -194,4 +195,5 @@ def test_pages_equal_offset_paging(spark, tmp_path):
             last = dict(zip(("a", "id"), whole[place]))
             assert [tuple(r) for r in paging.page_after(spark, path, order, 20, last).collect()] == whole[place + 1 : place + 21]
     plan = paging.page(spark, path, order, 20, 200)
-    assert "PartitionFilters: [page_range" in plan._jdf.queryExecution().toString()  # other ranges are not read
+    scan = re.search(r"PartitionFilters: \[[^]]*page_range", plan._jdf.queryExecution().toString())
+    assert scan  # other ranges are not read
