@@ -28,7 +28,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import likely_in, pieces, staged
@@ -39,6 +39,10 @@ LEVELS, SMALL = 6, 48
 RECALL = 0.99
 #: Standard deviations of agreement below which a candidate goes.
 SLACK = 4.5
+#: Functions of the longer sketch of sets in large nodes.
+FINE = 512
+#: Counters of shingles by which they are ordered from rare to common.
+TALLIES = 1 << 20
 PIECE_BYTES = 1 << 20
 SIGNED = "doc_id long, text_hash long, n_shingles long, rep binary, sketch array<long>, minima array<int>"
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -51,8 +55,8 @@ def trees_for(percent: int, levels: int = LEVELS, recall: float = RECALL) -> int
 
 
 @lru_cache
-def _functions(trees: int) -> np.ndarray:
-    return np.random.default_rng(6).integers(1, 2**63, trees * LEVELS, dtype=np.uint64) | np.uint64(1)
+def _functions(count: int, seed: int = 6) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,9 +78,8 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minima(found: np.ndarray, trees: int) -> np.ndarray:
+def minima(found: np.ndarray, functions: np.ndarray) -> np.ndarray:
     """For each function, 32 bits that name the smallest shingle."""
-    functions = _functions(trees)
     out = np.full(len(functions), np.iinfo(np.uint64).max)
     for i in range(0, len(found), 512):
         part = found[i : i + 512, None] * functions[None, :]
@@ -94,6 +97,8 @@ def sketch(least: np.ndarray) -> np.ndarray:
 
 
 def _sign(trees: int):
+    functions = _functions(trees * LEVELS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE_BYTES):
             sizes, ids, sketches, least = [], [], [], []
@@ -101,7 +106,7 @@ def _sign(trees: int):
                 found = shingles(text)
                 sizes.append(len(found))
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                least.append(minima(found, trees) if len(found) else None)
+                least.append(minima(found, functions) if len(found) else None)
                 sketches.append(sketch(least[-1]) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -134,18 +139,17 @@ def _confirm(percent: int):
     return run
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """The sizes of linked sets differ by no more than the similarity allows, and their sketches in few places.
+def _alike(a: str, b: str, percent: int, k: int, column: str = "sketch", slack: float = SLACK) -> Column:
+    """The sizes of linked sets differ by no more than the similarity allows, and their sketches of ``k`` functions in few places.
 
     Two bits agree where the smallest shingles agree, and by chance in a quarter of the other cases.
     """
-    k = trees_for(percent) * LEVELS
     agree = percent / 100 + (1 - percent / 100) / 4
-    most = int(k * (1 - agree) + SLACK * (k * agree * (1 - agree)) ** 0.5)
+    most = int(k * (1 - agree) + slack * (k * agree * (1 - agree)) ** 0.5)
     m, n = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     differ = F.lit(0)
     for word in range(-(-k // 32)):
-        x = F.get(f"{a}.sketch", F.lit(word)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(word)))
+        x = F.get(f"{a}.{column}", F.lit(word)).bitwiseXOR(F.get(f"{b}.{column}", F.lit(word)))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(_PAIRS))))
     return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (differ <= most)
 
@@ -158,14 +162,19 @@ def _tree_rows(reps: DataFrame, trees: int) -> DataFrame:
 
 def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs with the first sets of nodes, rows of leaves, rows of nodes that stay large)."""
-    rows, pairs, ends = _tree_rows(reps, trees_for(percent)), [], []
+    trees = trees_for(percent)
+    rows, pairs, ends = _tree_rows(reps, trees), [], []
     for level in range(1, LEVELS + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sizes = staged(sizes, f"nodes{level}")  # read anew, so that the join may split a large node
-        held = staged(rows.join(sizes, "node"), f"level{level}")
-        first = held.groupBy("node").agg(F.min(F.struct("rep", "n_shingles", "sketch")).alias("first"))
-        first = staged(first, f"firsts{level}")
-        others = held.alias("held").join(first, "node").where((F.col("rep") != F.col("first.rep")) & _alike("held", "first", percent))
+        first = F.min(F.struct("rep", "n_shingles", "sketch")).alias("first")
+        if level == 1:  # most nodes hold one set; they leave before anything is shuffled but their names
+            sizes = staged(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
+            together = staged(likely_in(rows, sizes, "node").join(sizes, "node"), "level")
+            nodes = together.groupBy("node").agg(first)
+        else:
+            together = rows
+            nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first).where("size > 1")
+        held = staged(together.join(staged(nodes, "nodes"), "node"), "level").alias("held")  # read anew, so that the join may split a large node
+        others = held.where((F.col("rep") != F.col("first.rep")) & _alike("held", "first", percent, trees * LEVELS))
         pairs.append(others.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")))
         large = held.where(F.col("size") > small)
         # The pair of a leaf of two is compared already.
@@ -179,8 +188,8 @@ def candidates(reps: DataFrame, percent: int = PERCENT, small: int = SMALL) -> t
 
 def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, shingles) of the wanted representatives, made again from one text of each."""
-    hashes = staged(reps.join(wanted, "rep", "left_semi").select("text_hash"), "wanted")
-    texts = likely_in(docs.select(F.xxhash64("text").alias("text_hash"), "text"), hashes, "text_hash").join(hashes, "text_hash", "left_semi")
+    hashes = staged(reps.join(wanted, "rep", "left_semi").select("text_hash").distinct(), "wanted")
+    texts = likely_in(docs.select(F.xxhash64("text").alias("text_hash"), "text"), hashes, "text_hash").join(hashes, "text_hash")  # a semi-join would be moved before the bitmap
     one = texts.groupBy("text_hash").agg(F.min("text").alias("text")).select("text")
     return staged(one.mapInArrow(_sets, "rep binary, shingles binary"), "sets")
 
@@ -198,18 +207,19 @@ def components(pairs: DataFrame) -> DataFrame:
     Each round links all neighbours of an id, and the id, to the smallest of them (larger ones in
     one half, smaller ones in the other) until nothing changes.
     """
+    def state(rows: DataFrame):
+        return rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+
     edges = staged(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "edges")
-    while True:
+    before, now = None, state(edges)
+    while now != before:
         both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        after = staged(small, "edges")
-        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first() == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        edges = after
-        if same:
-            break
+        edges = staged(small, "edges")
+        before, now = now, state(edges)
     down = edges.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "rep")
     return down.union(down.select("component", "component").distinct())
 
@@ -225,45 +235,78 @@ def _across_leaves(leaves: DataFrame, found: DataFrame, percent: int) -> DataFra
     mixed = grouped.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
     left = staged(grouped.join(mixed, "node"), "mixed-leaves")
     a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.rep") < F.col("b.rep")) & _alike("a", "b", percent)
+    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.rep") < F.col("b.rep")) & _alike("a", "b", percent, trees_for(percent) * LEVELS)
     return a.join(b, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A longer sketch of the sets for which the short one decides too little."""
+    functions = _functions(FINE, 7)
     for batch in pieces(batches, "shingles", PIECE_BYTES):
-        parts = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
-        take = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-        yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), pa.array(np.concatenate(parts) if parts else [], pa.int64())], names=["rep", "token"])
+        found = [sketch(minima(np.frombuffer(s, np.uint64), functions)) for s in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "fine"])
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "shingles", PIECE_BYTES):
+        tokens = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+        tally = np.bincount((tokens % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES)
+        at = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(tally[at], pa.int64())], names=["tally", "n"])
 
 
 def _selected(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The shingles by which sets of large nodes branch once more: (token, rep, place, inner).
+    """The shingles by which sets of large nodes branch once more: (token, rep, place, inner, n_shingles).
 
-    In the order from rare to common, a link's first common shingle is among the first n - ceil(t n) + 1 of the longer set and
-    among the first n - ceil(2 t n / (1 + t)) + 1 of the shorter (``inner``). Shingles of one set only need no branch.
+    In an order from rare to common, a link's first common shingle is among the first n - ceil(t n) + 1 of the longer set and
+    among the first n - ceil(2 t n / (1 + t)) + 1 of the shorter (``inner``). Any order is right, as long as all sets use the same; this one
+    follows ``TALLIES`` counters that shingles share by their remainder, so its table has a fixed size at any input.
     """
-    tokens = staged(sets.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_tokens, "rep binary, token long"), "tokens")
-    shared = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "shared-tokens")
-    common = tokens.join(shared, "token").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("rep")))
-    n = F.col("n_shingles")
-    placed = common.join(rows.select("rep", "n_shingles").distinct(), "rep")
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("sets", "token"))
-    placed = placed.withColumn("place", n - F.col("shared") + rank)
-    outer = n - F.ceil(n * percent / 100) + 1
-    inner = n - F.ceil(n * 2 * percent / (100 + percent)) + 1
-    return placed.where(F.col("place") <= outer).select("token", "rep", "place", (F.col("place") <= inner).alias("inner"))
-
-
-def _across_large(large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components among the sets of nodes that stayed large."""
+    held = sets.join(rows.select("rep"), "rep", "left_semi")
+    counts = np.zeros(TALLIES, np.int64)
+    for r in held.mapInArrow(_tallied, "tally int, n long").groupBy("tally").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["tally"]] = r["n"]
+    shared = held.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "shingles", PIECE_BYTES):
+            tokens, owner, place, inner, sizes = [], [], [], [], []
+            for k, text in enumerate(batch.column("shingles").to_pylist()):
+                found = np.frombuffer(text, np.uint64)
+                n = len(found)
+                most = n - -(-n * percent // 100) + 1
+                order = np.lexsort((found, shared.value[(found % np.uint64(TALLIES)).astype(np.int64)]))[:most]
+                tokens.append(found[order].view(np.int64))
+                owner.append(np.full(len(order), k))
+                place.append(np.arange(1, len(order) + 1))
+                inner.append(place[-1] <= n + -(n * 2 * percent // (100 + percent) + (n * 2 * percent % (100 + percent) > 0)) + 1)
+                sizes.append(np.full(len(order), n))
+            columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (tokens, owner, place, inner, sizes)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), batch.column("rep").take(pa.array(columns[1], pa.int64())), pa.array(columns[2], pa.int64()),
+                 pa.array(columns[3].astype(bool)), pa.array(columns[4], pa.int64())],
+                names=["token", "rep", "place", "inner", "n_shingles"],
+            )
+
+    return held.mapInArrow(run, "token long, rep binary, place long, inner boolean, n_shingles long")
+
+
+def _branches(large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The children that sets of nodes with several components go to: (token, rep, place, inner, n_shingles, fine)."""
     grouped = staged(_named(large, found), "large")
     mixed = grouped.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-    rows = grouped.join(mixed, "node", "left_semi").groupBy("rep").agg(*[F.first(c).alias(c) for c in ("component", "n_shingles", "sketch")])
-    rows = staged(rows, "large-sets")
-    weight = rows.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    entries = _selected(rows, sets, percent).join(rows, "rep").join(weight, "component")
-    entries = staged(entries, "branches")
-    children = entries.groupBy("token").agg(
+    rows = staged(grouped.join(mixed, "node", "left_semi").select("rep").distinct(), "large-sets")
+    chosen = staged(_selected(rows, sets, percent), "selected")
+    several = chosen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    finer = sets.join(rows, "rep", "left_semi").mapInArrow(_finer, "rep binary, fine array<long>")
+    return staged(chosen.join(several, "token").join(finer, "rep"), "branches")
+
+
+def _across_branches(branches: DataFrame, found: DataFrame, percent: int, slack: float) -> DataFrame:
+    """Pairs of different components in one child; those within the child's largest component are left out whole."""
+    entries = staged(_named(branches, found), "named-branches")
+    weight = entries.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    children = entries.join(weight, "component").groupBy("token").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("weight", "component")).alias("main")
     )
     children = staged(children.where("x <> y").select("token", F.col("main.component").alias("main")), "children")
@@ -272,7 +315,9 @@ def _across_large(large: DataFrame, found: DataFrame, sets: DataFrame, percent:
     shares = (F.least(F.col("a.n_shingles") - F.col("a.place"), F.col("b.n_shingles") - F.col("b.place")) + 1) * (100 + percent)
     enough = shares >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles"))
     places = (F.col("a.inner") & (F.col("a.n_shingles") <= F.col("b.n_shingles"))) | (F.col("b.inner") & (F.col("b.n_shingles") <= F.col("a.n_shingles")))
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & places & enough & _alike("a", "b", percent)
+    once = (F.col("b.component") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep"))
+    alike = _alike("a", "b", percent, FINE, "fine", slack)
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & once & places & enough & alike
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
 
 
@@ -296,10 +341,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(leaves.select("rep")).union(large.select("rep")).distinct()
     sets = full_sets(docs, reps, wanted)
     linked = links(pairs, sets, percent)
-    for further in (lambda found: _across_leaves(leaves, found, percent), lambda found: _across_large(large, found, sets, percent)):
-        found = staged(components(linked), "components")
-        linked = linked.union(links(further(found), sets, percent))
     found = staged(components(linked), "components")
+
+    def joined_by(more: DataFrame) -> DataFrame:
+        """Components after further candidates; those so far stand for their links."""
+        links_so_far = found.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+        return staged(components(links_so_far.union(links(more, sets, percent))), "components")
+
+    found = joined_by(_across_leaves(leaves, found, percent))
+    branches = _branches(large, found, sets, percent)
+    for slack in (0.0, SLACK):  # likely links first: what they join needs no pairs of the second round
+        found = joined_by(_across_branches(branches, found, percent, slack))
     named = reps.select("rep", "least_id").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     joined = signed.drop("minima", "sketch").join(named.join(least, "component").select("rep", "component_id"), "rep", "left")
