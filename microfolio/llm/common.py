@@ -15,13 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BATCH_BYTES = 4 << 20
-
+from ..session import stages_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     name = f"{package.name}-{zlib.crc32(packed.getvalue()):08x}.zip"
     if name in context._python_includes:
         return
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/llm-stages/{uuid.uuid4().hex}/{name}")
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{stages_folder(spark)}/{uuid.uuid4().hex}/{name}")
     stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
     stream.write(bytearray(packed.getvalue()))
     stream.close()
@@ -53,7 +49,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm-stages/{name}-{uuid.uuid4().hex}"
+    """A new place among the application's stage tables, which ``session.remove_stages`` clears."""
+    return f"{stages_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -118,7 +115,9 @@ def not_in(rows: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` (not null) is not in ``unwanted``; most of them without a shuffle."""
     marked = _marked(rows, unwanted, key)
     sure, doubtful = (marked.where(c).drop("likely__") for c in ("not likely__", "likely__"))
-    return sure.unionByName(doubtful.join(unwanted.select(key), key, "left_anti").select(sure.columns))
+    gone = unwanted.select(key).distinct().withColumn("gone__", F.lit(True))  # an anti-join would be moved before the bitmap
+    left = doubtful.join(gone, key, "left").where("gone__ is null").select(sure.columns)
+    return sure.unionByName(left)
 
 
 def crc_of(column: str, parts: int):
