@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from microfolio.catalog import QUERIES  # noqa: E402
-from microfolio.session import local_session  # noqa: E402
+from microfolio.session import local_session, remove_stages  # noqa: E402
 
 HEADLINE = [
     "k1_daily_payments",
@@ -35,6 +35,7 @@ HEADLINE = [
     "m1_weighted_delay",
     "m2_daily_balances",
     "m3_advance_cover",
+    "m4_payment_score",
     "m5_active_customers",
     "m6_missing_months",
     "p1_history_box",
@@ -42,13 +43,18 @@ HEADLINE = [
     "p12_customer_card",
     "q10_events_feed",
     "d19_quantiles",
+    "d20_summary",
+    "e19_priority",
+    "l22_instalment_payments",
+    "r1_merged_by_load",
+    "m16_contract_rows",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = local_session(cpus, "microfolio-bench", int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
@@ -61,6 +67,7 @@ def main() -> None:
             taken.append(time.perf_counter() - started)
         times[name] = round(statistics.median(taken[1:] or taken), 3)
         print(name, [round(t, 2) for t in taken], file=sys.stderr, flush=True)
+    remove_stages(spark)
     spark.stop()
     print(
         json.dumps(

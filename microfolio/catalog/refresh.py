@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import stages_folder
 from ..streaming.refresh import (
     appended, counted, landing_of, largest, merged_by_load, rebuilt, rebuilt_days, refresh_on_load, smallest, summed, truncated,
 )
@@ -13,7 +13,7 @@ from .base import query
 
 
 def _folder(src) -> str:
-    return f"{shared_folder(src.spark)}/refresh-{uuid.uuid4().hex}"
+    return f"{stages_folder(src.spark)}/refresh-{uuid.uuid4().hex}"
 
 
 def _on_events(src, folder, refresh):

@@ -5,14 +5,14 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder
+from ..session import stages_folder
 from ..sources import readers, writers
 from ..sources.schemas import SCHEMAS
 from .base import ORACLE, QUERIES, query
 
 
 def _folder(src) -> str:
-    return f"{shared_folder(src.spark)}/sources-{uuid.uuid4().hex}"
+    return f"{stages_folder(src.spark)}/sources-{uuid.uuid4().hex}"
 
 
 @query("a1_raw_shards", "SELECT field_name, field_code, field_description FROM dictionary", "dictionary")
