@@ -10,7 +10,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from microfolio.functions import scalars as S
-from microfolio.operators import activity, allocation, delay, fx, joins, quality, reconcile, versioning, windows
+from microfolio.catalog import contracts as catalog_contracts
+from microfolio.operators import activity, allocation, contracts, delay, fx, joins, quality, reconcile, versioning, windows
 from microfolio.operators.decode import decode
 from microfolio.plans import serving
 from microfolio.session import staged
@@ -608,3 +609,27 @@ def test_key_counts_exchange_the_fact_once(spark, monkeypatch):
     assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert tuple(quality.uniqueness(df, {"a": ["a"], "cd": ["c", "d"]}).first()) == (14000, 4000)
     assert quality.key_report(df.where("false"), {"one": ["a"]}).first().obs == 0
+
+
+def test_contract_of_a_table(spark):
+    """Formats, empty columns, broken rules, missing references, keys and exact measures of hand-made rows."""
+    loans = spark.createDataFrame(
+        [("LD0123456789", "7", "CLOSED", None, 5), ("LD12", "8", "CLOSED", day(3), 7), (None, "", "ACTIVE", None, 2**53 + 1), ("LD0123456789", "[NULL]", None, None, None)],
+        "loan_id string, customer_id string, status string, end_date date, amount long",
+    )
+    people = spark.createDataFrame([("7",), (None,)], "customer_id string")
+    contract = contracts.TableContract(
+        formats={"loan_id": "contract_id"}, filled=("customer_id",), rules={"closed ends": "status = 'CLOSED' AND end_date IS NULL"},
+        references={"customer_id": ("people", "customer_id")}, keys={"loan": ("loan_id",), "both": ("loan_id", "customer_id")}, measures=("amount",),
+    )
+    tables, declared = {"loans": loans, "people": people}, {"loans": contract}
+    got = rows(contracts.row_report(tables, declared), "rule", "matches", "obs", "share")
+    assert got == [("broken closed ends", 1, 4, 250000), ("empty customer_id", 2, 4, 500000), ("format loan_id", 2, 4, 500000)]
+    assert rows(contracts.reference_report(tables, declared), "rule", "matches", "obs") == [("customer_id not in people", 3, 4)]
+    assert rows(contracts.key_report(tables, declared), "rule", "matches", "obs") == [("both", 3, 4), ("loan", 2, 4)]
+    assert contracts.measure_report(tables, declared, [1]).first().q100 == 2**53 + 1
+    profile = {r.column: (r.missing, r.blank) for r in contracts.column_report(tables, declared).collect()}
+    assert profile["customer_id"] == (0, 2) and profile["status"] == (1, 0)
+    empty = {"loans": loans.where("false"), "people": people}
+    assert {r.obs for r in contracts.row_report(empty, declared).collect()} == {0}
+    assert all(p in {v for c in catalog_contracts.CONTRACTS.values() for v in c.formats.values()} for p in quality.PATTERNS)
