@@ -4,7 +4,8 @@ A source's target in words is its share by weight of all words; a share above ``
 stops there and the rest is shared again by weight. Every document of a source is due target / size copies: the
 whole part is taken as it is, the rest is a fractional copy. Fractional copies are paired; words are moved at random
 from one to the other until one of them is taken or left whole, so that each keeps its expected number of copies and the sum of words
-of the pair stays. Blocks of a source do so by themselves and hand on one residual document at most; residuals meet again in blocks of blocks, a
+of the pair stays; a document that holds a large part of a block's words is paired with all others together
+first, so that what remains is small. Blocks of a source do so by themselves and hand on one residual document at most; residuals meet again in blocks of blocks, a
 reduction tree whose last node is rounded to the nearer side. A source's words thus miss its target by half of one document at most.
 
 Random numbers come from a fixed seed and the block's place; documents are placed by (hash of id and size, id, size), so runs
@@ -31,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 4096
 SEED = 20261
+#: Part of a block's words from which a document is settled against all others together.
+LARGE = 0.01
 
 
 def words(text: Column) -> Column:
@@ -68,8 +71,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return ranked.select("tree", "source_size", F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"))
 
 
+def settle_large(size: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> None:
+    """Pairs a document that holds a large part of the words with all others together, largest first, in place.
+
+    It is taken or left whole at random by its own share, and the others take or give its words in even parts, so that
+    expectations and the sum stay. Shares are even before and after; where the others have no room, pairs are left to ``pivot``.
+    """
+    loose = np.flatnonzero((share > 0) & (share < 1))
+    if not len(loose) or share[loose].min() != share[loose].max():
+        return
+    p, rest = float(share[loose[0]]), float(size[loose].sum())
+    for i in loose:
+        words = float(size[i])
+        if words < LARGE * rest or words >= rest:
+            break
+        rest -= words
+        up, down = p + words * p / rest, p - words * (1 - p) / rest
+        if up >= 1 or down <= 0:
+            break
+        share[i] = float(rng.random() < p)
+        p = down if share[i] else up
+        share[loose[loose > i]] = p
+
+
 def pivot(size: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> int:
-    """Rounds ``share`` (fractional copies, in place) pair by pair; the place of the one still fractional, or -1."""
+    """Rounds ``share`` (fractional copies, in place, the largest sizes first) pair by pair; the place of the one still fractional, or -1."""
+    settle_large(size, share, rng)
     carry = -1
     draws = rng.random(len(size))
     for i in range(len(size)):

@@ -102,3 +102,15 @@ def test_expected_copies_stay():
         assert all(s in (0.0, 1.0) for k, s in enumerate(share) if k != left)
         total += share
     assert np.abs(total / 4000 - start).max() < 0.03
+
+
+def test_large_documents_are_settled_first():
+    sizes = np.array([20_000, 3000] + [300] * 200)
+    total = np.zeros(len(sizes))
+    for seed in range(1500):
+        share = np.full(len(sizes), 0.4)
+        left = mixing.pivot(sizes, share, np.random.default_rng(seed))
+        assert abs((share * sizes).sum() - 0.4 * sizes.sum()) < 1e-6
+        assert left < 0 or sizes[left] == 300  # what remains is small
+        total += share
+    assert np.abs(total[:2] / 1500 - 0.4).max() < 0.05 and abs(total[2:].mean() / 1500 - 0.4) < 0.01
