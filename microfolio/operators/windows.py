@@ -30,6 +30,7 @@ def in_blocks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     several blocks, too.
     """
     place = [*keys, *order, "__uid"]
+    df = staged(df, "block-rows")  # the range partitioner reads its input twice
     laid = df.withColumn("__uid", F.monotonically_increasing_id()).repartitionByRange(*place).sortWithinPartitions(*place)
     return staged(laid.drop("__uid").withColumns({"__block": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "blocks")
 
