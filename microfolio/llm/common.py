@@ -7,6 +7,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import stages_folder
+from ..session import remove_path, stages_folder
 
 BATCH_BYTES = 4 << 20
 
@@ -53,13 +54,41 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stages_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes the frame to the shared folder and goes on from the files, which outlive executors."""
     path = stage_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _scratch[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Stage tables written inside go when the block ends, but for those written by the given function, which the caller reads on.
+
+    Nothing else that was made inside may be read after the block.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        kept.append(_scratch[-1].pop())
+        return out
+
+    _scratch.append([])
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            remove_path(spark, path)
+        for paths in _scratch[-1:]:
+            paths += kept
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows of about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

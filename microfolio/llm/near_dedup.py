@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_in, pieces, staged
+from .common import likely_in, pieces, scratch, staged
 
 WORDS = 5
 PERCENT = 85
@@ -321,6 +321,26 @@ def _across_branches(branches: DataFrame, found: DataFrame, percent: int, slack:
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
 
 
+def _reachable(docs: DataFrame, reps: DataFrame, percent: int, small: int) -> DataFrame:
+    """(rep, component) of all representatives with links."""
+    pairs, leaves, large = candidates(reps, percent, small)
+    pairs = staged(pairs, "first-pairs")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(leaves.select("rep")).union(large.select("rep")).distinct()
+    sets = full_sets(docs, reps, wanted)
+    found = staged(components(links(pairs, sets, percent)), "components")
+
+    def joined_by(more: DataFrame) -> DataFrame:
+        """Components after further candidates; those so far stand for their links."""
+        links_so_far = found.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+        return staged(components(links_so_far.union(links(more, sets, percent))), "components")
+
+    found = joined_by(_across_leaves(leaves, found, percent))
+    branches = _branches(large, found, sets, percent)
+    for slack in (0.0, SLACK):  # likely links first: what they join needs no pairs of the second round
+        found = joined_by(_across_branches(branches, found, percent, slack))
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -336,22 +356,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     signed = staged(read.mapInArrow(_sign(trees), SIGNED), "signatures")
     alike = signed.where("rep is not null").groupBy("rep")
     reps = staged(alike.agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("text_hash", "n_shingles", "sketch", "minima")]), "representatives")
-    pairs, leaves, large = candidates(reps, percent, small)
-    pairs = staged(pairs, "first-pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(leaves.select("rep")).union(large.select("rep")).distinct()
-    sets = full_sets(docs, reps, wanted)
-    linked = links(pairs, sets, percent)
-    found = staged(components(linked), "components")
-
-    def joined_by(more: DataFrame) -> DataFrame:
-        """Components after further candidates; those so far stand for their links."""
-        links_so_far = found.select(F.col("rep").alias("a"), F.col("component").alias("b"))
-        return staged(components(links_so_far.union(links(more, sets, percent))), "components")
-
-    found = joined_by(_across_leaves(leaves, found, percent))
-    branches = _branches(large, found, sets, percent)
-    for slack in (0.0, SLACK):  # likely links first: what they join needs no pairs of the second round
-        found = joined_by(_across_branches(branches, found, percent, slack))
+    with scratch(docs.sparkSession) as keep:
+        found = keep(_reachable(docs, reps, percent, small), "components")
     named = reps.select("rep", "least_id").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     joined = signed.drop("minima", "sketch").join(named.join(least, "component").select("rep", "component_id"), "rep", "left")

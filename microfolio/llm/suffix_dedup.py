@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import likely_in, pieces, staged
+from .common import likely_in, pieces, scratch, staged
 
 WIDTH, SEED = 200, 24
 BUCKET = 1024
@@ -188,7 +188,13 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int =
         raise ValueError("width must exceed the seed by 1 to 254 bytes")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    long = texts.where(F.octet_length("text") >= width).select("key", "text")
+    with scratch(docs.sparkSession) as keep:
+        cuts = keep(_cuts(texts.where(F.octet_length("text") >= width).select("key", "text"), width, seed, bucket), "cuts")
+    return texts, cuts
+
+
+def _cuts(long: DataFrame, width: int, seed: int, bucket: int) -> DataFrame:
+    """(key, cuts) of the texts that lose bytes."""
     found = staged(long.mapInArrow(_spans(width, seed), SPAN), "spans")
     shared = staged(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "seeds")  # read anew, so that the join may split a hot seed
     found = staged(found.join(shared, "seed"), "shared-spans")
@@ -223,7 +229,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int =
     marked = found.join(parts, ["seed", "content"]).select("key", begin.alias("begin"), F.explode("parts").alias("p"))
     cut = F.struct((F.col("begin") + F.col("p.first")).alias("start"), (F.col("begin") + F.col("p.last") + width).alias("end"))
     cuts = marked.select("key", cut.alias("cut")).groupBy("key").agg(F.collect_set("cut").alias("cuts"))  # bounded by the text's own length
-    return texts, staged(cuts, "cuts")
+    return cuts
 
 
 def merged(cuts: list[dict] | None) -> list[tuple[int, int]]:
