@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microfolio.llm import catalog, exact_dedup, near_dedup, packing, suffix_dedup, toxicity
-from microfolio.llm.common import documents, not_in, staged
+from microfolio.llm.common import documents, not_in, scratch, staged
 
 NEAR_PERCENT = 80
 
@@ -27,11 +27,12 @@ def _one_of_each(docs: DataFrame, label: Callable[[DataFrame], DataFrame]) -> Da
     with the key as id and returns doc_id and group.
     """
     keyed = staged(docs.withColumn("row__", F.monotonically_increasing_id()), "pipeline-rows")
-    groups = label(keyed.select(F.col("row__").alias("doc_id"), "text")).select(F.col("doc_id").alias("row__"), "group")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
-    named = staged(keyed.select("row__", "doc_id").join(groups, "row__"), "pipeline-groups")
-    stays = named.groupBy("group").agg(F.min(first).getField("row__").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    goes = staged(named.join(stays, "group").where("row__ <> stays").select("row__"), "pipeline-goes")
+    with scratch(docs.sparkSession) as keep:
+        groups = label(keyed.select(F.col("row__").alias("doc_id"), "text")).select(F.col("doc_id").alias("row__"), "group")
+        named = staged(keyed.select("row__", "doc_id").join(groups, "row__"), "pipeline-groups")
+        stays = named.groupBy("group").agg(F.min(first).getField("row__").alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        goes = keep(named.join(stays, "group").where("row__ <> stays").select("row__"), "pipeline-goes")
     return not_in(keyed, goes, "row__").select(docs.columns)
 
 

@@ -62,7 +62,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    target, files = _located(spark, path)
+    files.delete(target, True)
+
+
 def remove_stages(spark: SparkSession) -> None:
     """Delete the stage tables of this application, once their results have been written or read."""
-    target, files = _located(spark, stages_folder(spark))
-    files.delete(target, True)
+    remove_path(spark, stages_folder(spark))
