@@ -40,6 +40,7 @@ WIDTH, SEED = 200, 24
 BUCKET = 1024
 TOKEN = 8
 CHUNK = 1024
+SPAN_BYTES = 1 << 18  # some 200 times as much memory for the spans of so many bytes
 SPAN = "key binary, place long, seed long, content long"
 PIECE = "seed long, content long, pieces long, core binary, low int, high int, anchor int, windows int, bytes binary"
 RANGE = "seed long, content long, first long, last long"
@@ -49,7 +50,7 @@ def _spans(width: int, seed: int):
     """Spans of each text; ``place`` packs first byte, windows and the seed's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", SPAN_BYTES):
             data = [t.encode() for t in batch.column("text").to_pylist()]
             starts = np.r_[0, np.cumsum([len(d) for d in data], dtype=np.int64)]
             row, first, windows, anchor, key, content = spans.find(np.frombuffer(b"".join(data), np.uint8), starts, width, seed)
