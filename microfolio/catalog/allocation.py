@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import allocation as A
+from ..session import parts_for
 from .base import query
 
 _DAILY = """
@@ -83,7 +84,7 @@ def k2(src):
     "payment",
 )
 def k3(src):
-    return A.paid_side(A.daily_payments(src["payment"])).drop("paid_block")
+    return A.paid_side(A.daily_payments(src["payment"]), large=A.large_contracts(src["payment"])).drop("paid_block")
 
 
 @query(
@@ -93,8 +94,10 @@ def k3(src):
 )
 def k4_total(src):
     only = ("total",)
-    due = A.cumulate(A.daily_dues(src["schedule"], src["opening_arrears"]), A.DUE_ORDER, "due", only)
-    paid = A.cumulate(A.daily_payments(src["payment"]), "event_date", "paid", only)
+    schedule, payment = src["schedule"], src["payment"]
+    parts, large = parts_for(schedule, payment), A.large_contracts(schedule, payment)
+    due = A.cumulate(A.daily_dues(schedule, src["opening_arrears"], parts), A.DUE_ORDER, "due", only, parts, large)
+    paid = A.cumulate(A.daily_payments(payment, parts=parts), "event_date", "paid", only, parts, large)
     out = A.allocate(due, paid, components=only)
     return out.select("contract_id", "due_date", "event_date", F.col("total_settled").alias("total_paid"))
 

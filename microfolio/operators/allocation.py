@@ -5,17 +5,19 @@ Both sides of a contract are sequences of intervals on one money axis: instalmen
 paid. A payment settles the part of an instalment where the two intervals overlap.
 
 Both sides are summed first: payments per contract and day, dues per contract, day and instalment, however
-many raw rows there are. Then each side of a contract is cut into blocks of neighbouring days. Running
-totals are prefix sums in two levels, inside a block and over the totals of the blocks before it. The payments
-of a block (its days at most) become one row with the stretch of the money axis they cover; an instalment is
-compared with these stretches, and with single payments only inside the blocks that it meets. With amounts that
-are not negative that gives at most instalments + blocks copies; reversals (negative day totals) only widen
-stretches, so one plan serves all contracts. No window but that over block totals works on a contract alone, and
-the join has one row per block on its other side, so adaptive execution can split a contract with any number of instalments.
+many raw rows there are. The sums lie by contract and day, so a contract with many raw rows is spread over its days.
+Then both sides are laid out by contract once, and running totals, the overlap join, the rests left by earlier payments and
+whatever else works on a contract need no further exchange. On large tables the layout has as many parts as their rows need,
+so that what one task holds does not grow with the input. Only contracts of more than ``LARGE`` rows, if there are any, are cut into
+blocks of neighbouring days: their running totals are prefix sums in two levels, inside a block and over the totals of the
+blocks before it. Amounts that are not negative give at most instalments + payments pairs; reversals (negative day
+totals) only widen intervals, so one plan serves all contracts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from ..functions.scalars import (
     sum_if,
     whole_days,
 )
+from ..session import dealt, parts_for, staged
 from .joins import null_safe_join
 
 COMPONENTS = ("total", "capital", "interest")
@@ -40,22 +43,29 @@ def daily_payments(
     amount: str = "amount",
     code: str = "code",
     codes=PAYMENT_CODES,
+    parts: int | None = None,
 ) -> DataFrame:
     """Paid totals per contract and day, split by payment code, with the number of capital decreases."""
-    c = F.col(code)
+    rows = txn.where(F.col(code).isin(*codes)).select(
+        F.col(contract).alias("contract_id"),
+        F.col(when).cast("date").alias("event_date"),
+        F.col(amount).alias("amount"),
+        F.col(code).alias("code"),
+    )
+    c = F.col("code")
     return (
-        txn.where(c.isin(*codes))
-        .groupBy(F.col(contract).alias("contract_id"), F.col(when).cast("date").alias("event_date"))
+        dealt(rows, parts, "contract_id", "event_date")
+        .groupBy("contract_id", "event_date")
         .agg(
-            F.sum(amount).alias("total_paid"),
-            sum_if(c.isin(*CAPITAL_CODES), amount).alias("capital_paid"),
-            sum_if(c.isin(*INTEREST_CODES), amount).alias("interest_paid"),
+            F.sum("amount").alias("total_paid"),
+            sum_if(c.isin(*CAPITAL_CODES), "amount").alias("capital_paid"),
+            sum_if(c.isin(*INTEREST_CODES), "amount").alias("interest_paid"),
             count_if(c == CAPITAL_DECREASE_CODE).alias("capital_decreases"),
         )
     )
 
 
-def daily_dues(schedule: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+def daily_dues(schedule: DataFrame, opening: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Due amounts per contract, due date and instalment; opening arrears are instalment 0 at their snapshot date.
 
     ``schedule``: contract_id, instalment, due_date, capital_due, interest_due.
@@ -71,7 +81,7 @@ def daily_dues(schedule: DataFrame, opening: DataFrame | None = None) -> DataFra
             "interest_overdue",
         )
         rows = rows.union(arrears)
-    return rows.groupBy("contract_id", "due_date", "instalment").agg(
+    return dealt(rows, parts, "contract_id", "due_date").groupBy("contract_id", "due_date", "instalment").agg(
         F.sum("capital_due").alias("capital_due"),
         F.sum("interest_due").alias("interest_due"),
         F.sum(F.col("capital_due") + F.col("interest_due")).alias("total_due"),
@@ -81,8 +91,18 @@ def daily_dues(schedule: DataFrame, opening: DataFrame | None = None) -> DataFra
 DUE_ORDER = ("due_date", "instalment")
 
 
-#: Days of one contract that share a block.
-BLOCK = "QUARTER"
+#: Days of one large contract that share a block, and the block of all others and of rows without a date.
+BLOCK, ONE_BLOCK = "QUARTER", "0001-01-01"
+
+#: Rows of a contract from which on it is cut into blocks.
+LARGE = 1000
+
+
+def large_contracts(*tables: DataFrame) -> DataFrame:
+    """Contracts with more than ``LARGE`` rows in all tables together, as a stage table."""
+    ids = reduce(DataFrame.union, [t.select("contract_id") for t in tables])
+    counted = ids.groupBy("contract_id").agg(F.count(F.lit(1)).alias("rows"))
+    return staged(counted.where(F.col("rows") > LARGE).select("contract_id", F.lit(True).alias("is_large")), "large-contracts")
 
 
 def _plus(inside, before):
@@ -90,58 +110,69 @@ def _plus(inside, before):
     return F.coalesce(inside + before, inside, before)
 
 
-def cumulate(rows: DataFrame, order: str | tuple[str, ...], kind: str, components=COMPONENTS) -> DataFrame:
+def cumulate(
+    rows: DataFrame,
+    order: str | tuple[str, ...],
+    kind: str,
+    components=COMPONENTS,
+    parts: int | None = None,
+    large: DataFrame | None = None,
+    laid: bool = False,
+) -> DataFrame:
     """Running totals with and without the row's own amount, per contract along ``order``, and the row's ``{kind}_block``.
 
     ``rows`` has one row per contract and order value, whose first column is a date. NULL amounts leave
-    the running total unchanged; rows without a date come first, in a block of their own.
+    the running total unchanged; rows without a date come first. ``large``: see :func:`large_contracts`, counted from the rows
+    if not given. ``laid`` tells that the rows lie by contract already; the result does, too.
     """
     order = (order,) if isinstance(order, str) else tuple(order)
-    block = f"{kind}_block"
-    cut = rows.withColumn(block, F.coalesce(F.trunc(order[0], BLOCK), F.lit("0001-01-01").cast("date")))
+    large = large_contracts(rows) if large is None else large
+    block, one = f"{kind}_block", F.lit(ONE_BLOCK).cast("date")
     keys = ["contract_id", block]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    inside = cut.withColumns({f"{c}_{kind}_cum": F.sum(f"{c}_{kind}").over(w) for c in components})
-    inside = inside.withColumns({f"prev_{c}_{kind}_cum": F.lag(f"{c}_{kind}_cum").over(w) for c in components})
-    earlier = Window.partitionBy("contract_id").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys).agg(*[F.sum(f"{c}_{kind}").alias(f"{c}_total") for c in components])
-    carried = totals.select(*keys, *[F.sum(f"{c}_total").over(earlier).alias(f"{c}_before") for c in components])
-    run = null_safe_join(inside, carried, keys)
-    run = run.withColumns({f"{c}_{kind}_cum": _plus(F.col(f"{c}_{kind}_cum"), F.col(f"{c}_before")) for c in components})
-    run = run.withColumns(
-        {
-            f"prev_{c}_{kind}_cum": F.coalesce(_plus(F.col(f"prev_{c}_{kind}_cum"), F.col(f"{c}_before")), F.lit(0))
-            for c in components
-        }
+    cut = not large.isEmpty()
+    if cut:
+        rows = null_safe_join(rows, large, ["contract_id"])
+        days = F.coalesce(F.trunc(order[0], BLOCK), one)
+        rows = rows.withColumn(block, F.when(F.col("is_large"), days).otherwise(one))
+        rows = dealt(rows, parts, *keys)
+    elif not laid:
+        rows = rows.repartition(parts, "contract_id") if parts else rows.repartition("contract_id")
+    if not cut:
+        rows = rows.withColumn(block, one)
+    along = Window.partitionBy(*keys).orderBy(*order)
+    with_own = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.withColumns(
+        {f"{c}_{kind}_cum": F.sum(f"{c}_{kind}").over(with_own) for c in components}
+        | {f"prev_{c}_{kind}_cum": F.sum(f"{c}_{kind}").over(before) for c in components}
     )
-    return run.drop(*[f"{c}_before" for c in components])
+    if cut:
+        earlier = Window.partitionBy("contract_id").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        totals = rows.where("is_large").groupBy(*keys).agg(*[F.sum(f"{c}_{kind}").alias(f"{c}_total") for c in components])
+        carried = totals.select(*keys, *[F.sum(f"{c}_total").over(earlier).alias(f"{c}_before") for c in components])
+        run = null_safe_join(run.drop("is_large"), staged(carried, "carried"), keys)
+        run = run.withColumns(
+            {n: _plus(F.col(n), F.col(f"{c}_before")) for c in components for n in (f"{c}_{kind}_cum", f"prev_{c}_{kind}_cum")}
+        )
+        run = dealt(run.drop(*[f"{c}_before" for c in components]), parts, "contract_id")
+    return run.withColumns({n: F.coalesce(n, F.lit(0)) for n in (f"prev_{c}_{kind}_cum" for c in components)})
 
 
-def due_side(schedule: DataFrame, opening: DataFrame | None = None) -> DataFrame:
-    return cumulate(daily_dues(schedule, opening), DUE_ORDER, "due")
+def due_side(schedule: DataFrame, opening: DataFrame | None = None, parts: int | None = None, large: DataFrame | None = None) -> DataFrame:
+    large = large_contracts(schedule) if large is None else large
+    return cumulate(daily_dues(schedule, opening, parts), DUE_ORDER, "due", parts=parts, large=large)
 
 
-def paid_side(payments: DataFrame) -> DataFrame:
+def paid_side(payments: DataFrame, parts: int | None = None, large: DataFrame | None = None) -> DataFrame:
     """``payments``: one row per contract and day, as from :func:`daily_payments`."""
-    return cumulate(payments, "event_date", "paid")
+    return cumulate(payments, "event_date", "paid", parts=parts, large=large)
 
 
 def _pairs(due: DataFrame, paid: DataFrame) -> DataFrame:
     """All (instalment, payment) pairs of a contract whose cumulative intervals overlap."""
-    payments = [c for c in paid.columns if c not in ("contract_id", "paid_block")]
-    blocks = paid.groupBy(F.col("contract_id").alias("payer"), "paid_block").agg(
-        F.min("prev_total_paid_cum").alias("paid_from"),
-        F.max("total_paid_cum").alias("paid_to"),
-        F.collect_list(F.struct(*payments)).alias("payments"),
-    )
-    meet = (F.col("paid_to") > F.col("prev_total_due_cum")) & (F.col("paid_from") < F.col("total_due_cum"))
-    near = due.drop("due_block").join(blocks, (F.col("contract_id") == F.col("payer")) & meet)
-    overlapping = F.filter(
-        "payments",
-        lambda p: (p.total_paid_cum > F.col("prev_total_due_cum")) & (p.prev_total_paid_cum < F.col("total_due_cum")),
-    )
-    dues = [c for c in due.columns if c != "due_block"]
-    return near.select(*dues, F.explode(overlapping).alias("p")).select(*dues, "p.*")
+    overlap = (F.col("total_paid_cum") > F.col("prev_total_due_cum")) & (F.col("prev_total_paid_cum") < F.col("total_due_cum"))
+    payer = paid.withColumnRenamed("contract_id", "payer").drop("paid_block")
+    return due.drop("due_block").join(payer, (F.col("contract_id") == F.col("payer")) & overlap).drop("payer")
 
 
 def _settled(c: str):
@@ -178,7 +209,8 @@ def event_calculated(
     schedule: DataFrame, txn: DataFrame, opening: DataFrame | None = None, flag: bool = True
 ) -> DataFrame:
     """The allocation table: contract, instalment, due date, event date, three paid amounts, decrease flag."""
-    out = allocate(due_side(schedule, opening), paid_side(daily_payments(txn)))
+    parts, large = parts_for(schedule, txn), large_contracts(schedule, txn)
+    out = allocate(due_side(schedule, opening, parts, large), paid_side(daily_payments(txn, parts=parts), parts, large))
     cols = [
         "contract_id",
         "instalment",
@@ -235,21 +267,27 @@ def schedule_instalments(schedule: DataFrame, loans: DataFrame, txn: DataFrame,
     target = loans.where(
         (F.col("disbursement_date") >= F.lit(since)) & (F.col("product_code") != excluded_product)
     ).select("loan_id", "customer_id", "currency", "disbursement_date", "capital_disbursed_amount")
-    due = schedule.join(
-        target, (F.col("contract_id") == F.col("loan_id")) & (F.col("due_date") > F.col("disbursement_date")), "inner"
-    ).select("contract_id", "due_date", "capital_due", "interest_due")
-    days = due.groupBy("contract_id", "due_date").agg(
-        F.sum(F.col("capital_due") + F.col("interest_due")).alias("total_due")
+    parts, large = parts_for(schedule, txn), large_contracts(schedule, txn)
+    target = dealt(target, parts, "loan_id")
+    amounts = schedule.select("contract_id", "due_date", (F.col("capital_due") + F.col("interest_due")).alias("total_due"))
+    daily = dealt(amounts, parts, "contract_id", "due_date").groupBy("contract_id", "due_date").agg(F.sum("total_due").alias("total_due"))
+    own = (F.col("contract_id") == F.col("loan_id")) & (F.col("due_date") > F.col("disbursement_date"))
+    days = (
+        dealt(daily, parts, "contract_id")
+        .join(target.select("loan_id", "disbursement_date"), own)
+        .groupBy("contract_id", "due_date")  # a loan may be listed more than once
+        .agg(F.sum("total_due").alias("total_due"))
     )
     paid = (
-        txn.join(target.select("loan_id"), F.col("contract_id") == F.col("loan_id"), "left_semi")
+        dealt(txn.select("contract_id", "event_date", "amount", "code"), parts, "contract_id", "event_date")
         .groupBy("contract_id", "event_date")
         .agg(F.sum("amount").alias("total_paid"), count_if(F.col("code") == CAPITAL_DECREASE_CODE).alias("decreases"))
     )
+    paid = dealt(paid, parts, "contract_id").join(target.select("loan_id"), F.col("contract_id") == F.col("loan_id"), "left_semi")
     only = ("total",)
-    out = allocate(
-        cumulate(days, "due_date", "due", only), cumulate(paid, "event_date", "paid", only), float("-inf"), only
-    )
+    due = cumulate(days, "due_date", "due", only, parts, large, laid=True)
+    paid = cumulate(paid, "event_date", "paid", only, parts, large, laid=True)
+    out = allocate(due, paid, float("-inf"), only)
     return out.join(target, F.col("contract_id") == F.col("loan_id"), "left").select(
         "customer_id",
         "contract_id",

@@ -51,6 +51,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that one task sorts, joins and sums.
+ROWS_OF_A_TASK = 250_000
+
+
+def parts_for(*tables: DataFrame) -> int | None:
+    """Parts in which a task holds ``ROWS_OF_A_TASK`` rows of the largest table; None where Spark's own layout does not hold more.
+
+    Each table is counted, so give stored tables, not results.
+    """
+    rows = max(t.count() for t in tables)
+    parts = -(-rows // ROWS_OF_A_TASK)
+    return parts if parts > tables[0].sparkSession.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """The rows laid out by the keys in so many parts; unchanged without a number, for the next step to lay out."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def _located(spark: SparkSession, path: str):
     """(path, file system it belongs to)"""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
