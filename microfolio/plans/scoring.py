@@ -13,13 +13,16 @@ from ..functions.scalars import STAFF_PRODUCTS, STAFF_PRODUCTS_FIRST, to_long, z
 from ..operators.allocation import shift_capital_decrease
 from ..operators.fx import to_three, to_usd
 from ..operators.versioning import latest_snapshot, primary_department, version_counter
+from ..session import dealt, parts_for
 
 
-def _with_department(df: DataFrame, loans: DataFrame, departments: DataFrame, amount: str) -> DataFrame:
+def _with_department(
+    df: DataFrame, loans: DataFrame, departments: DataFrame, amount: str, parts: int | None = None
+) -> DataFrame:
     best = primary_department(loans, departments, amount).select(
         F.col("customer_id").alias("__c"), "department_id_scoring"
     )
-    return df.join(best, F.col("customer_id") == F.col("__c"), "left").drop("__c")
+    return dealt(df, parts, "customer_id").join(best, F.col("customer_id") == F.col("__c"), "left").drop("__c")
 
 
 def _last_payment(events: DataFrame, when: str) -> DataFrame:
@@ -135,7 +138,9 @@ def event_scoring(
         calculated.withColumn("last_payment_date", latest), not final, ("last_payment_date",)
     )
     closing = balances.select(F.col("loan_id").alias("__b"), F.col("status").alias("__status"))
+    # the department belongs to the loan's customer, so it joins the loans, not their payments
     loan = loans.select(F.col("loan_id").alias("__l"), "maturity_date", "currency", "customer_id")
+    loan = _with_department(loan, loans, departments, "capital_disbursed_amount", parts_for(loans))
     out = (
         paid.join(closing, F.col("contract_id") == F.col("__b"), "left")
         .join(loan, F.col("contract_id") == F.col("__l"), "left")
@@ -148,7 +153,7 @@ def event_scoring(
     out = out.withColumn("early_termination_flag", F.coalesce(early, F.lit(False))).drop(
         "__b", "__l", "__status", "last_payment_date", "maturity_date"
     )
-    out = _with_department(out, loans, departments, "capital_disbursed_amount")
+    out = out.select(*[c for c in out.columns if c != "department_id_scoring"], "department_id_scoring")
     out = to_three(out, rates, ["total_paid", "capital_paid"], fixed_date=rate_date)
     if published_names:
         out = out.withColumns(
@@ -173,5 +178,5 @@ def loan_scoring_first(
             "loan_staff_flag": F.coalesce(F.col("product_code").isin(*STAFF_PRODUCTS_FIRST), F.lit(False)),
         }
     ).drop("__p", "last_payment_date")
-    out = _with_department(out, loans, departments, "capital_disbursed_amount")
+    out = _with_department(out, loans, departments, "capital_disbursed_amount", parts_for(loans))
     return to_three(out, rates, ["capital_disbursed_amount"], date="update_date", round_khr=True)
