@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import classify
 from ..operators import allocation as A
 from ..operators import reconcile as R
+from ..session import parts_for
 from .base import query
 
 AS_OF, SINCE = "1998-06-30", "1998-01-05"
@@ -318,9 +319,9 @@ _LINE = f"""{_DAILY},
 
 
 def _line(src):
-    return R.events_from_transactions(
-        src["r_schedule"], src["r_loan"], A.daily_payments(src["r_payment"]), "1997-12-20", SINCE, AS_OF
-    )
+    parts = parts_for(src["r_schedule"], src["r_payment"])
+    paid = A.daily_payments(src["r_payment"], parts=parts)
+    return R.events_from_transactions(src["r_schedule"], src["r_loan"], paid, "1997-12-20", SINCE, AS_OF, parts)
 
 
 @query("l13_events_from_transactions", f"WITH {_LINE} SELECT * FROM line", VIEWS)

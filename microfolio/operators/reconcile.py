@@ -25,7 +25,7 @@ from ..functions.scalars import (
     tolerance_of,
     zero_if_null,
 )
-from ..session import staged
+from ..session import dealt, staged
 from .joins import null_safe_join
 from .versioning import first_version, latest_rows, numbered_versions
 
@@ -453,35 +453,47 @@ def exceptions(rec: Reconciliation) -> tuple[DataFrame, DataFrame]:
 
 
 def events_from_transactions(
-    schedule: DataFrame, loans: DataFrame, payments: DataFrame, disbursed_since, start, end
+    schedule: DataFrame, loans: DataFrame, payments: DataFrame, disbursed_since, start, end, parts: int | None = None
 ) -> DataFrame:
     """Due and paid amounts of recent loans on one time line, with running totals.
 
     Schedules with a single instalment are early terminations and always kept; of the others the
     newest update of each month counts. ``payments``: one row per contract and day. One row
     per loan and day results; its ``due_date`` or ``event_date`` is NULL where the day has none.
+
+    Instalments are summed per contract, update and due date, however many there are. Both sides are laid out by contract
+    once, in ``parts`` parts if given; all that follows works inside contracts.
     """
     recent = loans.where(F.col("disbursement_date") >= F.lit(disbursed_since).cast("date")).select(
         F.col("loan_id").alias("contract_id")
     )
-    rows = schedule.join(recent, "contract_id", "left_semi")
-    sizes = rows.groupBy("contract_id", "update_date").agg(F.count(F.lit(1)).alias("__n"))
-    rows = null_safe_join(rows, sizes, ["contract_id", "update_date"]).withColumn("due_month", month_of("due_date"))
-    regular = latest_rows(rows.where(F.col("__n") > 1), ["contract_id", "due_month"], "update_date")
-    kept = regular.unionByName(rows.where(F.col("__n") == 1))
-    due = kept.groupBy("contract_id", F.col("due_date").alias("date")).agg(
-        F.max("due_date").alias("due_date"),
-        F.sum("capital_due").alias("capital_due"),
-        F.sum("interest_due").alias("interest_due"),
-        F.sum(F.col("capital_due") + F.col("interest_due")).alias("total_due"),
-    )
-    paid = payments.join(recent, "contract_id", "left_semi").select(
-        "contract_id", F.col("event_date").alias("date"), "event_date", "total_paid", "capital_paid", "interest_paid"
-    )
-    money = ["total_due", "capital_due", "interest_due", "total_paid", "capital_paid", "interest_paid"]
-    line = due.join(paid, ["contract_id", "date"], "full").where(
-        F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    )
+    dues, paids = ["capital_due", "interest_due", "total_due"], ["total_paid", "capital_paid", "interest_paid"]
+    amounts = schedule.select(
+        "contract_id", "update_date", "due_date", "capital_due", "interest_due", (F.col("capital_due") + F.col("interest_due")).alias("total_due")
+    )
+    due = (
+        dealt(amounts, parts, "contract_id", "due_date")
+        .groupBy("contract_id", "update_date", "due_date")
+        .agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(m).alias(m) for m in dues])
+        .withColumn("date", F.col("due_date"))
+    )
+    paid = payments.select("contract_id", F.col("event_date").alias("date"), "event_date", *paids)
+    rows = dealt(due.unionByName(paid, allowMissingColumns=True), parts, "contract_id")
+    rows = rows.join(dealt(recent, parts, "contract_id"), "contract_id", "left_semi")
+    instalments = F.sum("__rows").over(Window.partitionBy("contract_id", "update_date"))
+    rows = rows.withColumn("__n", instalments)
+    several = F.max(F.when(F.col("__n") > 1, F.col("update_date"))).over(Window.partitionBy("contract_id", "__month"))
+    rows = rows.withColumn("__month", month_of("due_date")).withColumn("__newest", several)
+    kept = F.col("__rows").isNull() | (F.col("__n") == 1) | (F.col("update_date") == F.col("__newest"))
+    line = (
+        rows.where(kept & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        .groupBy("contract_id", "date")
+        .agg(
+            F.max("due_date").alias("due_date"), *[F.sum(m).alias(m) for m in dues],
+            F.max("event_date").alias("event_date"), *[F.sum(m).alias(m) for m in paids],
+        )
+    )
+    money = ["total_due", "capital_due", "interest_due", *paids]
     w = Window.partitionBy("contract_id").orderBy("date")
     line = line.withColumns({m: zero_if_null(m) for m in money})
     return line.withColumns({f"{m}_cum": F.sum(m).over(w) for m in money})
@@ -490,26 +502,24 @@ def events_from_transactions(
 def assign_due_date(line: DataFrame) -> DataFrame:
     """Due date each row belongs to: the previous one, or the next one when more was paid than due.
 
-    Adds the due amounts of the chosen date and the component arrears.
+    Adds the due amounts of the chosen date and the component arrears. ``line`` has one row per contract and day.
     """
     so_far = Window.partitionBy("contract_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("contract_id").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
     overdue = F.col("total_due_cum") - F.col("capital_paid_cum") - F.col("interest_paid_cum")
+    dues = ["total_due", "capital_due", "interest_due"]
+    due = F.when(F.col("due_date").isNotNull(), F.struct("due_date", *dues))
     out = line.withColumns(
         {
-            "__prev": F.last("due_date", ignorenulls=True).over(so_far),
-            "__next": F.last("due_date", ignorenulls=True).over(ahead),
+            "__prev": F.last(due, ignorenulls=True).over(so_far),
+            "__next": F.last(due, ignorenulls=True).over(ahead),
             "capital_overdue": F.col("capital_due_cum") - F.col("capital_paid_cum"),
             "interest_overdue": F.col("interest_due_cum") - F.col("interest_paid_cum"),
         }
     )
-    amounts = line.where(F.col("due_date").isNotNull()).select(
-        "contract_id", "due_date", "total_due", "capital_due", "interest_due"
-    )
-    out = out.withColumn("due_date", F.when(overdue < 0, F.col("__next")).otherwise(F.col("__prev")))
-    return out.drop("__prev", "__next", "total_due", "capital_due", "interest_due").join(
-        amounts, ["contract_id", "due_date"], "left"
-    )
+    out = out.withColumn("__due", F.when(overdue < 0, F.col("__next")).otherwise(F.col("__prev")))
+    rest = [c for c in out.columns if c not in ("contract_id", "due_date", "__prev", "__next", "__due", *dues)]
+    return out.select("contract_id", "__due.due_date", *rest, *[f"__due.{d}" for d in dues])
 
 
 def overdue_mismatch(line: DataFrame, closing: DataFrame, limit: float = 0.001) -> DataFrame:

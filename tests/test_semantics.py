@@ -633,3 +633,92 @@ def test_contract_of_a_table(spark):
     empty = {"loans": loans.where("false"), "people": people}
     assert {r.obs for r in contracts.row_report(empty, declared).collect()} == {0}
     assert all(p in {v for c in catalog_contracts.CONTRACTS.values() for v in c.formats.values()} for p in quality.PATTERNS)
+
+
+# ---- one layout by contract -----------------------------------------------------------------
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_allocation_lays_out_each_side_by_contract_once(spark, monkeypatch):
+    from microfolio import session
+
+    rnd = random.Random(1)
+    some = lambda n: rnd.choice([None, *range(n)])
+    when = lambda: None if rnd.random() < 0.05 else day(rnd.randrange(60))
+    dues = [(some(9), some(3), when(), some(40), some(4)) for _ in range(160)]
+    pays = [(some(9), when(), some(70), rnd.choice(["420", "423", "434", "900"])) for _ in range(120)]
+    s = spark.createDataFrame(dues, "contract_id int, instalment int, due_date date, capital_due long, interest_due long")
+    p = spark.createDataFrame(pays, "contract_id int, event_date date, amount long, code string")
+    listed = [(c % 7, c, "USD", day(c % 3), 100, "21000") for c in range(9)]  # some loans are listed twice
+    loans = spark.createDataFrame(listed, "loan_id int, customer_id int, currency string, disbursement_date date, capital_disbursed_amount int, product_code string")
+
+    def results():
+        events = allocation.event_calculated(s, p)
+        first = allocation.schedule_instalments(s, loans, p, "2000-01-01", "21050")
+        return [events, allocation.shift_capital_decrease(events), allocation.instalment_numbers(first)]
+
+    whole = results()
+    assert whole[0].rdd.getNumPartitions() <= 8
+    monkeypatch.setattr(session, "ROWS_OF_A_TASK", 10)
+    spread = results()
+    assert [exchanges(df) for df in spread[:2]] == [4, 4]  # the sums and the layout of each side
+    # a part holds 10 rows whatever the session's number of partitions
+    assert spread[0].rdd.getNumPartitions() == spread[1].rdd.getNumPartitions() == 16
+    monkeypatch.setattr(allocation, "LARGE", 15)  # some contracts are cut into blocks, with and without a layout in parts
+    blocks = results()
+    monkeypatch.setattr(session, "ROWS_OF_A_TASK", 10**6)
+    for a, *others in zip(whole, spread, blocks, results()):
+        assert all(sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) for b in others)
+
+
+def test_time_line_is_laid_out_by_contract_once(spark):
+    rnd = random.Random(3)
+    update = lambda: rnd.choice([None, day(0), day(1)])
+    dues = [(rnd.randrange(12), day(rnd.randrange(90)), update(), rnd.choice([None, 5, 30]), rnd.choice([0, 2])) for _ in range(120)]
+    pays = [(c, day(n), 20, 15, 5) for c in range(14) for n in rnd.sample(range(90), 2)]
+    sched = spark.createDataFrame(dues, "contract_id int, due_date date, update_date date, capital_due long, interest_due long")
+    paid = spark.createDataFrame(pays, "contract_id int, event_date date, total_paid long, capital_paid long, interest_paid long")
+    loans = spark.createDataFrame([(c, day(c - 2)) for c in range(14)], "loan_id int, disbursement_date date")
+    line = reconcile.events_from_transactions(sched, loans, paid, day(0), day(5), day(80), parts=16)
+    chosen = reconcile.assign_due_date(line)
+    assert exchanges(chosen) <= 5
+    plain = reconcile.assign_due_date(reconcile.events_from_transactions(sched, loans, paid, day(0), day(5), day(80)))
+    assert sorted(map(repr, chosen.collect())) == sorted(map(repr, plain.collect()))
+
+    want = {}
+    for c in range(2, 12):
+        mine = [d for d in dues if d[0] == c]
+        several = [d for d in mine if sum(o[2] == d[2] for o in mine) > 1]
+        newest = {}
+        for d in several:
+            if d[2] is not None:
+                newest[d[1].replace(day=1)] = max(d[2], newest.get(d[1].replace(day=1), d[2]))
+        for d in mine:
+            alone = d not in several
+            if (alone or d[2] is not None and d[2] == newest.get(d[1].replace(day=1))) and day(5) <= d[1] <= day(80):
+                want[c, d[1]] = want.get((c, d[1]), 0) + (d[3] or 0)
+    got = {(r.contract_id, r.date): r.capital_due for r in line.where("due_date is not null").collect()}
+    assert got == want
+    amounts = {(r.contract_id, r.due_date): r.capital_due for r in line.collect()}
+    for r in chosen.collect():
+        assert r.capital_due == (amounts[r.contract_id, r.due_date] if r.due_date else None)
+
+
+def test_departments_join_loans_not_payments(spark):
+    from microfolio.plans import scoring
+
+    events = spark.createDataFrame([(1, 1, day(9), day(3), 10, 8, 0), (2, 1, day(9), day(4), 5, 5, 1), (3, 1, day(9), day(4), 7, 7, 0)], "contract_id int, instalment int, due_date date, event_date date, total_paid long, capital_paid long, capital_decrease_flag int")
+    loans = spark.createDataFrame([(1, 7, "KHR", day(90), "d1", 50), (2, 7, "KHR", day(90), "d2", 60), (3, None, "KHR", day(90), "d1", 1)], "loan_id int, customer_id int, currency string, maturity_date date, department_id string, capital_disbursed_amount long")
+    closing = spark.createDataFrame([(1, "CLOSED")], "loan_id int, status string")
+    deps = spark.createDataFrame([("d1", "s1"), ("d2", "s2")], "department_id string, department_id_scoring string")
+    rates = spark.createDataFrame([("KHR", day(0), 1.0)], "currency string, rate_date date, rate double")
+    out = scoring.event_scoring(events, loans, closing, deps, rates, day(0))
+    got = {(r.contract_id, r.event_date): (r.customer_id, r.department_id_scoring) for r in out.collect()}
+    assert got == {(1, day(3)): (7, "s2"), (2, day(9)): (7, "s2"), (3, day(4)): (None, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [(len(line) - len(line.lstrip(" :+-")), line) for line in plan if "Join" in line]
+    by_customer = min(depth for depth, line in joins if "customer_id" in line.split("Join", 1)[1])
+    assert by_customer > min(depth for depth, line in joins if "contract_id" in line.split("Join", 1)[1])
