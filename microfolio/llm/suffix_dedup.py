@@ -10,8 +10,9 @@ the span of its place.
 2. Of every content that shares a seed the bytes are fetched: of one copy, or of two where there are
    several. The suffixes that begin with equal leading tokens, the seed's bytes, form a group.
 3. A group of more than ``bucket`` suffixes is split by further leading tokens: its strings are halved by how far they
-   reach to the left of the seed, and each half has a longer stretch of bytes that all its strings hold. Halving ends
-   with whole strings, which are compared as they are.
+   reach to the left of the seed, and each half has a longer stretch of bytes that all its strings hold. Spans are cut down to
+   their strings of the half; equal ones are repeated from end to end, so they are marked and one of them goes on. Halving
+   ends with whole strings, of which none differ.
 4. Sampled splitters range-partition the groups by those tokens, never cutting equal ones, so
    nothing is left to compare across a bucket's boundaries; a bucket sorts its strings locally by multikey quicksort: runs of
    strings that agree so far are split by the first token (8 bytes) in which they differ, until runs are equal or single.
@@ -42,7 +43,7 @@ TOKEN = 8
 CHUNK = 1024
 SPAN_BYTES = 1 << 18  # some 200 times as much memory for the spans of so many bytes
 SPAN = "key binary, place long, seed long, content long"
-PIECE = "seed long, content long, pieces long, core binary, low int, high int, anchor int, windows int, bytes binary"
+PIECE = "seed long, content long, pieces long, core binary, low int, high int, shift int, anchor int, windows int, bytes binary"
 RANGE = "seed long, content long, first long, last long"
 
 
@@ -71,7 +72,7 @@ def _fetch(width: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECE.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 4, pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 5, pa.binary()]
         for batch in pieces(batches, "text", 1 << 20):
             out = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
@@ -80,7 +81,7 @@ def _fetch(width: int, seed: int):
                     first, windows, anchor = _unpacked(w["place"])
                     at = first + anchor
                     whole = data[first : first + windows + width - 1]
-                    out.append((w["seed"], w["content"], w["pieces"], data[at : at + seed], 0, width - seed + 1, anchor, windows, whole))
+                    out.append((w["seed"], w["content"], w["pieces"], data[at : at + seed], 0, width - seed + 1, 0, anchor, windows, whole))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
     return run
@@ -148,7 +149,7 @@ def _sorted(width: int):
             for k, (_, group) in enumerate(itertools.groupby(rows, lambda r: (r["core"], r["low"]))):
                 group = list(group)
                 if len(group) > 1 and all(r["bytes"] == group[0]["bytes"] and r["anchor"] == group[0]["anchor"] for r in group):
-                    out += [(r["seed"], r["content"], 0, r["windows"] - 1) for r in group[:1]]  # one run from end to end
+                    out += [(r["seed"], r["content"], r["shift"], r["shift"] + r["windows"] - 1) for r in group[:1]]  # one run from end to end
                 elif len(group) > 1:
                     unlike += group
                     number += [k] * len(group)
@@ -157,7 +158,7 @@ def _sorted(width: int):
                 for r, flag in zip(unlike, repeated([r["bytes"] for r in unlike], windows, anchors, np.array(number), low, high, width)):
                     if flag.any():
                         edge = np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0]))
-                        out += [(r["seed"], r["content"], a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+                        out += [(r["seed"], r["content"], r["shift"] + a, r["shift"] + b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
             columns = list(zip(*out)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["seed", "content", "first", "last"])
 
@@ -174,13 +175,18 @@ def _sorted(width: int):
 
 
 def _halved(groups: DataFrame, width: int) -> DataFrame:
-    """Both halves of each group's strings, with the longer stretch of bytes that all strings of a half hold."""
+    """The spans of each half of a group, cut down to their strings of that half; ``shift`` counts the bytes cut off in front."""
     middle = F.expr("(low + high) div 2").cast("int")
     halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct(middle.alias("low"), F.col("high")))
-    rows = groups.withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).drop("half")
-    rows = rows.where((F.col("anchor") >= F.col("low")) & (F.col("anchor") - F.col("windows") + 1 < F.col("high")))
-    held = F.substring("bytes", F.col("anchor") - F.col("low") + 1, F.lit(width + 1) - F.col("high") + F.col("low"))
-    return rows.withColumn("core", held)
+    least = F.col("anchor") - F.col("windows") + 1
+    held = F.filter(halves, lambda h: (F.col("anchor") >= h.low) & (least < h.high))
+    rows = groups.withColumn("half", F.explode(held)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).drop("half")
+    begin, end = F.greatest("low", least), F.least("high", F.col("anchor") + 1)
+    front = F.col("anchor") + 1 - end
+    return rows.select(
+        "seed", "content", "low", "high", (F.col("shift") + front).alias("shift"), (end - 1).alias("anchor"), (end - begin).alias("windows"),
+        F.substring("bytes", front + 1, end - begin + width - 1).alias("bytes"),
+    )
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -213,15 +219,18 @@ def _cuts(long: DataFrame, width: int, seed: int, bucket: int) -> DataFrame:
     fetched = staged(sources.join(wanted, "key").select("text", "wanted").mapInArrow(_fetch(width, seed), PIECE), "suffixes")
 
     local, large, whole = [fetched.where(F.col("pieces") <= bucket)], fetched.where(F.col("pieces") > bucket), []
+    held = F.substring("bytes", F.col("anchor") - F.col("low") + 1, F.lit(width + 1) - F.col("high") + F.col("low"))
+    strings, half = ["low", "high", "anchor", "windows", "bytes"], ["core", "low", "high"]
     while not large.isEmpty():
-        halves = staged(_halved(large.drop("pieces"), width), "halves")
-        sizes = halves.groupBy("core", "low", "high").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-        halves = staged(halves.join(staged(sizes, "half-sizes"), ["core", "low", "high"]).select(*fetched.columns), "sized-halves")
-        single = F.col("high") - F.col("low") == 1
-        same = F.col("anchor").cast("long") - F.col("low")
-        whole.append(halves.where(single).select("seed", "content", same.alias("first"), same.alias("last")))
-        local.append(halves.where(~single & (F.col("pieces") <= bucket)))
-        large = halves.where(~single & (F.col("pieces") > bucket))
+        halves = staged(_halved(large, width), "halves")
+        one = F.min(F.struct("seed", "content", "shift")).alias("one")
+        unlike = staged(halves.groupBy(strings).agg(F.count(F.lit(1)).alias("alike"), one).withColumn("core", held), "unlike-halves")
+        several = halves.join(staged(unlike.where("alike > 1").select(strings), "alike-halves"), strings)
+        whole.append(several.select("seed", "content", F.col("shift").cast("long").alias("first"), (F.col("shift") + F.col("windows") - 1).cast("long").alias("last")))
+        sizes = staged(unlike.groupBy(half).agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1"), "half-sizes")
+        rest = staged(unlike.join(sizes, half).select("one.*", "pieces", *half, *strings[2:]).select(fetched.columns), "sized-halves")
+        local.append(rest.where(F.col("pieces") <= bucket))
+        large = rest.where(F.col("pieces") > bucket)
     sorted_ = reduce(DataFrame.unionByName, local).repartitionByRange("core").sortWithinPartitions("core", "low")
     marks = reduce(DataFrame.unionByName, [sorted_.mapInArrow(_sorted(width), RANGE), *whole])
     parts = staged(marks.groupBy("seed", "content").agg(F.collect_set(F.struct("first", "last")).alias("parts")), "repeated-windows")

@@ -169,6 +169,27 @@ def test_repeated_passages(docs_of, supplied, width, seed, bucket):
     assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(rows, width)
 
 
+def test_large_group_of_one_passage_is_not_multiplied(docs_of, monkeypatch):
+    """Texts of their own around a common passage: halving looks at each span a few times, not once per string."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, made = letters(330), []
+
+    def counting(groups, width, original=suffix_dedup._halved):
+        halves = original(groups, width)
+        made[-1] += halves.count()
+        return halves
+
+    monkeypatch.setattr(suffix_dedup, "_halved", counting)
+    for n in (60, 240):
+        made.append(0)
+        rows = [(k, letters(150) + passage + letters(150)) for k in range(n)]
+        got = suffix_dedup.removal_digests(docs_of(rows), bucket=20)
+        assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(rows, 200)
+    print("halves", made)
+    assert made[1] <= 5 * made[0] and made[1] <= 25 * 240
+
+
 def test_ids_play_no_part_in_removal(docs_of):
     """A thousand texts without an id and a thousand under one id: clean ones keep all their bytes."""
     rng = np.random.default_rng(12)
