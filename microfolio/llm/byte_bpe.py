@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,15 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 from .common import map_pieces, named, texts
 
 REMEMBERED = 600_000
-#: Letters, digits and white space of the pattern, for characters below U+0530; other texts are cut by the library.
-_NUMBER = "0-9²³¹¼½¾"
-_SPACE = r"\t-\r \x85\xa0"
+#: Letters, digits, white space and the rest of the pattern, for characters below U+0530; other texts are cut by the library.
+#: Named one by one, they are a table to the regular expression; what begins most parts comes first.
+_NUMBER = "0123456789²³¹¼½¾"
+_SPACE = "\t\n\v\f\r \x85\xa0"
+_NEAR = "".join(map(chr, range(0x530)))
+_LETTER = "".join(c for c in re.findall(r"[^\W_]", _NEAR) if c not in _NUMBER)
+_OTHER = "".join(c for c in _NEAR if c not in _LETTER + _NUMBER + _SPACE)
 _CUT = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W_{_NUMBER}]+| ?[{_NUMBER}]+| ?(?:[^\w{_SPACE}²³¹¼½¾]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{re.escape(_OTHER)}]+| ?[{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 ).findall
 _FAR = re.compile("[^\x00-ԯ]").search
 
@@ -101,7 +106,8 @@ class ByteBPE:
 
     def part(self, part: str) -> bytes:
         spelled = part.translate(self.table) if part.isascii() else "".join(map(self.letters.__getitem__, part.encode().decode("latin-1")))
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -25,26 +25,25 @@ from .common import map_pieces, named, staged, texts
 END = b"\x00\x00\x00\x00"
 BLOCK_IDS = 1 << 18
 BLOCKS = "shard long, start long, n_ids long, doc_ids binary, known binary, counts binary, control binary, data binary"
-#: The lengths of the four ranks of each control byte.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+#: Which bytes of four ranks a control byte fills.
+FILLED = (np.arange(4) <= (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)[:, :, None]).reshape(256, 16)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes."""
-    ranks = ranks.astype("<u4")
-    size = 1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    quads = np.ones((-(-len(ranks) // 4), 4), np.int64)
-    quads.reshape(-1)[: len(size)] = size
-    control = ((quads - 1) << np.array([0, 2, 4, 6])).sum(axis=1).astype(np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    padded = np.zeros(-(-len(ranks) // 4) * 4, "<u4")
+    padded[: len(ranks)] = ranks
+    size = (padded >= 1 << 8).view(np.uint8) + (padded >= 1 << 16) + (padded >= 1 << 24)  # bytes but one
+    control = size[::4] | size[1::4] << 2 | size[2::4] << 4 | size[3::4] << 6
+    filled = FILLED[control].reshape(-1)
+    filled[4 * len(ranks) :] = False
+    return control.tobytes(), padded.view(np.uint8)[filled].tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
+    out = np.zeros(4 * n, np.uint8)
+    out[FILLED[np.frombuffer(control, np.uint8)].reshape(-1)[: 4 * n]] = np.frombuffer(data, np.uint8)
+    return out.view("<u4")
 
 
 def id_type(tokenizer_path: str, added_tokens: bool = False) -> str:
@@ -115,7 +114,7 @@ def write(docs: DataFrame, tokenizer_path: str, added_tokens: bool = False) -> t
     kind = id_type(tokenizer_path, added_tokens)
     counts = ranked_ids(tokens, kind).orderBy(F.desc("n"), "id").toPandas()  # one row per id of the vocabulary at most
     ids = counts["id"].to_numpy(np.int64)
-    rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+    rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank_of[ids] = np.arange(len(ids))
     ranks = staged(tokens.sparkSession.createDataFrame([(ids.astype("<u4").tobytes(),)], "ids binary"), "ranks")
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")

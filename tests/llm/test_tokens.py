@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -148,6 +149,21 @@ def test_rank_code_of_all_widths():
     assert token_files.unpack_ranks(control, data, len(ranks)).tolist() == ranks.tolist()
 
 
+def test_rank_code_takes_few_bytes_a_rank():
+    """What the code holds per rank besides its input: a table lookup, not wide numbers for each byte."""
+    ranks = np.random.default_rng(2).geometric(0.001, 1 << 18).astype(np.uint32)
+    tracemalloc.start()
+    control, data = token_files.pack_ranks(ranks)
+    packed = tracemalloc.get_traced_memory()[1] / len(ranks)
+    tracemalloc.reset_peak()
+    back = token_files.unpack_ranks(control, data, len(ranks))
+    unpacked = tracemalloc.get_traced_memory()[1] / len(ranks)
+    tracemalloc.stop()
+    assert (back == ranks).all()
+    print("bytes a rank", packed, unpacked)
+    assert packed < 20 and unpacked < 20
+
+
 def test_empty_tables(docs_of):
     none = docs_of([])
     assert token_count.token_counts(none, PIECES).count() == 0
