@@ -211,10 +211,12 @@ class GatedNetwork:
     @staticmethod
     def _rare(windows: list[str], owner: np.ndarray) -> np.ndarray:
         """Word buckets of fewer than ``LEAST_DOCUMENTS`` documents: learning them is learning the documents by heart."""
-        f = Features(windows)
-        text = owner[np.repeat(np.arange(len(windows)), f.words)]
-        seen = np.unique(np.stack([f.bucket, text], axis=1), axis=0)[:, 0]
-        return np.bincount(seen, minlength=BUCKETS) < LEAST_DOCUMENTS
+        seen = [np.zeros(0, np.int64)]
+        for i in range(0, len(windows), 4096):
+            f = Features(windows[i : i + 4096])
+            text = owner[i : i + 4096][np.repeat(np.arange(len(f.words)), f.words)]
+            seen.append(np.unique(text * BUCKETS + f.bucket))
+        return np.bincount(np.unique(np.concatenate(seen)) % BUCKETS, minlength=BUCKETS) < LEAST_DOCUMENTS
 
     def _each(self, windows: list[str]) -> np.ndarray:
         return np.concatenate([self.window_logits(windows[i : i + 4096])[0] for i in range(0, len(windows), 4096)])

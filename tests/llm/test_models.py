@@ -1,6 +1,8 @@
 """Trained classifiers: held-out accuracy, awkward rows, gradients."""
 
 import re
+import tracemalloc
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -55,6 +57,25 @@ def test_all_windows_are_scored():
     assert set(at[text == 2].ravel()) - {102} == set(range(2, 102))
 
 
+def test_rare_words_are_found_in_bounded_memory():
+    """All windows of a sample, some of one document in several chunks, without the bytes of all at once."""
+    rng = np.random.default_rng(4)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(900)])
+    windows = [" ".join(words[np.minimum(rng.geometric(0.01, toxicity.WINDOW), 899)]) for _ in range(25_000)]
+    owner = np.arange(25_000) // 500
+    tracemalloc.start()
+    rare = toxicity.GatedNetwork._rare(windows, owner)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bucket_of = dict(zip(words.tolist(), toxicity.Features(words.tolist()).bucket.tolist()))
+    seen = defaultdict(set)
+    for w, o in zip(windows, owner.tolist()):
+        for word in w.split():
+            seen[bucket_of[word]].add(o)
+    assert rare.tolist() == [len(seen[b]) < toxicity.LEAST_DOCUMENTS for b in range(toxicity.BUCKETS)]
+    assert not all(len(s) > 2 for s in seen.values()) and peak < 80e6, peak
+
+
 def test_network_gradient_is_the_slope():
     net = toxicity.GatedNetwork()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
