@@ -21,6 +21,9 @@ from .joins import coverage, keep_in, null_safe_join
 
 BINS = 2048
 FEW = 4096
+#: All texts whose number may be 0, and few others: zeros, tiny numbers with an exponent or of very many digits. A cast fails slowly on
+#: what is no number, so only these are cast.
+MAYBE_ZERO = r"^[\x00-\x20]*+[+-]?+([0.]++|[0-9.]++[eE][+-]?+[0-9]++|0[xX][0-9a-fA-F.]++[pP][+-]?+[0-9]++|[0-9.]{300,}+)[fFdD]?+[\x00-\x20]*+$"
 
 
 # ---- keys, references, rules --------------------------------------------------------------
@@ -283,30 +286,40 @@ def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     return _table(df.sparkSession, rows, order, kind).withColumnsRenamed(names)
 
 
+def _value_counts(df: DataFrame, column: str) -> DataFrame:
+    """The texts of one column with their number of rows. Types with one text for each value are counted before they become texts."""
+    value = F.col(column)
+    if not isinstance(df.select(column).schema[0].dataType, (T.IntegralType, T.DecimalType, T.DateType, T.BooleanType)):
+        value = value.cast("string")
+    counts = df.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("value").cast("string").alias("text"), "n")
+
+
 def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per column: rows, NULL, blank and zero counts, distinct values, smallest and largest text.
 
-    Columns are laid out as (column, text) pairs and counted per value once; everything else
-    comes from those counts.
+    Each column is read by itself and counted per value once; everything else comes from those counts, summed
+    without a key, so a task holds values of one column and nothing is sorted. Give stored tables, not costly results.
     """
-    cols = cols or df.columns
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in cols]))
-    counts = df.select(pairs.alias("x")).groupBy("x.column", "x.text").agg(F.count(F.lit(1)).alias("n"))
     text = F.col("text")
-    zero = text.try_cast("double") == 0
+    zero = F.when(text.rlike(MAYBE_ZERO), text.try_cast("double") == 0)
 
     def total(cond):
         return zero_if_null(F.sum(F.when(cond, F.col("n")))).cast("long")
 
-    return counts.groupBy("column").agg(
-        F.sum("n").alias("obs"),
-        total(text.isNull()).alias("missing"),
-        total(text.isin("", "[NULL]")).alias("blank"),
-        total(zero).alias("zero"),
-        F.count("text").alias("distinct"),
-        F.min("text").alias("smallest"),
-        F.max("text").alias("largest"),
-    )
+    def report(c):
+        return _value_counts(df, c).agg(
+            F.sum("n").alias("obs"),
+            total(text.isNull()).alias("missing"),
+            total(text.isin("", "[NULL]")).alias("blank"),
+            total(zero).alias("zero"),
+            F.count("text").alias("distinct"),
+            F.min("text").alias("smallest"),
+            F.max("text").alias("largest"),
+        )
+
+    parts = [report(c).select(F.lit(c).alias("column"), "*") for c in cols or df.columns]
+    return reduce(DataFrame.union, parts).where("obs > 0")  # a table without rows has no columns to report
 
 
 # ---- accounts used for repayment -------------------------------------------------------------

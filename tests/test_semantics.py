@@ -352,6 +352,32 @@ def test_profile_counts(spark):
     assert (got["n"]["missing"], got["n"]["zero"], got["n"]["distinct"]) == (1, 2, 2)
 
 
+def test_profile_counts_columns_by_themselves(spark):
+    """No column shares a hash table with the others and no values are sorted; typed values and their texts count alike."""
+    df = spark.createDataFrame(
+        [(7, Decimal("0.00"), day(3), True, -0.0), (10, Decimal("1.50"), day(3), None, 0.0), (9, None, None, False, float("nan")), (None, Decimal("1.50"), day(5), True, 0.0)],
+        "n long, d decimal(9,2), t date, b boolean, f double",
+    )
+    out = quality.profile(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan and "Generate" not in plan
+    got = {r.column: tuple(r)[1:] for r in out.collect()}
+    assert got == {
+        "n": (4, 1, 0, 0, 3, "10", "9"), "d": (4, 1, 0, 1, 2, "0.00", "1.50"), "t": (4, 1, 0, 0, 2, str(day(3)), str(day(5))),
+        "b": (4, 1, 0, 0, 2, "false", "true"), "f": (4, 0, 0, 3, 3, "-0.0", "NaN"),
+    }
+    assert quality.profile(df.where("false")).count() == 0
+
+
+def test_profile_casts_only_what_may_be_zero(spark):
+    zeros = ["0", "-0", "+0.", ".0", "00.00", " 0\t", "0\n", "0d", "0.0F", "0e5", "0E-3", "7e-999", "0x0p0", "-0X.0P+3", "0x1p-2000", "0." + "0" * 400 + "1"]
+    others = ["", ".", "+", "1", "0.01", "1e0", "1e5", "LD0000000000", "003-0000000", "2019-01-01", "[NULL]", "NaN", "Infinity", "0x", "0 0", "٠", "9" * 400, "0xp1", "00e"]
+    df = spark.createDataFrame([(t,) for t in zeros + others], "t string")
+    cast = [r.t for r in df.where(F.col("t").try_cast("double") == 0).collect()]
+    assert sorted(cast) == sorted(zeros) and quality.profile(df).first().zero == len(zeros)
+    assert not df.where(F.col("t").isin("LD0000000000", "003-0000000", "2019-01-01", "", "1", "0.01") & F.col("t").rlike(quality.MAYBE_ZERO)).count()
+
+
 def test_key_report_ignores_null_parts(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), ("a", 1)], "k string, d int")
     got = quality.key_report(df, {"pair": ["k", "d"], "k": ["k"]}).first()
